@@ -59,7 +59,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
-    """Columns of ``docs`` with rate, copies and copy (from 1), in shuffled order. Columns of those names are replaced."""
+    """Columns of ``docs`` (doc_id, text and source at least) with rate, copies and copy (from 1), in shuffled order. Columns of those names are replaced."""
     docs = docs.drop("rate", "copies", "copy")
     rates = source_rates(docs, weights, total).withColumnRenamed("source", "_source")
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
@@ -67,7 +67,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None,
     drawn = docs.withColumn("_u", uniform(F.lit(seed), "doc_id")).join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     drawn = drawn.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).drop("cdf", "_u").where("copies > 0")
     many = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    many = many.withColumn("_at", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.monotonically_increasing_id()))
+    many = many.withColumn("_at", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.xxhash64("text")))
     return many.repartition("_at").sortWithinPartitions("_at").drop("_at")
 
 
