@@ -337,3 +337,27 @@ def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` but for those linked to a smaller doc_id; rows without a doc_id stay."""
     kept = jaccard_components(docs, percent=percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+
+
+#: All sets and their overlaps; then the smallest document that links reach.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), overlaps AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM overlaps JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reached.doc_id, edges.b FROM reached JOIN edges ON edges.a = reached.other
+)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) USING (doc_id)
+"""
