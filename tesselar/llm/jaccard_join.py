@@ -1,20 +1,22 @@
 """N-gram Jaccard join by T-occurrence search over word shingles.
 
-Method. Sets of shingle hashes are made in numpy, a chunk of documents at a time; equal sets
-collapse to the smallest doc_id. Spark deals (shingle, document) entries by hash range into
-buckets, whose tasks count each shingle's documents; only shingles of two or more documents go
-back. A document of n shingles with fewer than ceil(t*n) such shingles can reach no overlap and is
+Method. Sets of shingle hashes are made in numpy, a chunk of documents at a time, and named by a
+64-bit digest, so equal sets are one set from the start. Spark deals (shingle, set) entries by hash range into
+buckets, whose tasks count each shingle's sets; only shingles of two or more sets go
+back. A set of n shingles with fewer than ceil(t*n) such shingles can reach no overlap and is
 finished. For the rest, the n - ceil(t*n) + 1 rarest shingles are its short lists: two linked
-documents share one of them. In each short list the document with most shared shingles is the
-query against all others; what is then still in different components of one list is compared
-pair by pair, so that no component is missed though members of one need not all be compared.
-A comparison is DivideSkip: the query's lists over a block of candidates are heap-merged where
-short and binary-probed where long, and a candidate stays with an overlap of
-T = ceil(t * (n_x + n_y) / (1 + t)).
+sets share one of them. The set with most shared shingles in a list is its centre, and all sets of a centre's
+lists are its cluster, so two linked sets are in one cluster. First each centre is searched in
+its cluster; then, in clusters that are not one component yet, every set outside the largest component is.
+So components are exact, though members of one component need not all be compared.
 
-A shingle that HOT documents of one chunk hold is sent once for the chunk and ordered last among
-all, so no list grows with the corpus by more than HOT entries a chunk. Blocks of candidates
-have a fixed size, so a frequent query is dealt over many tasks.
+A search is T-occurrence by DivideSkip over a block of a cluster, which is indexed once: the query's short inverted
+lists are heap-merged, its long ones probed by binary search for the candidates that the short ones
+leave, and a set stays with an overlap of T = ceil(t * (n_x + n_y) / (1 + t)).
+
+A shingle that HOT sets of one chunk hold is sent once for the chunk and ordered last among
+all, so no list grows with the corpus by more than HOT entries a chunk. Clusters are dealt in blocks of
+fixed size, so a large group of near copies is searched by many tasks.
 
 Defined results: texts that are null, empty or without words have an empty set and link to
 nothing; rows with a null doc_id get their n_shingles, no links and a null component; rows that
@@ -33,19 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import BASE, WordHash, bucket_bits, chunks, corpus_size, lists, mix, pack_planes, parts_for, rolling, shared_checkpoint, table, text_bytes, unpack_planes
+from tesselar.llm.common import BASE, WordHash, bucket_bits, chunks, corpus_size, mix, pack_planes, rolling, shared_checkpoint, table, text_bytes, unpack_planes
 from tesselar.llm.components import connected_components
 
 SHINGLE = 5
-THRESHOLD = (80, 100)
 #: Documents of one chunk that make a shingle count as frequent everywhere.
 HOT = 64
 #: The order of frequent shingles: after all counted ones.
 OFTEN = 2**31 - 1
-#: Candidates that one comparison task holds for a query.
-BLOCK = 256
-ENTRY = "bucket int, n int, docs binary, entries binary, doc_id long, hashes array<long>, freq array<int>"
-FOUND = "doc_id long, hashes array<long>, freq array<int>"
+#: Sets that one search holds in its index.
+BLOCK = 1024
+#: Entries of a bucket.
+BUCKET = 4_000_000
+ENTRY = "bucket int, n int, names binary, entries binary, set_id long, shared int, blob binary"
+FOUND = "set_id long, shared int, blob binary"
 
 
 def needed(n: int, percent: int) -> int:
@@ -53,13 +56,8 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def overlap_needed(n: int, m: int, percent: int) -> int:
-    """T: least overlap of sets of n and m with 100 * overlap >= percent * union."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
-def shingle_sets(texts: list[bytes], word_hash: WordHash, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document) of distinct shingles sorted by hash, and each document's size and two digests of its set."""
+def shingle_sets(texts: list[bytes], word_hash: WordHash, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document) of distinct shingles sorted by hash, and each document's size and the digest of its set."""
     words = [t.lower().split() for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.concatenate([word_hash.of(w) for w in words]) if words else np.empty(0, np.uint64)
@@ -89,69 +87,64 @@ def shingle_sets(texts: list[bytes], word_hash: WordHash, k: int) -> tuple[np.nd
     size = np.bincount(d, minlength=len(words))
     by_doc = np.argsort(d, kind="stable")
     starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(words) else np.empty(0, np.int64)
-    sums = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        total = np.concatenate([[0], np.cumsum(mix(h[by_doc] ^ np.uint64(salt)))]).astype(np.uint64)
-        sums.append(total[starts + size] - total[starts] if len(words) else np.empty(0, np.uint64))
-    return h, d, size, sums[0], sums[1]
-
-
-def _ids_of(part: pa.Table) -> np.ndarray:
-    return part["doc_id"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(mix(h[by_doc] ^ BASE))]).astype(np.uint64)
+    digest = mix(total[starts + size] - total[starts] + size.astype(np.uint64)) if len(words) else np.empty(0, np.uint64)
+    return h, d, size, digest
 
 
 def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = WordHash()
         for part in chunks(batches):
-            _, _, size, a, b = shingle_sets(text_bytes(part["text"].combine_chunks()), word_hash, k)
-            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "n", "da", "db"])
+            _, _, size, digest = shingle_sets(text_bytes(part["text"].combine_chunks()), word_hash, k)
+            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(digest.view(np.int64))], ["doc_id", "n", "set_id"])
 
     return run
 
 
+def _blobs(names: np.ndarray, h: np.ndarray, freq: np.ndarray) -> pa.Table:
+    """Shared shingles as a row for each set, with their counts, packed."""
+    order = np.argsort(names, kind="stable")
+    names, h, freq = names[order], h[order], freq[order].astype(np.int32)
+    cut = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
+    ends = np.append(cut[1:], len(names))
+    blobs = [pack_planes(h[a:b], freq[a:b]) for a, b in zip(cut, ends)]
+    return pa.table({"set_id": pa.array(names[cut], pa.int64()), "shared": pa.array((ends - cut).astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
+
+
 def _entries(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("entries", pa.binary()), ("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("freq", pa.list_(pa.int32()))])
+        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("entries", pa.binary()), ("set_id", pa.int64()), ("shared", pa.int32()), ("blob", pa.binary())])
         word_hash = WordHash()
         for part in chunks(batches):
-            ids = _ids_of(part)
-            by_id = np.argsort(ids, kind="stable")
-            ids = ids[by_id]
-            texts = text_bytes(part["text"].combine_chunks())
-            h, d, size, a, b = shingle_sets([texts[i] for i in by_id], word_hash, k)
-            del texts
-            # the smallest document of equal sets stands for them
-            seen, stands = set(), np.zeros(len(ids), bool)
-            for i, key in enumerate(zip(size.tolist(), a.tolist(), b.tolist())):
-                if key[0] and key not in seen:
-                    seen.add(key)
-                    stands[i] = True
+            h, d, size, digest = shingle_sets(text_bytes(part["text"].combine_chunks()), word_hash, k)
+            # one document of the chunk for each set
+            names, first = np.unique(digest, return_index=True)
+            stands = np.zeros(len(size), bool)
+            stands[first] = True
+            place = np.searchsorted(names, digest)
             keep = stands[d]
-            h, d = h[keep], d[keep]
+            h, d = h[keep], place[d[keep]]
             if not len(h):
                 continue
+            names = names.view(np.int64)
             first = np.append(True, h[1:] != h[:-1])
-            starts = np.flatnonzero(first)
-            counts = np.diff(np.append(starts, len(h)))
+            counts = np.diff(np.append(np.flatnonzero(first), len(h)))
             hot = (counts >= HOT)[np.cumsum(first) - 1]
             if hot.any():
-                hd, hh = d[hot], h[hot]
-                order = np.argsort(hd, kind="stable")
-                hd, hh = hd[order], hh[order]
-                cut = np.flatnonzero(np.append(True, hd[1:] != hd[:-1]))
-                n, names = len(cut), ids[hd[cut]]
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - (names & ((16 << bits) - 1)), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(names), lists(cut, hh.view(np.int64), pa.int64()), lists(cut, np.full(len(hh), OFTEN, np.int32), pa.int32())], schema=schema)
-                # one entry for the chunk, of no document
+                often = _blobs(names[d[hot]], h[hot], np.full(int(hot.sum()), OFTEN))
+                n = often.num_rows
+                target = pa.array(-1 - (often["set_id"].to_numpy() & ((16 << bits) - 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([target, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(often[c].combine_chunks() for c in ("set_id", "shared", "blob"))], schema=schema)
+                # one entry for the chunk, of no set
                 once = ~hot | first
-                d = np.where(hot, len(ids), d)[once]
-                h = h[once]
+                d, h = np.where(hot, len(names), d)[once], h[once]
             d = d.astype(np.uint16)
             cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             rows = [x for x in range(1 << bits) if cuts[x + 1] > cuts[x]]
-            names = len(ids).to_bytes(4, "little") + pack_planes(ids)
+            n, packed = len(rows), names.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int32()), pa.array([cuts[x + 1] - cuts[x] for x in rows], pa.int32()), pa.array([names] * len(rows), pa.binary()), pa.array([pack_planes(h[cuts[x] : cuts[x + 1]], d[cuts[x] : cuts[x + 1]]) for x in rows], pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int32()))],
+                [pa.array(rows, pa.int32()), pa.array([cuts[x + 1] - cuts[x] for x in rows], pa.int32()), pa.array([packed] * n, pa.binary()), pa.array([pack_planes(h[cuts[x] : cuts[x + 1]], d[cuts[x] : cuts[x + 1]]) for x in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 schema=schema,
             )
 
@@ -159,174 +152,200 @@ def _entries(k: int, bits: int):
 
 
 def _frequencies(rows: pa.Table) -> pa.Table:
-    """One bucket: for each document its shingles that two or more documents hold, with their counts."""
+    """One bucket: for each set its shingles that two or more sets hold, with their counts."""
     rows = rows.combine_chunks()
-    if rows.num_rows and rows["doc_id"][0].is_valid:
-        return rows.select(["doc_id", "hashes", "freq"])
+    if rows.num_rows and rows["set_id"][0].is_valid:
+        return rows.select(["set_id", "shared", "blob"])
     hs, ds, real = [], [], []
-    for n, docs, entries in zip(rows["n"].to_pylist(), rows["docs"], rows["entries"]):
-        docs = docs.as_py()
-        count = int.from_bytes(docs[:4], "little")
-        (names,) = unpack_planes(docs[4:], count, np.int64)
+    for n, names, entries in zip(rows["n"].to_pylist(), rows["names"], rows["entries"]):
+        names = np.frombuffer(names.as_py(), np.int64)
         h, d = unpack_planes(entries.as_py(), n, np.uint64, np.uint16)
         hs.append(h)
         ds.append(np.append(names, 0)[d])
-        real.append(d < count)
+        real.append(d < len(names))
     h, d, real = np.concatenate(hs), np.concatenate(ds), np.concatenate(real)
     del hs, ds
     order = np.argsort(h)
     h, d, real = h[order], d[order], real[order]
     first = np.append(True, h[1:] != h[:-1])
     starts = np.flatnonzero(first)
-    freq = np.diff(np.append(starts, len(h)))
-    freq[~np.logical_and.reduceat(real, starts)] = OFTEN
-    freq = freq[np.cumsum(first) - 1]
-    keep = (freq > 1) & real
-    h, d, freq = h[keep], d[keep], freq[keep].astype(np.int32)
-    order = np.argsort(d, kind="stable")
-    h, d, freq = h[order], d[order], freq[order]
-    cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.empty(0, np.int64)
-    return pa.table({"doc_id": pa.array(d[cut]), "hashes": lists(cut, h.view(np.int64), pa.int64()), "freq": lists(cut, freq, pa.int32())})
+    # shingles of one entry are done; of the others equal sets of different chunks count once
+    single = np.diff(np.append(starts, len(h))) == 1
+    left = ~(single[np.cumsum(first) - 1] & real)
+    h, d, real = h[left], d[left], real[left]
+    order = np.lexsort((d, h))
+    h, d, real = h[order], d[order], real[order]
+    if len(h):
+        keep = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (real[1:] != real[:-1]))
+        h, d, real = h[keep], d[keep], real[keep]
+        first = np.append(True, h[1:] != h[:-1])
+        starts = np.flatnonzero(first)
+        freq = np.diff(np.append(starts, len(h)))
+        freq[~np.logical_and.reduceat(real, starts)] = OFTEN
+        freq = freq[np.cumsum(first) - 1]
+        keep = (freq > 1) & real
+        h, d, freq = h[keep], d[keep], freq[keep]
+    else:
+        freq = np.empty(0, np.int64)
+    return _blobs(d, h, freq)
 
 
 def _prefixes(percent: int):
-    """Of documents with their size and shared shingles: the shared set sorted, and the keys of the short lists."""
+    """Of sets with their size and shared shingles: these in order of frequency, and how many of them are short lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, keys = [], []
-            for n, hashes, freq in zip(batch.column("n").to_pylist(), batch.column("hashes"), batch.column("freq")):
-                h, f = hashes.values.to_numpy(), freq.values.to_numpy()
-                alone = n - len(h)
-                short = max(0, n - needed(n, percent) + 1 - alone)
-                keys.append(h[np.lexsort((h, f))[:short]])
-                sets.append(np.sort(h))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "shared", "keys"])
+            for n, shared, blobs in zip(*(batch.column(c).to_pylist() for c in ("n", "counts", "blobs"))):
+                pairs = [unpack_planes(b, m, np.uint64, np.int32) for m, b in zip(shared, blobs)]
+                h, f = (np.concatenate(x) for x in zip(*pairs))
+                # a shingle frequent in one chunk comes from every chunk that holds the set: once, as frequent
+                order = np.lexsort((-f, h))
+                h, f = h[order], f[order]
+                once = np.append(True, h[1:] != h[:-1])
+                h, f = h[once], f[once]
+                short = max(0, n - needed(n, percent) + 1 - (n - len(h)))
+                h = h[np.lexsort((h, f))].view(np.int64)
+                keys.append(h[:short])
+                sets.append(np.sort(h).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("n"), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["set_id", "n", "members", "keys"])
 
     return run
 
 
-def divide_skip(query: np.ndarray, n: int, sets: list[np.ndarray], sizes: list[int], percent: int) -> list[int]:
-    """Indices of the candidate sets whose overlap with the query of n shingles reaches T.
-
-    Inverted lists of the query's shingles over the block; the least T of the block admits
-    setting that many long lists aside: the short ones are merged by a heap, and candidates that
-    occur often enough are probed in the long ones by binary search.
-    """
-    if not sets:
-        return []
-    shingle = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = np.searchsorted(query, shingle)
-    at[at == len(query)] = 0
-    in_query = query[at] == shingle if len(query) else np.zeros(len(shingle), bool)
-    at, owner = at[in_query], owner[in_query]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
-    inverted = sorted(np.split(owner, cut[1:]) if len(cut) else [], key=len)
-    wanted = [overlap_needed(n, m, percent) for m in sizes]
-    least = min(wanted)
-    longest = len(inverted[-1]) if inverted else 0
-    # the size of the long part by the rule T / (mu * log M + 1), with mu = 0.01
-    aside = min(len(inverted), max(0, least - 1), int(least / (0.01 * math.log2(max(2, longest)) + 1)))
-    short, long = inverted[: len(inverted) - aside], inverted[len(inverted) - aside :]
-    found = []
-    count, current = 0, -1
-
-    def probe(doc: int, have: int) -> None:
+class Block:
+    """An index of up to BLOCK sets: for each shingle the sorted places of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+        self.sizes = np.array(sizes, np.int64)
+        shingle = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(shingle, kind="stable")
+        shingle, self.owner = shingle[order], owner[order]
+        self.start = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.empty(0, np.int64)
+        self.key = shingle[self.start]
+        self.start = np.append(self.start, len(shingle))
+
+    def search(self, query: np.ndarray, n: int, percent: int) -> np.ndarray:
+        """Places of the sets whose overlap with the query of n shingles reaches T: DivideSkip."""
+        if not len(self.key):
+            return np.empty(0, np.int64)
+        at = np.searchsorted(self.key, query)
+        at[at == len(self.key)] = 0
+        at = at[self.key[at] == query]
+        lengths = self.start[at + 1] - self.start[at]
+        order = np.argsort(lengths, kind="stable")
+        lists = [self.owner[self.start[i] : self.start[i + 1]] for i in at[order]]
+        wanted = -(-percent * (n + self.sizes) // (100 + percent))
+        able = wanted <= np.minimum(n, self.sizes)
+        if not lists or not able.any():
+            return np.empty(0, np.int64)
+        least = int(wanted[able].min())
+        # so many long lists are set aside: T / (mu * log M + 1), with mu = 0.01
+        aside = min(len(lists), max(0, least - 1), int(least / (0.01 * math.log2(max(2, len(lists[-1]))) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        places, have = [], []
+        last, count = -1, 0
+        for place in heapq.merge(*[x.tolist() for x in short]):
+            if place == last:
+                count += 1
+            else:
+                if last >= 0:
+                    places.append(last)
+                    have.append(count)
+                last, count = place, 1
+        if last >= 0:
+            places.append(last)
+            have.append(count)
+        places, have = np.array(places, np.int64), np.array(have, np.int64)
+        if len(places):
+            stay = able[places] & (have >= wanted[places] - aside)
+            places, have = places[stay], have[stay]
+        # the longest last: candidates that cannot reach T any more leave
         for left, ids in zip(range(len(long), 0, -1), long):
-            if have + left < wanted[doc]:
-                return
-            i = np.searchsorted(ids, doc)
-            have += i < len(ids) and ids[i] == doc
-        if have >= wanted[doc]:
-            found.append(doc)
-
-    for doc in heapq.merge(*[ids.tolist() for ids in short]):
-        if doc != current:
-            if current >= 0 and count >= wanted[current] - aside:
-                probe(current, count)
-            count, current = 0, doc
-        count += 1
-    if current >= 0 and count >= wanted[current] - aside:
-        probe(current, count)
-    return found
-
-
-def _compared(percent: int):
-    """Rows of one (query, block) come together, the query first; yields linked pairs."""
+            if not len(places):
+                break
+            i = np.searchsorted(ids, places)
+            i[i == len(ids)] = 0
+            have += ids[i] == places
+            if left % 16 == 0:
+                stay = have + left - 1 >= wanted[places]
+                places, have = places[stay], have[stay]
+        return places[have >= wanted[places]] if len(places) else places
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, n, sets, sizes, names = None, None, 0, [], [], []
 
-        def links():
-            found = divide_skip(query, n, sets, sizes, percent) if query is not None else []
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([names[i] for i in found], pa.int64())], ["a", "b"])
+def _searched(percent: int):
+    """Rows of one block come together, its sets before its queries; yields linked pairs of different components,
+    one for each query and component."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, sets, sizes, names, parts, a, b = None, None, [], [], [], [], [], []
         for batch in batches:
-            for q, block, doc, size, shared in zip(*(batch.column(x).to_pylist() for x in ("q", "block", "doc_id", "n")), batch.column("shared")):
-                if (q, block) != key:
-                    if key is not None:
-                        yield links()
-                    key, query, sets, sizes, names = (q, block), None, [], [], []
-                values = shared.values.to_numpy()
-                if doc == q:
-                    query, n = values, size
-                else:
-                    sets.append(values)
-                    sizes.append(size)
-                    names.append(doc)
-        if key is not None:
-            yield links()
+            columns = (batch.column(c).to_pylist() for c in ("centre", "block", "query", "set_id", "n", "part"))
+            for centre, number, query, name, n, part, members in zip(*columns, batch.column("members")):
+                if (centre, number) != key:
+                    key, block, sets, sizes, names, parts = (centre, number), None, [], [], [], []
+                values = np.frombuffer(members.as_buffer(), np.int64)
+                if not query:
+                    sets.append(values.copy())
+                    sizes.append(n)
+                    names.append(name)
+                    parts.append(part)
+                    continue
+                block = block or Block(sets, sizes)
+                seen = {part}
+                for i in block.search(values, n, percent).tolist():
+                    if parts[i] not in seen and names[i] != name:
+                        seen.add(parts[i])
+                        a.append(name)
+                        b.append(names[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (q, doc_id) those whose sets reach T."""
-    size = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(size, "q").select("q", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id")
-    queries = size.select("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("q").alias("doc_id"))
-    rows = dealt.unionByName(queries).join(sets.select("doc_id", "n", "shared"), "doc_id")
-    together = rows.repartition("q", "block").sortWithinPartitions("q", "block", F.col("doc_id") != F.col("q"))
-    return together.select("q", "block", "doc_id", "n", "shared").mapInArrow(_compared(percent), "a long, b long")
+def _links(clusters: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of queries (centre, set_id, part) with other sets of their clusters (centre, set_id, part)."""
+    size = clusters.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = clusters.join(size, "centre").select("centre", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "set_id", "part")
+    asked = queries.join(size, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "set_id", "part")
+    rows = held.unionByName(asked).join(sets.select("set_id", "n", "members"), "set_id")
+    together = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", "query")
+    return together.select("centre", "block", "query", "set_id", "n", "part", "members").mapInArrow(_searched(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = 80, bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
     if bits is None:
-        bits = bucket_bits(corpus_size(docs)[1] // 6)
+        bits = bucket_bits(corpus_size(docs)[1] // 6, BUCKET, 5)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = shared_checkpoint(docs.mapInArrow(_sizes(k), "doc_id long, n long, da long, db long"))
-    named = sizes.where("n > 0 AND doc_id IS NOT NULL")
-    stands = named.groupBy("n", "da", "db").agg(F.min("doc_id").alias("rep"))
+    sizes = shared_checkpoint(docs.mapInArrow(_sizes(k), "doc_id long, n long, set_id long"))
+    reps = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     entries = docs.where("doc_id IS NOT NULL").mapInArrow(_entries(k, bits), ENTRY)
     found = entries.groupBy("bucket").applyInArrow(_frequencies, FOUND)
-    shared = found.groupBy("doc_id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("freq")).alias("freq"))
-    reps = stands.groupBy("rep").agg(F.max("n").alias("n"))
-    able = shared.join(reps, shared.doc_id == reps.rep).where(F.size("hashes") * 100 >= F.col("n") * percent)
-    sets = shared_checkpoint(able.select("doc_id", "n", "hashes", "freq").mapInArrow(_prefixes(percent), "doc_id long, n long, shared array<long>, keys array<long>"))
-
-    lists_of = sets.select("doc_id", "n", (F.size("shared") / F.col("n")).alias("part"), F.explode("keys").alias("key"))
-    central = lists_of.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("part", -F.col("doc_id"), "n")).alias("top")).where("held > 1").select("key", (-F.col("top.col2")).alias("q"), F.col("top.n").alias("qn"))
-    alike = F.least("n", "qn") * 100 >= F.greatest("n", "qn") * percent
-    star = shared_checkpoint(lists_of.join(central, "key").where((F.col("doc_id") != F.col("q")) & alike).select("q", "doc_id").distinct())
-    first = shared_checkpoint(_linked(star, sets, percent))
+    shared = found.groupBy("set_id").agg(F.collect_set(F.struct("shared", "blob")).alias("held"))
+    shared = shared.select("set_id", F.col("held.shared").alias("counts"), F.col("held.blob").alias("blobs"), F.aggregate("held", F.lit(0), lambda a, x: a + x["shared"]).alias("all"))
+    able = shared.join(reps, "set_id").where(F.col("all") * 100 >= F.col("n") * percent)
+    sets = shared_checkpoint(able.select("set_id", "n", "counts", "blobs").mapInArrow(_prefixes(percent), "set_id long, n long, members binary, keys array<long>"))
+
+    lists_of = sets.select("set_id", (F.length("members") / F.col("n")).alias("weight"), F.explode("keys").alias("key"))
+    centres = lists_of.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("weight", "set_id")).alias("top")).where("held > 1").select("key", F.col("top.set_id").alias("centre"))
+    clusters = shared_checkpoint(lists_of.join(centres, "key").select("centre", "set_id").distinct())
+    alone = clusters.select("centre", "set_id", F.col("set_id").alias("part"))
+    first = shared_checkpoint(_links(alone, alone.where("set_id = centre"), sets, percent))
     groups = connected_components(first)
 
-    placed = lists_of.join(groups, lists_of.doc_id == groups.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("part_of"))
-    mixed = placed.groupBy("key").agg(F.min("part_of").alias("lo"), F.max("part_of").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(mixed, "key")
-    right = left.select("key", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("part_of").alias("q_part"))
-    across = left.join(right, "key").where((F.col("q") < F.col("doc_id")) & (F.col("part_of") != F.col("q_part")) & alike).select("q", "doc_id").distinct()
-    tried = star.select(F.least("q", "doc_id").alias("q"), F.greatest("q", "doc_id").alias("doc_id"))
-    rest = shared_checkpoint(across.join(tried, ["q", "doc_id"], "left_anti"))
-    second = shared_checkpoint(_linked(rest, sets, percent))
+    placed = clusters.join(groups, clusters.set_id == groups.node, "left").select("centre", "set_id", F.coalesce("component", "set_id").alias("part"))
+    counted = placed.groupBy("centre", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("centre").agg(F.max(F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("centre", F.col("top.part").alias("largest"))
+    mixed = placed.join(counted, "centre")
+    second = shared_checkpoint(_links(mixed.drop("largest"), mixed.where("part <> largest").drop("largest"), sets, percent))
     linked = connected_components(first.unionByName(second))
-    by_rep = stands.join(linked, stands.rep == linked.node, "left").select("n", "da", "db", F.coalesce("component", "rep").alias("component_id"))
-    out = sizes.join(by_rep, ["n", "da", "db"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = linked.join(reps, linked.node == reps.set_id).select("node", "component", "rep")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    by_set = reps.join(named.join(least, "component").select(F.col("node").alias("set_id"), "least"), "set_id", "left").select("set_id", F.coalesce("least", "rep").alias("component_id"))
+    out = sizes.join(by_set, "set_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
