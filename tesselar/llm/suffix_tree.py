@@ -38,15 +38,16 @@ from pyspark.sql import functions as F
 
 from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, pack_planes, table, text_bytes, unpack_planes
 
-DEPTH = 6
-P_MIN = 1e-5
+DEPTH = 5
+P_MIN = 2e-5
 EPSILON = 2e-7
 PRIOR = 8.0
 FREQUENT = 2e-6
 #: Symbols beside the bytes of words.
 SPACE, END = 0x20, 0x0A
 LANES = 4096
-MERGE_EVERY = 8
+#: Text of a slice that is counted at once, and slices that are merged.
+COUNT_BYTES, MERGE_EVERY = 2 << 20, 12
 
 
 def held_out(remainders: int = 7, held: int = 2) -> Column:
@@ -62,19 +63,32 @@ def symbols(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.frombuffer(b"".join(parts), np.uint8), ends - sizes + depth, ends
 
 
-def _grams(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+class Counts:
+    """Counts of 64-bit keys, merged every few slices so that a task holds few of them."""
+
+    def __init__(self, names: list[str]):
+        self.keys, self.counts, self.names = [], [], names
+
+    def add(self, values: np.ndarray) -> None:
+        k, c = np.unique(values, return_counts=True)
+        self.keys.append(k)
+        self.counts.append(c)
 
-        def merged() -> pa.RecordBatch:
-            k, c = np.concatenate(keys), np.concatenate(counts)
+    def merged(self, slices: int) -> Iterator[pa.RecordBatch]:
+        """What is held, if that is at least so many slices."""
+        if len(self.keys) >= slices:
+            k, c = np.concatenate(self.keys), np.concatenate(self.counts)
+            self.keys, self.counts = [], []
             order = np.argsort(k)
             k, c = k[order], c[order]
             starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            keys[:], counts[:] = [], []
-            return pa.RecordBatch.from_arrays([pa.array(k[starts].astype(np.int64)), pa.array(np.add.reduceat(c, starts))], ["gram", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[starts].view(np.int64)), pa.array(np.add.reduceat(c, starts))], self.names)
 
-        for part in chunks(batches):
+
+def _grams(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(["gram", "c"])
+        for part in chunks(batches, COUNT_BYTES):
             stream, starts, ends = symbols(text_bytes(part["text"].combine_chunks()), depth)
             g = np.zeros(len(stream) - depth, np.uint64)
             for j in range(depth + 1):
@@ -83,14 +97,9 @@ def _grams(depth: int):
             edge = np.zeros(len(stream) + 1, np.int8)
             edge[starts] += 1
             edge[ends] -= 1
-            own = np.cumsum(edge[:-1], dtype=np.int8)[depth:] > 0
-            k, c = np.unique(g[own], return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            if len(keys) >= MERGE_EVERY:
-                yield merged()
-        if keys:
-            yield merged()
+            counts.add(g[np.cumsum(edge[:-1], dtype=np.int8)[depth:] > 0])
+            yield from counts.merged(MERGE_EVERY)
+        yield from counts.merged(1)
 
     return run
 
@@ -123,7 +132,7 @@ class SuffixTree:
         d, ctx, nxt, c = d[order], ctx[order], nxt[order], c[order]
         cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (ctx[1:] != ctx[:-1]))) if len(d) else np.empty(0, np.int64)
         for a, b in zip(cut, np.append(cut[1:], len(d))):
-            row = np.zeros(width)
+            row = np.zeros(width, np.float32)
             row[classes[nxt[a:b]]] = c[a:b]
             counts[int(d[a]), int(ctx[a])] = row
         root = counts.get((0, 0), np.zeros(width))
@@ -139,7 +148,7 @@ class SuffixTree:
             if k:
                 up = dist[k - 1, v & ((1 << (8 * (k - 1))) - 1)]
                 row = counts[key]
-                dist[key] = (row + prior * up) / (row.sum() + prior)
+                dist[key] = ((row + prior * up) / (row.sum() + prior)).astype(np.float32)
         kept = {(0, 0)}
         for k, v in sorted(counts, reverse=True):
             if not k:
@@ -214,11 +223,12 @@ def mixture(model: SuffixTree, texts: list[bytes], lengths: np.ndarray, end_shar
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word_hash = WordHash()
-    for part in chunks(batches, 4 * (4 << 20)):
+    word_hash, counts = WordHash(), Counts(["h", "c"])
+    for part in chunks(batches, COUNT_BYTES):
         words = b" ".join(text_bytes(part["text"].combine_chunks())).lower().split()
-        k, c = np.unique(word_hash.of(words), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["h", "c"])
+        counts.add(word_hash.of(words))
+        yield from counts.merged(MERGE_EVERY)
+    yield from counts.merged(1)
 
 
 def _rare(tree, often: np.ndarray, bits: int, end_share: float):
