@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tesselar.llm.common import chunks, table, text_bytes
 from tesselar.llm.labelled import held_out, labelled_sample
 
-PER_CLASS = 6_000
+PER_CLASS = 2_500
 #: Standard errors by which a term's log odds must differ from 0.
 SURE = 1.5
 SPACE_BITS = 24
@@ -79,10 +79,12 @@ class FactorizationMachine:
         if len(set(labels.tolist())) < 2:
             return none
         flat = np.concatenate(rows)
-        terms, place = np.unique(flat, return_inverse=True)
-        toxic = np.bincount(place, np.repeat(labels, [len(r) for r in rows]))
-        value = term_values(toxic, np.bincount(place) - toxic, labels.sum(), len(labels) - labels.sum())
-        terms, value = terms[value > 0], value[value > 0]
+        terms, texts = np.unique(flat, return_counts=True)
+        toxic = np.zeros(len(terms))
+        found, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y]), return_counts=True)
+        toxic[np.searchsorted(terms, found)] = times
+        value = term_values(toxic, texts - toxic, labels.sum(), len(labels) - labels.sum())
+        terms, value = terms[value > 0].astype(np.int64), value[value > 0]
         if not len(terms):
             return none
         value = np.append(value, 0.0)
@@ -157,7 +159,7 @@ class FactorizationMachine:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FactorizationMachine:
     sample, share = labelled_sample(docs, labels, "toxic", per_class, SEED)
     rows = sample.mapInArrow(_term_lists, "doc_id long, label int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return FactorizationMachine.fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["label"].to_numpy().astype(float), share)
+    return FactorizationMachine.fit([np.asarray(t, np.int32) for t in rows["terms"]], rows["label"].to_numpy().astype(float), share)
 
 
 def _scored(model):
