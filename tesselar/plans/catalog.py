@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.plans import surface
+from tesselar.plans import rules, surface
 
-PARTS = [surface.R]
+PARTS = [surface.R, rules.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
