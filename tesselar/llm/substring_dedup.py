@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, inside, lists, pack_planes, parts_for, rolling, table, text_bytes, unpack_planes
+from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, inside, lists, pack_planes, rolling, table, text_bytes, unpack_planes
 
 WINDOW = 13
 #: Stands for a null doc_id: after all documents.
@@ -68,7 +68,7 @@ def _entries(window: int, bits: int):
             h = rolling(flat, window)[at]
             d = np.repeat(doc, lengths)[at].astype(np.int32)
             del words, texts, flat
-            order = np.lexsort((d, h)) if len(h) < 2 else np.argsort(h)
+            order = np.argsort(h)
             h, d = h[order], d[order]
             first = np.append(True, h[1:] != h[:-1])
             starts = np.flatnonzero(first)
