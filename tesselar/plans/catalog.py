@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.plans import ingestion, rules, surface
+from tesselar.plans import facts, ingestion, rules, surface
 
-PARTS = [surface.R, rules.R, ingestion.R]
+PARTS = [surface.R, rules.R, ingestion.R, facts.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
