@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselar.operators import extract, facts, windows
+from tesselar.operators import extract, facts, merge, resolve, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources.tables import table
 
@@ -109,3 +109,41 @@ def w3(spark, d):
     a = facts.answers(experience(spark, d).withColumn("occurred_at", F.struct("occurred_at", "arrival")))
     last = windows.first_of(a, [*facts.RUN, "question_key"], [F.desc("answered_at")])
     return last.join(a.groupBy("run_id").agg(F.count(F.lit(1)).alias("total")), "run_id").select("run_id", "value", "total")
+
+
+@add("r1_persons", """
+WITH RECURSIVE p AS (SELECT n, CASE WHEN strong < n THEN strong WHEN weak < n THEN weak ELSE n END AS up FROM (
+  SELECT event_id AS n, min(event_id) OVER (PARTITION BY user_id) AS strong, min(event_id) OVER (PARTITION BY event_type, json_extract_string(props, '$.k')) AS weak FROM events)),
+r AS (SELECT n, up FROM p UNION SELECT r.n, p.up FROM r JOIN p ON r.up = p.n WHERE p.up <> r.up)
+SELECT n AS arrival, min(up) AS person, false AS conflict FROM r GROUP BY n
+""")
+def r1(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("arrival"), "user_id", F.get_json_object("props", "$.k").alias("k"))
+    pairs = F.array(F.struct(F.lit("email").alias("type"), F.concat("user_id", F.lit("@x.co")).alias("value")), F.struct(F.lit("visitor").alias("type"), F.col("k").alias("value")))
+    return resolve.persons(e.select("source", "arrival", F.inline(pairs)))
+
+
+@add("k9_evidence_once", "SELECT min(event_id) AS event_id, user_id, event_type, json_extract_string(props, '$.k') AS value FROM events n WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 2 = 1 AND s.user_id = n.user_id AND s.event_type = n.event_type AND json_extract_string(s.props, '$.k') = json_extract_string(n.props, '$.k')) GROUP BY user_id, event_type, json_extract_string(props, '$.k')")
+def k9(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("value"))
+    return merge.insert_new(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), ["user_id", "event_type", "value"], [F.col("event_id")])
+
+
+@add("w5_first_of_batch", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def w5(spark, d):
+    return windows.first_of(table(spark, d, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@add("a10_action_status", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS pending, max(o_orderdate) AS newest FROM orders")
+def a10(spark, d):
+    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("pending"), F.max("o_orderdate").alias("newest"))
+
+
+@add("l3_message_page", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 50 OFFSET 100")
+def l3(spark, d):
+    return table(spark, d, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).offset(100).limit(50).select("conv_id", "turn", "role")
+
+
+@add("p7_interaction_filter", "SELECT event_id, ts FROM events WHERE user_id = 7 AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-10'")
+def p7(spark, d):
+    return table(spark, d, "events").where("user_id = 7 AND event_type = 'click' AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'").select("event_id", "ts")
