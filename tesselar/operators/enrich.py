@@ -92,3 +92,16 @@ def opportunities(enriched: DataFrame) -> DataFrame:
     rules = [(T.has(F.col("intents"), "cotacao", "frete", "coleta"), "cotacao_frete"), (F.col("kind") == "motorista", "motorista_parceiro"), (F.col("kind") == "fornecedor", "fornecedor_potencial")]
     found = F.array_compact(F.array(*[F.when(w, F.lit(n)) for w, n in rules]))
     return enriched.select("contact_id", F.explode(found).alias("opportunity_type"), F.col("opportunity_score").alias("score"), F.lit("nova").alias("status"))
+
+
+def conversation_signals(messages: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(conversation_id, contact_id, messages, corpus, subject, summary and all lists of ``signals``) for each conversation.
+
+    messages: conversation_id, contact_id, position, text. Texts are joined in the order of position; messages without text
+    count, too. Meant for the first and last messages of a contact, as ``rollup.corpus``: a conversation's text is one value.
+    """
+    told = F.when(F.col("text") != "", F.struct("position", "text"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda m: m["text"]), " ")
+    rows = messages.groupBy("conversation_id", "contact_id").agg(F.count(F.lit(1)).alias("messages"), texts.alias("corpus"))
+    found = signals(rows, "corpus", vocabulary)
+    return found.withColumns({"subject": T.conversation_subject(F.col("intents"), F.col("types")), "summary": T.conversation_summary(F.col("messages"), F.col("intents"))})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselar.operators import extract, facts, merge, resolve, windows
+from tesselar.operators import enrich, extract, facts, merge, resolve, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources.tables import table
 
@@ -147,3 +147,13 @@ def l3(spark, d):
 @add("p7_interaction_filter", "SELECT event_id, ts FROM events WHERE user_id = 7 AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-10'")
 def p7(spark, d):
     return table(spark, d, "events").where("user_id = 7 AND event_type = 'click' AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'").select("event_id", "ts")
+
+
+@add("r10_conversations", """
+SELECT conv_id, messages, CASE WHEN quote AND driver THEN 'cotacao/frete/carreta' WHEN quote THEN 'cotacao/frete' WHEN driver THEN 'motorista/carreta' ELSE 'geral' END AS subject,
+  'Conversa com ' || messages || ' mensagem(s).' || CASE WHEN quote AND driver THEN ' Tópicos principais: cotacao, frete, motorista.' WHEN quote THEN ' Tópicos principais: cotacao, frete.' WHEN driver THEN ' Tópicos principais: motorista.' ELSE '' END AS summary
+FROM (SELECT conv_id, count(*) AS messages, bool_or((conv_id + turn) % 5 = 2) AS quote, bool_or((conv_id + turn) % 5 = 3) AS driver FROM conversations GROUP BY conv_id)
+""")
+def r10(spark, d):
+    c = chats(spark, d).select(F.split_part("external_key", F.lit("-"), F.lit(1)).alias("conversation_id"), F.lit("5").alias("contact_id"), F.split_part("external_key", F.lit("-"), F.lit(2)).cast("int").alias("position"), "text")
+    return enrich.conversation_signals(c).select(F.col("conversation_id").cast("long").alias("conv_id"), "messages", "subject", "summary")
