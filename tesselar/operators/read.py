@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
@@ -76,3 +76,23 @@ def queue(rows: DataFrame, done_at: str, recency: str, tie: str, limit: int) ->
 def of_workspace(rows: DataFrame, members: DataFrame, key: str, workspace: Column | str) -> DataFrame:
     """Rows whose key belongs to the workspace; the filter comes before the join."""
     return rows.join(members.where(F.col("workspace_id") == workspace).select(key), key, "left_semi")
+
+
+def context(sections: dict[str, DataFrame], subject: str, at: str, tie: str, include: str | None = None, cap: int = 20) -> DataFrame:
+    """(subject, section, rank, at, item) for all subjects: the newest ``cap`` rows of each wanted section, an item as JSON.
+
+    ``include`` names sections with commas between, all where it is empty; unknown names are ignored. Only the wanted ones are
+    read. With none wanted there are no rows.
+    """
+    asked = {n.strip() for n in (include or "").split(",") if n.strip()}
+    empty = next(iter(sections.values())).where("false")
+    wanted = {n: df for n, df in sections.items() if not asked or n in asked} or {"none": empty}
+    newest = Window.partitionBy(subject).orderBy(F.desc(at), F.desc(tie))
+    parts = []
+    for name, df in wanted.items():
+        top = df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= cap)
+        parts.append(top.select(subject, F.lit(name).alias("section"), F.col("_rank").alias("rank"), F.col(at).alias("at"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("item")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselar.operators import enrich, extract, facts, merge, resolve, windows
+from tesselar.operators import enrich, extract, facts, merge, read, resolve, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources.tables import table
 
@@ -157,3 +157,14 @@ FROM (SELECT conv_id, count(*) AS messages, bool_or((conv_id + turn) % 5 = 2) AS
 def r10(spark, d):
     c = chats(spark, d).select(F.split_part("external_key", F.lit("-"), F.lit(1)).alias("conversation_id"), F.lit("5").alias("contact_id"), F.split_part("external_key", F.lit("-"), F.lit(2)).cast("int").alias("position"), "text")
     return enrich.conversation_signals(c).select(F.col("conversation_id").cast("long").alias("conv_id"), "messages", "subject", "summary")
+
+
+@add("p10_context_sections", """
+SELECT user_id, section, rank, seen_at, id FROM (SELECT user_id, section, seen_at, id, row_number() OVER (PARTITION BY user_id, section ORDER BY seen_at DESC, id DESC) AS rank FROM (
+  SELECT user_id, 'recent_interactions' AS section, ts AS seen_at, event_id AS id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, 'scores', ts, event_id FROM events WHERE value > 1)) WHERE rank <= 20
+""")
+def p10(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    sections = {"recent_interactions": e.where("event_type = 'click'"), "scores": e.where("value > 1"), "answers": e}
+    found = read.context(sections, "user_id", "ts", "event_id", include="scores, recent_interactions, nothing")
+    return found.select("user_id", "section", "rank", F.col("at").alias("seen_at"), F.get_json_object("item", "$.event_id").cast("long").alias("id"))
