@@ -1,14 +1,15 @@
 """LM scoring by a probabilistic suffix tree.
 
 Method. A text is the byte string of its lower-cased words, each word but the last followed by a space
-and the last by an end symbol. Spark counts all (DEPTH + 1)-grams of bytes of the training texts and sums
-them to every shorter depth. A context is a candidate when it makes up at least P_MIN of the training
-symbols, so at most 1 / P_MIN candidates of each length exist at any corpus size and only these reach the driver.
-A candidate is retained when its next-symbol distribution diverges from that of the context one
-symbol shorter by EPSILON at least: divergence in bits times the context's share of all symbols. Retained
-contexts with their suffixes and prefixes form the tree. A node's distribution is smoothed
-with its parent's as a prior of strength PRIOR. The score walks the automaton of longest suffix
-states; tasks walk many stretches of text in step, after DEPTH symbols of lead-in.
+and the last by an end symbol; after DEPTH symbols of context its next symbol is a gram of DEPTH + 1 bytes.
+Documents are dealt into slices of about SLICE_BYTES. A slice asks for its distinct grams, with their counts in
+training texts; requests go to buckets by the HEAD bytes before the next one, so a bucket has all grams of a
+context of HEAD bytes or more and of the contexts that end in it. There the counts are summed and each context
+seen MIN_COUNT times at least is a candidate, whose next-symbol distribution is smoothed with that of the
+context one symbol shorter as a prior of strength PRIOR. It is retained when this saves GAIN bits at least over
+the shorter context on all its training symbols. Both bounds are absolute, so the tree grows with the
+text. It stays in the buckets: a gram's probability, that by its longest retained context, is sent to the slices that
+asked. Only the counts of HEAD bytes (contexts shorter than HEAD; at most 256 ** HEAD) are sent to all tasks.
 
 As for the base, a text is a sequence of words of the training vocabulary or of one class of
 unknown words. The class has the Good-Turing share of words seen once. The rest goes to known words,
@@ -21,7 +22,7 @@ which count them and return each document's sum. Word hashes have 64 bits and ar
 
 Defined results: null and empty texts are the end symbol alone; training rows are those whose
 crc32(doc_id) mod 7 is not 2, with a null doc_id taken as the empty string; rows that repeat a
-doc_id and text score alike; an empty table gives no rows; without training rows the
+doc_id and text score alike and are in one slice; an empty table gives no rows; without training rows the
 model is uniform over bytes.
 """
 
@@ -33,14 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, pack_planes, table, text_bytes, unpack_planes
+from tesselar.llm.common import WordHash, bucket_bits, chunks, mix, pack_planes, parts_for, table, text_bytes, unpack_planes
 
-DEPTH = 5
-P_MIN = 2e-5
-EPSILON = 2e-7
+DEPTH, HEAD = 6, 3
+#: Training symbols after a candidate, and bits that a retained context saves on them.
+MIN_COUNT, GAIN = 2, 8.0
 PRIOR = 8.0
 FREQUENT = 2e-6
 #: Symbols beside the bytes of words.
@@ -48,6 +48,7 @@ SPACE, END = 0x20, 0x0A
 LANES = 4096
 #: Text of a slice that is counted at once, and slices that are merged.
 COUNT_BYTES, MERGE_EVERY = 2 << 20, 12
+SLICE_BYTES = 12 << 20
 
 
 def held_out(remainders: int = 7, held: int = 2) -> Column:
@@ -85,42 +86,149 @@ class Counts:
             yield pa.RecordBatch.from_arrays([pa.array(k[starts].view(np.int64)), pa.array(np.add.reduceat(c, starts))], self.names)
 
 
-def _grams(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(["gram", "c"])
-        for part in chunks(batches, COUNT_BYTES):
+def grams(stream: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each own symbol the gram of ``depth`` + 1 bytes that ends with it, and the symbol."""
+    g = np.zeros(len(stream) - depth, np.uint64)
+    for j in range(depth + 1):
+        g <<= np.uint64(8)
+        g |= stream[j : len(stream) - depth + j]
+    edge = np.zeros(len(stream) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    own = np.cumsum(edge[:-1], dtype=np.int8)[depth:] > 0
+    return g[own], stream[depth:][own]
+
+
+def per_word(each: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the symbols of each word with its stop, and whether that is an end."""
+    stops = np.flatnonzero((kind == SPACE) | (kind == END))
+    return np.add.reduceat(each, np.concatenate([[0], stops[:-1] + 1])), kind[stops] == END
+
+
+def _requests(depth: int, bits: int):
+    """One slice: (bucket, slice, n, entries of 2 * gram + whether it is of training texts, count)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        counts = Counts(["key", "c"])
+        for part in chunks(rows.to_batches(), COUNT_BYTES):
             stream, starts, ends = symbols(text_bytes(part["text"].combine_chunks()), depth)
-            g = np.zeros(len(stream) - depth, np.uint64)
-            for j in range(depth + 1):
-                g <<= np.uint64(8)
-                g |= stream[j : len(stream) - depth + j]
-            edge = np.zeros(len(stream) + 1, np.int8)
-            edge[starts] += 1
-            edge[ends] -= 1
-            counts.add(g[np.cumsum(edge[:-1], dtype=np.int8)[depth:] > 0])
-            yield from counts.merged(MERGE_EVERY)
-        yield from counts.merged(1)
+            train = part["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64)
+            counts.add(grams(stream, starts, ends, depth)[0] << np.uint64(1) | np.repeat(train, ends - starts))
+        merged = next(counts.merged(1))
+        key, c = merged.column(0).to_numpy().view(np.uint64), merged.column(1).to_numpy().astype(np.uint32)
+        bucket = mix(key >> np.uint64(9) & np.uint64((1 << 8 * HEAD) - 1)) >> np.uint64(64 - bits)
+        order = np.argsort(bucket, kind="stable")
+        key, c = key[order], c[order]
+        cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        made = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
+        blobs = [pack_planes(key[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]]) for b in made]
+        return pa.table({"bucket": pa.array(made, pa.int32()), "slice": pa.array([rows["slice"][0].as_py()] * len(made), pa.int64()), "n": pa.array([cuts[b + 1] - cuts[b] for b in made], pa.int32()), "entries": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _found(sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The value of each key, 0 where it is not among the sorted ones."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), values.dtype)
+    i = np.searchsorted(sorted_keys, keys)
+    i[i == len(sorted_keys)] = 0
+    return np.where(sorted_keys[i] == keys, values[i], 0)
+
+
+class Level:
+    """The contexts of one length: counts of their grams and symbols, and which contexts are retained."""
+
+    def __init__(self, g: np.ndarray, counts: np.ndarray, depth: int, up: np.ndarray | None, least: int, gain: float):
+        self.mask = np.uint64((1 << (8 * depth + 8)) - 1)
+        key, first, place = np.unique(g & self.mask, return_index=True, return_inverse=True)
+        c = np.bincount(place, counts, len(key))
+        self.key, self.c, first = key[c > 0], c[c > 0], first[c > 0]
+        self.context, place = np.unique(self.key >> np.uint64(8), return_inverse=True)
+        self.n = np.bincount(place, self.c, len(self.context))
+        self.root = up is None
+        if self.root:
+            self.kept = np.ones(len(self.context), bool)
+            return
+        up = up[first]
+        p = (self.c + PRIOR * up) / (self.n[place] + PRIOR)
+        # symbols not seen after the context share the rest
+        free = PRIOR / (self.n + PRIOR)
+        rest = np.clip(1 - np.bincount(place, up, len(self.n)), 0, None)
+        self.saved = self.n * (np.bincount(place, p * np.log2(p / up), len(self.n)) + free * rest * np.log2(free))
+        self.kept = (self.n >= least) & (self.saved >= gain)
+
+    def apply(self, g: np.ndarray, up: np.ndarray | None, best: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each gram the probability by the context of this length, and by the longest retained one so far."""
+        key = g & self.mask
+        c, context = _found(self.key, self.c, key), key >> np.uint64(8)
+        n = _found(self.context, self.n, context)
+        if self.root:
+            p = (c + 1) / (self.n.sum() + 256)
+            return p, p
+        p = (c + PRIOR * up) / (n + PRIOR)
+        return p, np.where(_found(self.context, self.kept, context), p, best)
+
+
+def head_levels(g: np.ndarray, counts: np.ndarray, least: int = MIN_COUNT, gain: float = GAIN) -> list[Level]:
+    """The levels of contexts shorter than HEAD from the counts of all grams of HEAD bytes."""
+    levels, p, best = [], None, None
+    for d in range(HEAD):
+        levels.append(Level(g, counts, d, p, least, gain))
+        p, best = levels[-1].apply(g, p, best)
+    return levels
+
+
+def gram_scores(head: list[Level], g: np.ndarray, counts: np.ndarray, depth: int, least: int = MIN_COUNT, gain: float = GAIN) -> np.ndarray:
+    """log10 probability of the last symbol of each of the distinct grams, which must be all of their bucket."""
+    p, best = None, None
+    for d in range(depth + 1):
+        level = head[d] if d < HEAD else Level(g, counts, d, p, least, gain)
+        p, best = level.apply(g, p, best)
+    return np.log10(best).astype(np.float32)
+
+
+def _bucket_scores(head, depth: int, least: int, gain: float):
+    """One bucket: (slice, n, entries of gram, log10 probability) for each slice that asked."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = rows["n"].to_pylist()
+        parts = [unpack_planes(x.as_py(), n, np.uint64, np.uint32) for n, x in zip(sizes, rows["entries"])]
+        key, c = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        g, place = np.unique(key >> np.uint64(1), return_inverse=True)
+        logp = gram_scores(head.value, g, np.bincount(place, np.where(key & np.uint64(1), c, 0), len(g)), depth, least, gain)
+        edge, made = np.concatenate([[0], np.cumsum(sizes)]), []
+        for a, b in zip(edge, edge[1:]):
+            at = place[a:b]
+            made.append(at[np.append(True, at[1:] != at[:-1])])
+        return pa.table({"slice": rows["slice"], "n": pa.array([len(x) for x in made], pa.int32()), "entries": pa.array([pack_planes(g[x], logp[x]) for x in made], pa.binary())})
 
     return run
 
 
-def context_counts(docs: DataFrame, depth: int, least: float) -> DataFrame:
-    """(depth, context, next, c) of all contexts with at least ``least`` symbols, of length 0 to ``depth``."""
-    grams = docs.select("text").mapInArrow(_grams(depth), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("gram").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("g")) for d in range(depth + 1)])
-    each = grams.select("c", F.inline(levels)).groupBy("depth", "g").agg(F.sum("c").alias("c"))
-    contexts = each.groupBy("depth", F.shiftright("g", 8).alias("context")).agg(F.sum("c").alias("all"), F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("next"), "c")).alias("nexts"))
-    return contexts.where((F.col("all") >= least) | (F.col("depth") == 0)).select("depth", "context", F.inline("nexts"))
+class GramTable:
+    """log10 probability of the last symbol of each gram of a slice."""
+
+    def __init__(self, depth: int, rows: pa.Table):
+        parts = [unpack_planes(x.as_py(), n, np.uint64, np.float32) for n, x in zip(rows["n"].to_pylist(), rows["entries"])]
+        g, logp = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(g)
+        self.depth, self.grams, self.logp = depth, g[order], logp[order]
+
+    def score_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        g, kind = grams(*symbols(texts, self.depth), self.depth)
+        return per_word(self.logp[np.searchsorted(self.grams, g)].astype(np.float64), kind)
 
 
 class SuffixTree:
-    """The automaton: ``step[state, class]`` and ``logp[state, class]``, with ``classes[byte]``."""
+    """A tree of counts that fit one process, as an automaton: ``step[state, class]`` and ``logp[state, class]``, with ``classes[byte]``."""
 
     def __init__(self, depth: int, classes: np.ndarray, step: np.ndarray, logp: np.ndarray, contexts: list[tuple[int, int]]):
         self.depth, self.classes, self.step, self.logp, self.contexts = depth, classes, step, logp, contexts
 
     @classmethod
-    def fit(cls, rows: dict[str, np.ndarray], depth: int = DEPTH, epsilon: float = EPSILON, prior: float = PRIOR) -> SuffixTree:
+    def fit(cls, rows: dict[str, np.ndarray], depth: int = DEPTH, epsilon: float = 2e-7, prior: float = PRIOR) -> SuffixTree:
         d, ctx, nxt, c = rows["depth"], rows["context"], rows["next"], rows["c"]
         seen = np.unique(nxt)
         # bytes never seen share a class and its probability
@@ -206,12 +314,10 @@ class SuffixTree:
         edge[ends] -= 1
         own = np.cumsum(edge[:-1], dtype=np.int8) > 0
         each, kind = out.T.ravel()[:n][own].astype(np.float64), stream[own]
-        # a word ends with its space or with the end of its text
-        stops = np.flatnonzero((kind == SPACE) | (kind == END))
-        return np.add.reduceat(each, np.concatenate([[0], stops[:-1] + 1])), kind[stops] == END
+        return per_word(each, kind)
 
 
-def mixture(model: SuffixTree, texts: list[bytes], lengths: np.ndarray, end_share: float) -> tuple[np.ndarray, np.ndarray]:
+def mixture(model: GramTable, texts: list[bytes], lengths: np.ndarray, end_share: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the log10 probability of its stops, and of each word log10 of its tree probability over that
     of its stop. The score of a text without words is that of its end in the tree."""
     each, stop = model.score_words(texts)
@@ -222,38 +328,64 @@ def mixture(model: SuffixTree, texts: list[bytes], lengths: np.ndarray, end_shar
     return sums[edge[1:]] - sums[edge[:-1]], (each - stops)[has]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word_hash, counts = WordHash(), Counts(["h", "c"])
-    for part in chunks(batches, COUNT_BYTES):
-        words = b" ".join(text_bytes(part["text"].combine_chunks())).lower().split()
-        counts.add(word_hash.of(words))
-        yield from counts.merged(MERGE_EVERY)
-    yield from counts.merged(1)
-
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, h, c): counts of word hashes, and where ``head`` of grams of HEAD bytes."""
+    word_hash, counts, heads = WordHash(), Counts(["h", "c"]), Counts(["h", "c"])
 
-def _rare(tree, often: np.ndarray, bits: int, end_share: float):
-    """Occurrences of words that are not frequent: (bucket, rows, entries of hash, row, count)."""
+    def named(kind: bool, made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in made:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(x.num_rows, kind)), *x.columns], ["head", "h", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, model = WordHash(), tree.value
-        for part in chunks(batches):
+    for part in chunks(batches, COUNT_BYTES):
+        texts = text_bytes(part["text"].combine_chunks())
+        counts.add(word_hash.of(b" ".join(texts).lower().split()))
+        heads.add(grams(*symbols(texts, HEAD - 1), HEAD - 1)[0])
+        yield from named(False, counts.merged(MERGE_EVERY))
+        yield from named(True, heads.merged(MERGE_EVERY))
+    yield from named(False, counts.merged(1))
+    yield from named(True, heads.merged(1))
+
+
+def _scored(often: np.ndarray, counts: np.ndarray, bits: int, depth: int, ends: int, size: float, end_share: float, unseen: float):
+    """One slice and its grams. Occurrences of words that are not frequent: (bucket, rows, entries of hash, row, count);
+    and of each row its tokens, the model's score as far as known here, and of frequent words and the end symbol the
+    sum of log10(c + 1) and those known, in any bucket."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        word_hash, model = WordHash(), GramTable(depth, found)
+        logs, out = np.append(np.log10(counts + 1.0), 0.0), []
+        for turn, part in enumerate(chunks(rows.to_batches())):
             texts = text_bytes(part["text"].combine_chunks())
             words = [t.lower().split() for t in texts]
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             h = np.concatenate([word_hash.of(w) for w in words])
-            d = np.repeat(np.arange(len(words)), lengths).astype(np.uint16)
-            r = mixture(model, texts, lengths, end_share)[1].astype(np.float16).view(np.uint16)
-            rare = ~_among(h, often)
-            h, d, r = h[rare], d[rare], r[rare]
+            alone, ratio = mixture(model, texts, lengths, end_share)
+            hit = _among(h, often)
+            at = np.full(len(h), len(often))
+            at[hit] = np.searchsorted(often, h[hit])
+            gain = np.zeros(len(h))
+            gain[hit] = word_scores(counts[at[hit]], ratio[hit], size, unseen)
+            edge = np.concatenate([[0], np.cumsum(lengths)])
+
+            def per_text(values: np.ndarray) -> np.ndarray:
+                sums = np.concatenate([[0], np.cumsum(values)])
+                return sums[edge[1:]] - sums[edge[:-1]]
+
+            keys = part["row_key"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+            own = [keys, lengths + 1, per_text(logs[at]) + math.log10(ends + 1), per_text(hit.astype(np.int64)) + (ends > 0), alone + per_text(gain)]
+            out.append(((int(rows["slice"][0].as_py()) + turn) % (1 << bits), 0, len(keys), pack_planes(*own), None))
+            d = np.repeat(np.arange(len(words)), lengths).astype(np.uint16)[~hit]
+            h, r = h[~hit], ratio[~hit].astype(np.float32)
             order = np.argsort(h)
             h, d, r = h[order], d[order], r[order]
             cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            rows = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
-            keys = part["row_key"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-            train = part["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint8)
-            names = pack_planes(keys, train)
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([cuts[b + 1] - cuts[b] for b in rows], pa.int32()), pa.array([len(keys)] * n, pa.int32()), pa.array([names] * n, pa.binary()), pa.array([pack_planes(h[cuts[b] : cuts[b + 1]], d[cuts[b] : cuts[b + 1]], r[cuts[b] : cuts[b + 1]]) for b in rows], pa.binary())], ["bucket", "n", "m", "docs", "entries"])
+            names = pack_planes(keys, part["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint8))
+            for b in range(1 << bits):
+                if cuts[b + 1] > (i := cuts[b]):
+                    j = cuts[b + 1]
+                    out.append((b, j - i, len(keys), names, pack_planes(h[i:j], d[i:j], r[i:j])))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["bucket", "n", "m", "docs", "entries"])
 
     return run
 
@@ -273,82 +405,57 @@ def word_scores(c: np.ndarray, ratio: np.ndarray, size: float, unseen: float) ->
     return np.where(c > 0, known, math.log10(unseen))
 
 
-def _rare_sums(size: float, unseen: float):
+def _sums(size: float, unseen: float):
     def run(rows: pa.Table) -> pa.Table:
-        """One bucket: each row's sum of log10(c + 1), known words and what these add to its score."""
+        """One bucket: each row's own sums, and its sum of log10(c + 1), known words and what these add to its score."""
+        names, made = ["row_key", "n_tokens", "part", "known", "score"], []
         hs, ks, ts, rs = [], [], [], []
-        for n, m, docs, entries in zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["docs"], rows["entries"]):
+        for n, m, docs, entries in zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["docs"], rows["entries"].to_pylist()):
+            if entries is None:
+                made.append(pa.table([*unpack_planes(docs.as_py(), m, np.int64, np.int64, np.float64, np.int64, np.float64), np.ones(m, np.int64)], [*names, "times"]))
+                continue
             keys, train = unpack_planes(docs.as_py(), m, np.int64, np.uint8)
-            h, d, r = unpack_planes(entries.as_py(), n, np.uint64, np.uint16, np.uint16)
+            h, d, r = unpack_planes(entries, n, np.uint64, np.uint16, np.float32)
             hs.append(h)
             ks.append(keys[d])
             ts.append(train[d])
-            rs.append(r.view(np.float16))
-        h, k, t, r = np.concatenate(hs), np.concatenate(ks), np.concatenate(ts), np.concatenate(rs)
-        del hs, ks, ts, rs
-        order = np.argsort(h)
-        h, k, t, r = h[order], k[order], t[order], r[order].astype(np.float64)
-        first = np.append(True, h[1:] != h[:-1])
-        c = np.add.reduceat(t.astype(np.int64), np.flatnonzero(first))[np.cumsum(first) - 1]
-        gain = word_scores(c, r, size, unseen)
-        order = np.argsort(k)
-        k, c, gain = k[order], c[order], gain[order]
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        return pa.table({"row_key": k[starts], "part": np.add.reduceat(np.log10(c + 1.0), starts), "known": np.add.reduceat((c > 0).astype(np.int64), starts), "gain": np.add.reduceat(gain, starts)})
-
-    return run
-
-
-def _scores(tree, often: np.ndarray, counts: np.ndarray, ends: int, size: float, end_share: float, unseen: float):
-    """Tokens, the model's score as far as known here, and of frequent words and the end symbol the sum of log10(c + 1) and those known."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, model = WordHash(), tree.value
-        logs = np.append(np.log10(counts + 1.0), 0.0)
-        for part in chunks(batches):
-            texts = text_bytes(part["text"].combine_chunks())
-            words = [t.lower().split() for t in texts]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            h = np.concatenate([word_hash.of(w) for w in words])
-            at = np.searchsorted(often, h) if len(often) else np.zeros(len(h), np.int64)
-            hit = _among(h, often)
-            at[~hit] = len(often)
-            alone, ratio = mixture(model, texts, lengths, end_share)
-            gain = np.zeros(len(h))
-            gain[hit] = word_scores(counts[at[hit]], ratio[hit], size, unseen)
-            edge = np.concatenate([[0], np.cumsum(lengths)])
-
-            def per_text(values: np.ndarray) -> np.ndarray:
-                sums = np.concatenate([[0], np.cumsum(values)])
-                return sums[edge[1:]] - sums[edge[:-1]]
-
-            made = [lengths + 1, per_text(logs[at]) + math.log10(ends + 1), per_text(hit.astype(np.int64)) + (ends > 0), alone + per_text(gain)]
-            yield pa.RecordBatch.from_arrays([*(part[c].combine_chunks() for c in ("doc_id", "row_key", "train")), *map(pa.array, made)], ["doc_id", "row_key", "train", "n_tokens", "often_sum", "often_known", "score"])
+            rs.append(r)
+        if hs:
+            h, k, t, r = np.concatenate(hs), np.concatenate(ks), np.concatenate(ts), np.concatenate(rs)
+            del hs, ks, ts, rs
+            order = np.argsort(h)
+            h, k, t, r = h[order], k[order], t[order], r[order].astype(np.float64)
+            first = np.append(True, h[1:] != h[:-1])
+            c = np.add.reduceat(t.astype(np.int64), np.flatnonzero(first))[np.cumsum(first) - 1]
+            gain = word_scores(c, r, size, unseen)
+            order = np.argsort(k)
+            k, c, gain = k[order], c[order], gain[order]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            zero = np.zeros(len(starts), np.int64)
+            made.append(pa.table([k[starts], zero, np.add.reduceat(np.log10(c + 1.0), starts), np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(gain, starts), zero], [*names, "times"]))
+        return pa.concat_tables(made)
 
     return run
 
 
-def fit_tree(train: DataFrame, nbytes: int, depth: int = DEPTH, p_min: float = P_MIN, epsilon: float = EPSILON, prior: float = PRIOR) -> SuffixTree:
-    """The tree of all texts of ``train``, whose size in bytes sets the least count of a candidate."""
-    rows = context_counts(train, depth, max(2.0, p_min * nbytes)).toPandas()
-    return SuffixTree.fit({k: rows[k].to_numpy().astype(np.int64) for k in ("depth", "context", "next", "c")}, depth, epsilon, prior)
-
-
-def score_documents(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, p_min: float = P_MIN, epsilon: float = EPSILON, bits: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, least: int = MIN_COUNT, gain: float = GAIN, bits: int | None = None, slices: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     spark = docs.sparkSession
     held = held_out() if held is None else held
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~held).alias("train"))
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), "train")
-    train = docs.where("train")
-    _, nbytes = corpus_size(train)
+    length = F.octet_length("text").cast("long")
+    sizes = docs.agg(F.coalesce(F.sum(length), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("train"), length)), F.lit(0)).alias("train"), F.count_if("train").alias("ends")).first()
+    nbytes, ends = sizes["train"], sizes["ends"]
     bits = bits or bucket_bits(nbytes // 14, least=5)
-    tree = spark.sparkContext.broadcast(fit_tree(train, nbytes, depth, p_min, epsilon))
-    least = max(2.0, FREQUENT * nbytes / 6)
-    words = train.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    # frequent words one by one, all others as one row
-    words = words.groupBy(F.when(F.col("c") >= least, F.col("h")).alias("h")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("c") == 1).alias("once")).select(F.col("h").cast("string").alias("h"), "c", "types", "once").toPandas()
-    ends = train.count()
+    slices = slices or parts_for(sizes["all"], SLICE_BYTES, 12)
+    frequent = max(2.0, FREQUENT * nbytes / 6)
+    found = docs.where("train").select("text").mapInArrow(_counts, "head boolean, h long, c long").groupBy("head", "h").agg(F.sum("c").alias("c"))
+    # frequent words and heads one by one, all other words as one row
+    found = found.groupBy("head", F.when(F.col("head") | (F.col("c") >= frequent), F.col("h")).alias("h")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("c") == 1).alias("once")).select("head", F.col("h").cast("string").alias("h"), "c", "types", "once").toPandas()
+    words, heads = found[~found["head"].astype(bool)], found[found["head"].astype(bool)]
+    first = head_levels(heads["h"].to_numpy().astype(np.uint64), heads["c"].to_numpy().astype(np.int64), least, gain)
+    first = spark.sparkContext.broadcast(first)
     tokens, types = int(words["c"].sum()) + ends, int(words["types"].sum()) + (ends > 0)
     size, end_share = tokens + types + 1.0, (ends + 1) / (tokens + 2.0)
     # Good-Turing: new words come as often as words seen once
@@ -357,18 +464,19 @@ def score_documents(docs: DataFrame, held: Column | None = None, depth: int = DE
     hashes = np.array([int(x) for x in often["h"]], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], often["c"].to_numpy().astype(np.int64)[order]
-    rare = docs.select("row_key", "text", "train").mapInArrow(_rare(tree, hashes, bits, end_share), "bucket int, n int, m int, docs binary, entries binary")
-    sums = rare.groupBy("bucket").applyInArrow(_rare_sums(size, unseen), "row_key long, part double, known long, gain double")
-    sums = sums.groupBy("row_key").agg(F.sum("part").alias("part"), F.sum("known").alias("known"), F.sum("gain").alias("gain"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(_scores(tree, hashes, counts, ends, size, end_share, unseen), f"doc_id {kind}, row_key long, train boolean, n_tokens long, often_sum double, often_known long, score double")
+    # both uses of the slices are by one exchange
+    dealt = docs.select("text", "row_key", "train", F.pmod("row_key", F.lit(slices)).alias("slice")).repartition(slices, "slice")
+    asked = dealt.groupBy("slice").applyInArrow(_requests(depth, bits), "bucket int, slice long, n int, entries binary")
+    tree = asked.groupBy("bucket").applyInArrow(_bucket_scores(first, depth, least, gain), "slice long, n int, entries binary")
+    scored = dealt.groupBy("slice").cogroup(tree.groupBy("slice")).applyInArrow(_scored(hashes, counts, bits, depth, ends, size, end_share, unseen), "bucket int, n int, m int, docs binary, entries binary")
+    sums = scored.groupBy("bucket").applyInArrow(_sums(size, unseen), "row_key long, n_tokens long, part double, known long, score double, times long")
+    sums = sums.groupBy("row_key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "part", "known", "score", "times")])
     # a row that is repeated shares the sums of its key
-    times = F.count(F.lit(1)).over(W.partitionBy("row_key"))
-    both = scored.join(sums, "row_key", "left").withColumn("times", times)
-    share = {c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0)) for c in ("part", "known", "gain")}
+    both = docs.select("doc_id", "row_key", "train").join(sums, "row_key")
+    share = {c: F.col(c) / F.col("times") for c in ("n_tokens", "part", "known", "score")}
     return both.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("often_known") + F.round(share["known"]).cast("long")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("often_sum") + share["part"] - F.col("n_tokens") * math.log10(size)).alias("base_score"), (F.col("score") + share["gain"]).alias("score"),
+        "doc_id", (~F.col("train")).alias("held_out"), F.round(share["n_tokens"]).cast("long").alias("n_tokens"), F.round(share["known"]).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (share["part"] - share["n_tokens"] * math.log10(size)).alias("base_score"), share["score"].alias("score"),
     )
 
 

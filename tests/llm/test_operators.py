@@ -90,6 +90,59 @@ def test_suffix_tree_edges(docs, none):
     assert suffix_tree.score_documents(none).count() == 0
 
 
+def brute_tree_scores(train, text, depth, least, gain):
+    """log10 probability of each symbol of ``text`` by its longest retained context, counted in dictionaries."""
+    def stream(t):
+        return b"\n" * depth + b" ".join(t.lower().split()) + b"\n"
+
+    c = collections.defaultdict(collections.Counter)
+    for t in map(stream, train):
+        for i in range(depth, len(t)):
+            for d in range(depth + 1):
+                c[t[i - d : i]][t[i]] += 1
+
+    def p(ctx, b):
+        own = c.get(ctx, {})
+        n = sum(own.values())
+        return (own.get(b, 0) + 8 * p(ctx[1:], b)) / (n + 8) if ctx else (own.get(b, 0) + 1) / (n + 256)
+
+    def kept(ctx):
+        n = sum(c.get(ctx, {}).values())
+        return n >= least and n * sum(p(ctx, b) * math.log2(p(ctx, b) / p(ctx[1:], b)) for b in range(256)) >= gain
+
+    t, out = stream(text), []
+    for i in range(depth, len(t)):
+        d = next((d for d in range(depth, 0, -1) if kept(t[i - d : i])), 0)
+        out.append(math.log10(p(t[i - d : i], t[i])))
+    return out
+
+
+def test_suffix_tree_buckets_equal_brute_force():
+    train, text = [b"the cat sat on the mat", b"The bat sat", b"", b"a cat and the hat and the cat"], b"the cat and zebra hat sat"
+    depth, least, gain = suffix_tree.DEPTH, 2, 3.0
+    known = suffix_tree.grams(*suffix_tree.symbols(train, depth), depth)[0]
+    mine = suffix_tree.grams(*suffix_tree.symbols([text], depth), depth)[0]
+    g = np.unique(np.concatenate([known, mine]))
+    counts = np.array([(known == x).sum() for x in g])
+    short, n = np.unique(known & np.uint64((1 << 8 * suffix_tree.HEAD) - 1), return_counts=True)
+    logp = suffix_tree.gram_scores(suffix_tree.head_levels(short, n, least, gain), g, counts, depth, least, gain)
+    want = brute_tree_scores(train, text, depth, least, gain)
+    assert np.allclose(logp[np.searchsorted(g, mine)], want, atol=1e-5)
+    assert len(set(np.round(want, 3))) > 10
+
+
+def test_suffix_tree_grows_with_text(spark):
+    # a passage of nine documents counts among any number of others: no share of the corpus is asked for
+    rng = np.random.default_rng(1)
+    rest = [(i, " ".join("".join(map(chr, rng.integers(97, 115, 5))) for _ in range(400))) for i in range(1_000)]
+    few = [(10_000 + i, "zyx" + chr(116 + i % 3) + "vwz") for i in range(9)]
+    df = spark.createDataFrame(rest + few, "doc_id long, text string")
+    held = F.col("doc_id") % 10 == 1
+    rows = {r.doc_id: r.score for r in suffix_tree.score_documents(df, held).where("doc_id >= 10000").collect()}
+    # after z, y and x come these letters only; by the 18 letters that all others have each would be seen as new
+    assert rows[10_001] > -12
+
+
 # ---- classifiers
 
 
