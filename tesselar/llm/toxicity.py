@@ -2,7 +2,9 @@
 
 Method. A text's features are the distinct hashed terms of its words: the lower-cased word without
 punctuation at its ends, and the word's first four and five letters, which catch inflections. A feature's
-value is the sure part of the term's log odds ratio in the sample, so chance terms of long texts vanish. The
+term is kept when LEAST_DOCS texts of the sample have it, whatever their labels. Its value is FLOOR and the sure part of
+its log odds ratio in the sample: chance terms of long texts weigh little, but a term that is neutral by itself
+takes part in pairs. The
 machine is y = w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair such as an insult with a mentioned
 group has its own strength beside the two terms' weights. It is trained in numpy by AdaGrad on
 a bounded labelled sample (PER_CLASS rows of each label; only their features reach the driver) with the
@@ -28,10 +30,14 @@ from tesselar.llm.common import chunks, table, text_bytes
 from tesselar.llm.labelled import held_out, labelled_sample
 
 PER_CLASS = 2_500
-#: Standard errors by which a term's log odds must differ from 0.
+#: Texts of the sample that have a kept term, and the value of a term that is neutral by itself.
+LEAST_DOCS, FLOOR = 2, 0.3
+#: Standard errors by which a term's log odds must differ from 0 to count as more.
 SURE = 1.5
 SPACE_BITS = 24
 FACTORS, EPOCHS, BATCH, RATE, RIDGE, SEED = 4, 6, 128, 0.1, 1e-4, 7
+#: Factors start near 0, where a pair's gradient is small.
+FACTOR_RATE = 0.3
 EDGES = b".,;:!?*#%&$\"'()[]{}<>|-_"
 
 
@@ -59,10 +65,10 @@ def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_values(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Feature value of a term in that many texts of either label: by how much its log odds ratio surely differs from 0."""
+    """Feature value of a term in that many texts of either label: FLOOR and by how much its log odds ratio surely differs from 0."""
     a, b = ones + 0.5, zeros + 0.5
     ratio = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
-    return np.clip(np.abs(ratio) - SURE * np.sqrt(1 / a + 1 / b), 0, None)
+    return FLOOR + np.clip(np.abs(ratio) - SURE * np.sqrt(1 / a + 1 / b), 0, None)
 
 
 @dataclass
@@ -84,7 +90,7 @@ class FactorizationMachine:
         found, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y]), return_counts=True)
         toxic[np.searchsorted(terms, found)] = times
         value = term_values(toxic, texts - toxic, labels.sum(), len(labels) - labels.sum())
-        terms, value = terms[value > 0].astype(np.int64), value[value > 0]
+        terms, value = terms[texts >= LEAST_DOCS].astype(np.int64), value[texts >= LEAST_DOCS]
         if not len(terms):
             return none
         value = np.append(value, 0.0)
@@ -116,7 +122,7 @@ class FactorizationMachine:
                 gw[used] += dw**2
                 gv[used] += dv**2
                 w[used] -= RATE * dw / np.sqrt(gw[used])
-                v[used] -= 0.3 * RATE * dv / np.sqrt(gv[used])
+                v[used] -= FACTOR_RATE * dv / np.sqrt(gv[used])
                 gb += g.sum() ** 2
                 bias -= RATE * g.sum() / np.sqrt(gb)
         sampled = (labels.sum() + 0.5) / (n + 1.0)

@@ -175,6 +175,33 @@ def test_factorization_machine_learns_a_pair():
     assert set(fm.terms.tolist()) >= {1, 2}
 
 
+def test_factorization_machine_learns_a_pair_of_neutral_terms():
+    # label 1 with both terms or none, label 0 with one: each term is in half of the texts of either label
+    rng = np.random.default_rng(1)
+
+    def text(own):
+        return np.unique(np.array(own + list(3 + rng.integers(0, 500, 10)), np.int32))
+
+    rows, y = [text([[1], [1, 2], [2], []][i % 4]) for i in range(4000)], [float(i % 2) for i in range(4000)]
+    fm = toxicity.FactorizationMachine.fit(rows, np.array(y), 0.5)
+    assert {1, 2} <= set(fm.terms.tolist())
+    place = {int(t): i for i, t in enumerate(fm.terms)}
+
+    def score(own):
+        idx = [np.array([place[int(t)] for t in text(own)] + [len(fm.terms)]) for _ in range(200)]
+        starts = np.concatenate([[0], np.cumsum([len(i) for i in idx])[:-1]])
+        return float(np.mean(1 / (1 + np.exp(-fm._forward(fm.bias, fm.weights, fm.factors, fm.values, np.concatenate(idx), starts)[0]))))
+
+    assert score([1, 2]) > 0.7 and score([1]) < 0.3 and score([2]) < 0.3
+
+
+def test_rare_terms_count_in_toxicity():
+    rows = [np.array([1, 2] if i < 4 else [2]) for i in range(400)]
+    fm = toxicity.FactorizationMachine.fit(rows, np.array([float(i < 200) for i in range(400)]), 0.5)
+    i = fm.terms.tolist().index(1)
+    assert fm.weights[i] * fm.values[i] > 0
+
+
 # ---- Jaccard join
 
 
