@@ -164,6 +164,12 @@ def j9(spark, d):
     return table(spark, d, "lineitem").join(runs, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@add("j9_results_of_all_person_runs", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def j9_all(spark, d):
+    runs = table(spark, d, "orders").select("o_orderkey")
+    return table(spark, d, "lineitem").join(runs, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @add("j13_source_dictionary", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def j13(spark, d):
     # nation and region are dictionaries of fixed size; others join by Spark's own choice
@@ -173,10 +179,20 @@ def j13(spark, d):
 
 @add("j17_prefix_join", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 1000 AND 1400) JOIN orders ON starts_with(o_orderkey::VARCHAR, c_custkey::VARCHAR)")
 def j17(spark, d):
-    wanted = table(spark, d, "customer").where("c_custkey BETWEEN 1000 AND 1400").select("c_custkey", F.col("c_custkey").cast("string").alias("prefix"))
+    return prefix_pairs(table(spark, d, "customer").where("c_custkey BETWEEN 1000 AND 1400"), table(spark, d, "orders"))
+
+
+# an equi-join in SQL too: starts_with over both whole tables would compare all pairs
+@add("j17_prefix_join_all", "SELECT c_custkey, o_orderkey FROM (SELECT o_orderkey, unnest(range(1, length(o_orderkey::VARCHAR) + 1)) AS n FROM orders) JOIN customer ON c_custkey::VARCHAR = left(o_orderkey::VARCHAR, n)")
+def j17_all(spark, d):
+    return prefix_pairs(table(spark, d, "customer"), table(spark, d, "orders"))
+
+
+def prefix_pairs(customers, orders):
+    wanted = customers.select("c_custkey", F.col("c_custkey").cast("string").alias("prefix"))
     # prefixes of a few lengths: an equi-join on the leading digits of each length
     lengths = [r[0] for r in wanted.select(F.length("prefix")).distinct().limit(64).collect()]
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("digits"))
+    o = orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("digits"))
     heads = o.select("o_orderkey", F.explode(F.array_compact(F.array(*[F.when(F.length("digits") >= n, F.substring("digits", 1, n)) for n in lengths]))).alias("prefix"))
     return heads.join(wanted, "prefix").select("c_custkey", "o_orderkey")
 
@@ -233,6 +249,12 @@ def a11(spark, d):
     return rollup.source_health(sources, table(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error", F.lit(NOW).cast("timestamp_ntz"))
 
 
+@add("a11_source_health_all", f"SELECT s.user_id, last_at, coalesce(recent, 0) AS recent, coalesce(recent_failed, 0) AS recent_failed, coalesce(recent, 0) > 0 AS feeding FROM (SELECT c_custkey AS user_id FROM customer) s LEFT JOIN (SELECT user_id, max(ts) AS last_at, count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS) AS recent, count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS AND event_type = 'error') AS recent_failed FROM events GROUP BY user_id) e ON s.user_id = e.user_id")
+def a11_all(spark, d):
+    sources = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return rollup.source_health(sources, table(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error", F.lit(NOW).cast("timestamp_ntz"))
+
+
 @add("a12_paged_total", "SELECT c_custkey, count(*) OVER () AS total FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_custkey LIMIT 20 OFFSET 20")
 def a12(spark, d):
     rows = table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")

@@ -15,3 +15,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark, duck):
+    q, data = catalog.queries(), "/root/testdata/sf0.01"
+    assert q["a11_source_health_all"](spark, data).count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert q["j9_results_of_all_person_runs"](spark, data).count() == duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    got = {tuple(r) for r in q["j17_prefix_join_all"](spark, data).collect()}
+    customers, orders = (duck.sql(x).fetchall() for x in ("SELECT c_custkey FROM customer WHERE c_custkey < 100", "SELECT o_orderkey FROM orders"))
+    assert {x for x in got if x[0] < 100} == {(c, o) for (c,) in customers for (o,) in orders if str(o).startswith(str(c))}
