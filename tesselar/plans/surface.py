@@ -384,6 +384,50 @@ def u1(spark, d):
     return e.where("event_id % 5 = 0").drop("event_id").unionByName(e.where("event_id % 7 = 0").drop("event_id")).distinct()
 
 
+# the two sides of these cover the table: what was there before SPLIT, and what came since
+SPLIT = "2024-01-02 00:00:00"
+
+
+def sides(spark, d):
+    e, at = table(spark, d, "events"), F.lit(SPLIT).cast("timestamp_ntz")
+    return e.where(F.col("ts") < at), e.where(F.coalesce(F.col("ts") >= at, F.lit(True)))
+
+
+BEFORE, SINCE = f"(SELECT * FROM events WHERE ts < TIMESTAMP '{SPLIT}')", f"(SELECT * FROM events WHERE coalesce(ts >= TIMESTAMP '{SPLIT}', true))"
+
+
+@add("u1_union_distinct_all", f"SELECT user_id, event_type FROM {BEFORE} UNION SELECT user_id, event_type FROM {SINCE}")
+def u1_all(spark, d):
+    before, since = (e.select("user_id", "event_type") for e in sides(spark, d))
+    return before.unionByName(since).distinct()
+
+
+@add("k3_insert_ignore_all", f"SELECT min(event_id) AS event_id, user_id, event_type FROM {SINCE} WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM {BEFORE}) GROUP BY user_id, event_type")
+def k3_all(spark, d):
+    before, since = sides(spark, d)
+    return merge.insert_new(before, since, ["user_id", "event_type"], [F.col("event_id")]).select("event_id", "user_id", "event_type")
+
+
+@add("k10_timeline_cap_all", f"SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {SINCE}) n LEFT JOIN (SELECT user_id, count(*) AS c FROM {BEFORE} GROUP BY user_id) h USING (user_id) WHERE r + coalesce(c, 0) <= 10")
+def k10_all(spark, d):
+    before, since = sides(spark, d)
+    return windows.capped(since, "user_id", [F.col("ts"), F.col("event_id")], before, 10).select("event_id", "user_id")
+
+
+@add("a17_recall_all", f"SELECT event_type, count(*) AS total, count(*) FILTER (hit) AS found, avg(hit::INT) AS recall FROM (SELECT event_type, (user_id, event_type) IN (SELECT user_id, event_type FROM {BEFORE}) AS hit FROM {SINCE}) GROUP BY event_type")
+def a17_all(spark, d):
+    before, since = (e.select("event_id", "user_id", "event_type") for e in sides(spark, d))
+    return rollup.recall(since, before, ["user_id", "event_type"], "event_type")
+
+
+@add("k1_upsert_contacts_all", "SELECT coalesce(s.contact_id, i.contact_id) AS contact_id, coalesce(nullif(s.name, ''), i.name, s.name) AS name, coalesce(s.phone, i.phone) AS phone, round(greatest(s.last_at, i.last_at), 2) AS last_at FROM (SELECT c_custkey AS contact_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN '' ELSE c_name END AS name, nullif(c_nationkey, 3) AS phone, c_acctbal AS last_at FROM customer WHERE c_acctbal < 5000) s FULL JOIN (SELECT c_custkey AS contact_id, 'new ' || c_name AS name, c_nationkey + 100 AS phone, c_acctbal + 1 AS last_at FROM customer WHERE coalesce(c_acctbal >= 0, true)) i ON s.contact_id = i.contact_id")
+def k1_all(spark, d):
+    c, k, b = table(spark, d, "customer"), F.col("c_custkey").alias("contact_id"), F.col("c_acctbal")
+    stored = c.where(b < 5000).select(k, F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_name")).alias("name"), F.nullif("c_nationkey", F.lit(3)).alias("phone"), b.alias("last_at"))
+    new = c.where(F.coalesce(b >= 0, F.lit(True))).select(k, F.concat(F.lit("new "), "c_name").alias("name"), (F.col("c_nationkey") + 100).alias("phone"), (b + 1).alias("last_at"))
+    return merge.upsert(stored, new, ["contact_id"], {"name": "fill", "phone": "keep", "last_at": "max"}).withColumn("last_at", F.round("last_at", 2))
+
+
 @add("u2_missing_evidence", f"SELECT o_custkey, array_to_string(list_sort(list_filter(['1-URGENT', '2-HIGH', '3-MEDIUM', '9-NONE'], lambda x: NOT list_contains(tags, x))), ',') AS missing FROM ({TAGS})")
 def u2(spark, d):
     wanted = F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM", "9-NONE"]))

@@ -24,3 +24,12 @@ def test_whole_tables(spark, duck):
     got = {tuple(r) for r in q["j17_prefix_join_all"](spark, data).collect()}
     customers, orders = (duck.sql(x).fetchall() for x in ("SELECT c_custkey FROM customer WHERE c_custkey < 100", "SELECT o_orderkey FROM orders"))
     assert {x for x in got if x[0] < 100} == {(c, o) for (c,) in customers for (o,) in orders if str(o).startswith(str(c))}
+
+
+def test_sides_cover_the_table(spark, duck):
+    from tesselar.plans import surface
+
+    before, since = (e.count() for e in surface.sides(spark, "/root/testdata/sf0.01"))
+    assert before and since and before + since == duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    contacts = catalog.queries()["k1_upsert_contacts_all"](spark, "/root/testdata/sf0.01")
+    assert contacts.count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
