@@ -121,6 +121,28 @@ def identity(kind: Column, value: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(final.alias("type"), v.alias("value"), value_hash(final, v).alias("hash"), final.isin("email", "phone").alias("strong")))
 
 
+def is_group(jid: Column) -> Column:
+    return F.lower(F.coalesce(jid, F.lit(""))).endswith(GROUP_SUFFIX)
+
+
+def is_lid(jid: Column) -> Column:
+    return F.contains(F.lower(F.coalesce(jid, F.lit(""))), F.lit(LID_SUFFIX))
+
+
+def parsed_json(value: Column) -> Column:
+    """The JSON form of a string: of the value that it spells, else of the string itself (H-5)."""
+    quoted = F.to_json(F.array(value))
+    return F.coalesce(F.to_json(F.try_parse_json(value)), F.when(value.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+
+
+def first_text(message: Column) -> Column:
+    """Text by the first of five kinds that is a non-empty string (H-7)."""
+    paths = ["conversation", "extendedTextMessage.text", "imageMessage.caption", "videoMessage.caption", "documentMessage.caption"]
+    parsed = F.try_parse_json(message)
+    texts = [F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{p}", "variant")) == "STRING", F.try_variant_get(parsed, f"$.{p}", "string")) for p in paths]
+    return F.coalesce(*[blank(t) for t in texts])
+
+
 def generic_webmail(c: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.coalesce(c, F.lit("")), "@", -1))).isin(WEBMAIL)
 

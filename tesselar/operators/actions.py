@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the rules.
-DRIVER_EVIDENCE = ["carroceria", "cidade_base", "rota", "tipo_veiculo", "veiculo", "veiculo_tipo"]
-TRADE_EVIDENCE = ["cnpj", "contato_qualificado", "destino", "empresa", "origem"]
+DRIVER_EVIDENCE = ["cidade_base", "rota", "veiculo", "veiculo_tipo", "carroceria", "tipo_veiculo"]
+TRADE_EVIDENCE = ["empresa", "cnpj", "origem", "destino", "contato_qualificado"]
 TRADE_KINDS, TRADE_TAGS = ["lead", "fornecedor"], ["cotacao", "frete", "carga", "cotação"]
 
 

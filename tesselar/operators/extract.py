@@ -17,13 +17,14 @@ EVENT = "struct<event_type: string, key: string, value: string, confidence: doub
 
 def conversational(jid: Column, message_type: Column, at: Column) -> Column:
     """Neither broadcast nor newsletter nor technical, and dated: what counts as a message."""
-    noise = F.coalesce(jid, F.lit("")).rlike("@(broadcast|newsletter)$") | F.coalesce(message_type.isin(TECHNICAL_MESSAGES), F.lit(False))
+    lowered = F.lower(F.coalesce(jid, F.lit("")))
+    noise = lowered.endswith("@broadcast") | lowered.endswith("@newsletter") | F.coalesce(message_type.isin(TECHNICAL_MESSAGES), F.lit(False))
     return ~noise & (at >= F.lit(EARLIEST).cast("timestamp_ntz"))
 
 
 def subject(jid: Column, participant: Column) -> Column:
     """Phone-like id of the sender: the participant of a group, else the other side."""
-    who = F.when(jid.endswith(K.GROUP_SUFFIX), participant).otherwise(jid)
+    who = F.when(K.is_group(jid), participant).otherwise(jid)
     number = K.blank(K.digits(F.split_part(who, F.lit("@"), F.lit(1))))
     return F.when(number.isNotNull(), F.concat(F.lit("+"), number))
 
@@ -38,12 +39,12 @@ def _event(kind: str, key: Column, value: Column, confidence: float | None, orig
     return F.struct(F.lit(kind).alias("event_type"), key.alias("key"), value.alias("value"), F.lit(confidence).cast("double").alias("confidence"), F.lit(origin).alias("source_kind"))
 
 
-def extract(messages: DataFrame, own_numbers: list[str] = (), vocabulary: Vocabulary | None = None) -> DataFrame:
+def extract(messages: DataFrame, own_numbers: list[str] = (), vocabulary: Vocabulary | None = None, kind_key: str = "relationship") -> DataFrame:
     """(external_key, subject, event_id, event_type, occurred_at, source_ref, key, value, confidence, source_kind).
 
     messages: source_key, external_key, captured_at, remote_jid, participant, from_me, message_type, text. A message without a
     sender's number gives nothing, one without text its interaction alone; of an outbound text only the affiliation counts.
-    Interactions carry no text. Ids are hashes of the parts, values as JSON, so extracting again gives the same events.
+    Interactions carry no text. ``kind_key`` names the observation of the relationship. Ids are hashes of the parts, values as JSON, so extracting again gives the same events.
     """
     v, none = vocabulary or Vocabulary(), F.lit(None).cast("string")
     rows = messages.where(conversational(F.col("remote_jid"), F.col("message_type"), F.col("captured_at"))).withColumn("subject", subject(F.col("remote_jid"), F.col("participant"))).where("subject IS NOT NULL")
@@ -66,7 +67,7 @@ def extract(messages: DataFrame, own_numbers: list[str] = (), vocabulary: Vocabu
         F.transform(F.filter("_emails", lambda x: F.array_contains("_own_emails", x) & ~K.generic_webmail(x)), lambda x: identity("email", F.lower(x))),
         F.array_compact(F.array(
             F.when((F.size("_intents") > 0) | vehicle | (F.size("_roles") > 0) | F.col("_platform"), obs("whatsapp_signals", signal, 0.6, "extracted")),
-            F.when(F.col("_kind").isNotNull(), obs("relationship.tsm", F.col("_kind"), 0.5, "legacy_classifier_rerun")),
+            F.when(F.col("_kind").isNotNull(), obs(kind_key, F.col("_kind"), 0.5, "legacy_classifier_rerun")),
             F.when(F.col("_kind").isin(*NOT_TO_CONTACT), obs("policy.no_cold_outreach", F.lit("true"), 0.5, "derived")),
         )),
     )

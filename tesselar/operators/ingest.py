@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,21 +16,58 @@ def decide(arriving: DataFrame, stored: DataFrame | None = None, major: int = 1)
 
     SCHEMA_UNSUPPORTED for another major version (nothing of it is stored), VALIDATION_ERROR for an unknown family,
     accepted for the first arrival of a key, duplicate for later equal ones, EVENT_ID_CONFLICT for different ones. The
-    original is the stored event if there is one (source, event_id, event_type, payload_hash).
+    original is the stored event if there is one (source, event_id, event_type, payload_hash, and perhaps status: a first equal
+    arrival is a retry of a failed one, and an IDENTITY_CONFLICT again of one in conflict).
     """
     rows = arriving.withColumn("payload_hash", K.payload_hash(F.col("payload"))).withColumn("_ok", K.supported_major(F.col("schema_version"), major))
     key = W.partitionBy("source", "event_id", "_ok").orderBy("arrival")
     content = F.struct("event_type", "payload_hash")
     rows = rows.withColumn("_nth", F.row_number().over(key)).withColumn("_first", F.first(content).over(key))
     if stored is not None:
-        old = stored.groupBy("source", "event_id").agg(F.min(content).alias("_stored"))
-        rows = rows.join(old, ["source", "event_id"], "left")
+        state = F.col("status") if "status" in stored.columns else F.lit("processed")
+        old = stored.groupBy("source", "event_id").agg(F.min(F.struct("event_type", "payload_hash", state.alias("status"))).alias("_old"))
+        rows = rows.join(old, ["source", "event_id"], "left").withColumn("_stored", F.when(F.col("_old").isNotNull(), F.struct("_old.event_type", "_old.payload_hash"))).withColumn("_status", F.col("_old.status")).drop("_old")
     else:
-        rows = rows.withColumn("_stored", F.lit(None).cast("struct<event_type: string, payload_hash: string>"))
+        rows = rows.withColumn("_stored", F.lit(None).cast("struct<event_type: string, payload_hash: string>")).withColumn("_status", F.lit(None).cast("string"))
     new = F.col("_stored").isNull() & (F.col("_nth") == 1)
     original = F.coalesce("_stored", "_first")
-    decision = F.when(~F.col("_ok"), "SCHEMA_UNSUPPORTED").when(new & ~K.family(F.col("event_type")).isin(FAMILIES), "VALIDATION_ERROR").when(new, "accepted").when(original == content, "duplicate").otherwise("EVENT_ID_CONFLICT")
-    return rows.withColumn("decision", decision).drop("_ok", "_nth", "_first", "_stored")
+    decision = F.when(~F.col("_ok"), "SCHEMA_UNSUPPORTED").when(new & ~K.family(F.col("event_type")).isin(FAMILIES), "VALIDATION_ERROR").when(new, "accepted").when(original != content, "EVENT_ID_CONFLICT")
+    again = F.when(F.col("_status") == "conflict", "IDENTITY_CONFLICT").when((F.col("_status") == "failed") & (F.col("_nth") == 1), "retry").otherwise("duplicate")
+    return rows.withColumn("decision", F.coalesce(decision, again)).drop("_ok", "_nth", "_first", "_stored", "_status")
+
+
+def replay(log: DataFrame, handled: DataFrame) -> DataFrame:
+    """The log (source, event_id, status, retry_count, ...) after failed and conflicting events were run again. handled: source, event_id, ok;
+    one that fails again has one more retry. Processed events stay as they are."""
+    done = handled.groupBy("source", "event_id").agg(F.max("ok").alias("_ok"))
+    rows = log.join(done, ["source", "event_id"], "left")
+    again = F.col("status").isin("failed", "conflict") & F.col("_ok").isNotNull()
+    status = F.when(again & F.col("_ok"), "processed").when(again, "failed").otherwise(F.col("status"))
+    return rows.withColumns({"status": status, "retry_count": F.col("retry_count") + F.when(again & ~F.col("_ok"), 1).otherwise(0)}).drop("_ok")
+
+
+def closed_cases(cases: DataFrame, log: DataFrame) -> DataFrame:
+    """Cases (source, event_id, status, resolution) with the open ones of events now processed resolved by the replay."""
+    done = log.where("status = 'processed'").select("source", "event_id").distinct().withColumn("_done", F.lit(True))
+    closes = F.col("_done").isNotNull() & ~F.col("status").isin("resolved", "dismissed")
+    rows = cases.join(done, ["source", "event_id"], "left")
+    return rows.withColumns({"resolution": F.when(closes, "reprocessed").otherwise(F.col("resolution")), "status": F.when(closes, "resolved").otherwise(F.col("status"))}).drop("_done")
+
+
+def envelope(event_type: Column, event_id: Column, at: Column, identities: Column, data: Column, context: Column | None = None) -> Column:
+    """The JSON of an event that a write tool sends (S10). identities: array of structs; data and context: structs."""
+    parts = [F.lit("1.0").alias("schema_version"), event_id.alias("event_id"), event_type.alias("event_type"), at.alias("occurred_at"), F.struct(identities.alias("identities")).alias("subject"), data.alias("data")]
+    return F.to_json(F.struct(*parts, *([context.alias("context")] if context is not None else [])))
+
+
+def recorded_observation(event_id: Column, at: Column, identities: Column, key: Column, value: Column, confidence: Column) -> Column:
+    data = F.struct(key.alias("key"), value.alias("value"), confidence.alias("confidence"), F.lit("declared").alias("source_kind"))
+    return envelope(F.lit("observation.recorded"), event_id, at, identities, data)
+
+
+def recorded_interaction(event_id: Column, at: Column, identities: Column, kind: Column, channel: Column, direction: Column) -> Column:
+    context = F.struct(channel.alias("channel"), direction.alias("direction"))
+    return envelope(F.concat(F.lit("interaction."), kind), event_id, at, identities, F.from_json(F.lit("{}"), "struct<none: string>"), context)
 
 
 def stored_events(decided: DataFrame) -> DataFrame:

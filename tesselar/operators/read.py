@@ -78,6 +78,48 @@ def of_workspace(rows: DataFrame, members: DataFrame, key: str, workspace: Colum
     return rows.join(members.where(F.col("workspace_id") == workspace).select(key), key, "left_semi")
 
 
+def in_order(rows: DataFrame, wanted: list, key: str) -> DataFrame:
+    """Rows of the listed keys in the list's order (J19); the list is an argument, so it is bounded."""
+    place = F.create_map(*[F.lit(x) for i, v in enumerate(wanted) for x in (v, i)])
+    return rows.where(F.col(key).isin(wanted)).orderBy(place[F.col(key)], key)
+
+
+def newest(rows: DataFrame, at: str, tie: str, limit: int | None = None) -> DataFrame:
+    """Rows by time, the latest first."""
+    out = rows.orderBy(F.col(at).desc_nulls_last(), F.col(tie))
+    return out.limit(limit) if limit else out
+
+
+def left_one(rows: DataFrame, others: DataFrame, on: dict[str, str], **fixed) -> DataFrame:
+    """Rows with those of ``others`` by the named columns and, of ``others``, constant ones: filtered before the join, so rows stay."""
+    for name, value in fixed.items():
+        others = others.where(F.col(name) == value)
+    return rows.join(others.drop(*fixed), [F.col(a) == F.col(b) for a, b in on.items()], "left")
+
+
+def shown(rows: DataFrame, shape: dict[str, Column | str]) -> DataFrame:
+    """The columns of a response in their order, by name or made."""
+    return rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in shape.items()])
+
+
+def text_or(c: Column, other: Column | str = "") -> Column:
+    """The text unless it is null or blank."""
+    other = F.lit(other) if isinstance(other, str) else other
+    return F.when(F.trim(c) != "", c).otherwise(other)
+
+
+def message_view(message_type: Column, from_me: Column, text: Column) -> dict[str, Column]:
+    """Direction, content and type of a message as the user interface names them."""
+    kind = text_or(message_type, "conversation")
+    shown_as = F.when(kind.isin("audioMessage", "ptt"), "AUDIO").when(kind == "imageMessage", "IMAGE").when(kind == "documentMessage", "PDF").otherwise("TEXT")
+    return {"direction": F.when(from_me, "OUTBOUND").otherwise("INBOUND"), "content": text_or(text, "[sem texto extraído]"), "type": shown_as, "raw_type": kind}
+
+
+def timeline_view(event_type: Column) -> Column:
+    upper = F.upper(text_or(event_type, "SIGNAL"))
+    return F.when(F.contains(upper, F.lit("MESSAGE")), "MESSAGE").when(F.contains(upper, F.lit("OPPORT")), "OPPORTUNITY").when(F.contains(upper, F.lit("CONTRACT")), "CONTRACT").when(F.contains(upper, F.lit("PENDING")), "PENDING").otherwise("SIGNAL")
+
+
 def context(sections: dict[str, DataFrame], subject: str, at: str, tie: str, include: str | None = None, cap: int = 20) -> DataFrame:
     """(subject, section, rank, at, item) for all subjects: the newest ``cap`` rows of each wanted section, an item as JSON.
 

@@ -1,22 +1,12 @@
-"""Who an event belongs to: persons by their identities in order of arrival."""
+"""Who an event belongs to: persons by their identities in order of arrival."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder of spark.checkpoint.dir, so that rounds don't grow the lineage; in a folder of its own where unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rounds-"))
-    return df.checkpoint()
+from tesselar.operators.settle import settled
 
 
 def identity_keys(events: DataFrame) -> DataFrame:
@@ -29,10 +19,10 @@ def identity_keys(events: DataFrame) -> DataFrame:
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(arrival, root) of (arrival, up): every round doubles the distance that a pointer spans."""
-    now = _settled(parents)
+    now = settled(parents)
     while True:
         far = now.select(F.col("arrival").alias("up"), F.col("up").alias("further"))
-        step = _settled(now.join(far, "up").select("arrival", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")))
+        step = settled(now.join(far, "up").select("arrival", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")))
         now = step.select("arrival", "up")
         if step.where("moved").isEmpty():
             return now.withColumnRenamed("up", "root")
@@ -48,16 +38,16 @@ def persons(events: DataFrame, most_rounds: int = 50) -> DataFrame:
     doubling, and conflicts by repeating both until they stay: an event's outcome rests on earlier events only, so
     there is one such state. Rounds follow the depth of conflicts on conflicts, not the number of events.
     """
-    ids = _settled(identity_keys(events))
+    ids = settled(identity_keys(events))
     conflicts = ids.where("false").select("arrival").distinct()
     for _ in range(most_rounds):
         first = ids.join(conflicts, "arrival", "left_anti").groupBy("key").agg(F.min("arrival").alias("first"))
-        earlier = _settled(ids.join(first, "key").where("first < arrival").select("arrival", "first", "strong"))
+        earlier = settled(ids.join(first, "key").where("first < arrival").select("arrival", "first", "strong"))
         up = earlier.groupBy("arrival").agg(F.min(F.struct((~F.col("strong")).alias("weak"), "first"))["first"].alias("up"))
         alone = ids.select("arrival").distinct().join(up, "arrival", "left")
         roots = _roots(alone.select("arrival", F.coalesce("up", "arrival").alias("up")))
         owned = earlier.where("strong").join(roots.select(F.col("arrival").alias("first"), "root"), "first")
-        found = _settled(owned.groupBy("arrival").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("arrival"))
+        found = settled(owned.groupBy("arrival").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("arrival"))
         same = found.join(conflicts, "arrival", "left_anti").isEmpty() and conflicts.join(found, "arrival", "left_anti").isEmpty()
         conflicts = found
         if same:

@@ -32,8 +32,8 @@ FROM (SELECT *, conv_id + turn AS n FROM conversations) WHERE n % 7 <> 0
 """
 FINDS = """
 SELECT * FROM (VALUES (0, 'observation.recorded', 'mentioned_cnpj', '12.345.678/0001-95'), (0, 'identity.observed', 'cnpj', '12345678000195'), (1, 'observation.recorded', 'mentioned_email', 'ana@firma.com.br'),
-  (1, 'identity.observed', 'email', 'ana@firma.com.br'), (2, 'observation.recorded', 'whatsapp_signals', NULL), (2, 'observation.recorded', 'relationship.tsm', 'lead'), (3, 'observation.recorded', 'whatsapp_signals', NULL),
-  (3, 'observation.recorded', 'relationship.tsm', 'motorista'), (3, 'observation.recorded', 'policy.no_cold_outreach', 'true')) f(told, event_type, key, value)
+  (1, 'identity.observed', 'email', 'ana@firma.com.br'), (2, 'observation.recorded', 'whatsapp_signals', NULL), (2, 'observation.recorded', 'relationship', 'lead'), (3, 'observation.recorded', 'whatsapp_signals', NULL),
+  (3, 'observation.recorded', 'relationship', 'motorista'), (3, 'observation.recorded', 'policy.no_cold_outreach', 'true')) f(told, event_type, key, value)
 """
 
 
@@ -144,11 +144,6 @@ def l3(spark, d):
     return table(spark, d, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).offset(100).limit(50).select("conv_id", "turn", "role")
 
 
-@add("p7_interaction_filter", "SELECT event_id, ts FROM events WHERE user_id = 7 AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-10'")
-def p7(spark, d):
-    return table(spark, d, "events").where("user_id = 7 AND event_type = 'click' AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'").select("event_id", "ts")
-
-
 @add("r10_conversations", """
 SELECT conv_id, messages, CASE WHEN quote AND driver THEN 'cotacao/frete/carreta' WHEN quote THEN 'cotacao/frete' WHEN driver THEN 'motorista/carreta' ELSE 'geral' END AS subject,
   'Conversa com ' || messages || ' mensagem(s).' || CASE WHEN quote AND driver THEN ' Tópicos principais: cotacao, frete, motorista.' WHEN quote THEN ' Tópicos principais: cotacao, frete.' WHEN driver THEN ' Tópicos principais: motorista.' ELSE '' END AS summary

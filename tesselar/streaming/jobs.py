@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tesselar.operators.ingest import decide, stored_events
 
 
+#: Folders of a batch in the log, by the hash of an event's key.
+PARTS = 64
+
+
 def events_of(spark: SparkSession, folder: str, schema: StructType | str, files: int = 100) -> DataFrame:
     """A stream of JSON event files, so many to a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
@@ -34,13 +39,17 @@ def ingest(stream: DataFrame, log: str, checkpoint: str, on_batch: Callable[[Dat
     """
 
     def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("source", "event_id"), F.lit(PARTS)).cast("int")).persist()
         old = _stored(rows.sparkSession, log)
         if old is not None:
-            old = old.where(f"batch <> {number}")
+            # only the folders and keys of this batch; at most PARTS numbers come back
+            parts = [r.part for r in rows.select("part").distinct().collect()]
+            old = old.where(F.col("part").isin(parts) & (F.col("batch") != number)).join(rows.select("source", "event_id").distinct(), ["source", "event_id"], "left_semi")
         decided = decide(rows, old).persist()
-        stored_events(decided).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        stored_events(decided).write.mode("overwrite").partitionBy("part").parquet(f"{log}/batch={number}")
         if on_batch:
-            on_batch(decided, number)
+            on_batch(decided.drop("part"), number)
         decided.unpersist()
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

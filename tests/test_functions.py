@@ -32,7 +32,7 @@ def test_routes_and_self_declared(spark):
     assert one(spark, T.routes, "carga de São Paulo para Curitiba") == ["São Paulo → Curitiba"]
     assert one(spark, T.self_declared_cnpjs, "meu CNPJ é 12.345.678/0001-95") == ["12.345.678/0001-95"]
     assert one(spark, T.self_declared_cnpjs, "a cotação é pro CNPJ 12.345.678/0001-95") == []
-    assert one(spark, T.affiliation, "bom dia, aqui é da TSM") == "TSM"
+    assert one(spark, T.affiliation, "bom dia, aqui é da Horizonte") == "Horizonte"
 
 
 def test_scores_and_texts(spark):
