@@ -22,13 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Only where it is unset (tests on one machine) one is made."""
+    """The folder that the cluster names for checkpoints. Where it is unset one is made, on a single machine only: a folder of
+    the driver would be lost to the executors of a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+#: Rows up to which a counted table is broadcast; beyond, joins are left to Spark.
+BROADCAST_ROWS = 100_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpointed table, marked for broadcast if it has few rows, and their number."""
+    df = shared_checkpoint(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -120,6 +135,12 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: numpy's own hashes them first, which takes longer for many."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def inside(lengths: np.ndarray, k: int) -> np.ndarray:
     """Positions of the concatenated documents at which k words of one document start."""
     ends = np.cumsum(lengths)
@@ -152,6 +173,55 @@ def unpack_planes(blob: bytes, n: int, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def bucket_bits(entries: int, per: int = 2_000_000, least: int = 6, most: int = 20) -> int:
-    """Bits of the hash that name a bucket, so that a bucket has about ``per`` entries at any corpus size."""
-    return min(most, max(least, math.ceil(math.log2(max(1, entries) / per))) if entries > per else least)
+def bucket_bits(entries: int, spark: SparkSession | None = None, per: int = 2_000_000, least: int = 6) -> int:
+    """Bits of the hash that name a bucket, so that a bucket has ``per`` entries at most on average; with a session also so
+    that there are several buckets to a shuffle partition, which even out."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions")) if spark else 1
+    return max(least, math.ceil(math.log2(max(1, entries) / per)), math.ceil(math.log2(2 * partitions)))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores appended as keep it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def repeated(df: DataFrame, times: str, number: str | None = None, most: int = 10_000) -> DataFrame:
+    """Each row so many times, numbered from 1 if asked; in two steps, so that arrays have ``most`` numbers, or one for so many rows."""
+    block, own = fresh(df.columns, "block", "own")
+    many = df.where(F.col(times) > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / most))))
+    left = F.least(F.lit(most).cast("long"), F.col(times) - F.col(block) * most)
+    many = many.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    if number:
+        many = many.withColumn(number, (F.col(block) * most + F.col(own)).cast("int"))
+    return many.drop(block, own)
+
+
+def packed_tables(most: int):
+    """Consecutive rows of a partition as compressed tables of about so many bytes of text: (slice, rows). A slice's number is that
+    of its partition and its place there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        for place, part in enumerate(chunks(batches, most)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_table(part)
+            blob = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() << 32 | place]), pa.array([blob], pa.binary())], ["slice", "rows"])
+
+    return run
+
+
+def unpacked_table(blob: pa.Scalar) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_buffer())).read_all()
