@@ -4,14 +4,15 @@ Method. Rabin-Karp hashes of every window of ``window`` words are made in numpy,
 of documents at a time. A chunk keeps one entry per hash, that of its smallest document;
 its other documents with that hash are known hits at once, so a passage in a third of all
 documents costs one entry a chunk. Spark deals the entries by hash range into buckets whose
-number follows the corpus; a bucket's task counts the entries of each hash and finds its smallest
+number follows the corpus (a packed row names only the documents that its entries use, so bytes follow the
+entries); a bucket's task counts the entries of each hash and finds its smallest
 document. Hits go back to their documents, whose covered words merge into maximal intervals.
 
 Hashes have 64 bits and are not compared word by word.
 
 Defined results: a null text has no words; a document of fewer words than a window keeps
 all; a row with a null doc_id comes after all documents (it never counts as the earlier one,
-and its words covered by any other document's windows go); rows that repeat a doc_id are
+and its words covered by any other document's windows go; such rows are told apart by their text); rows that repeat a doc_id are
 one document for the comparison and are cleaned alike; an empty table gives no rows;
 further columns pass unchanged.
 """
@@ -23,43 +24,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, inside, lists, pack_planes, rolling, table, text_bytes, unpack_planes
+from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, fresh, inside, lists, mix, pack_planes, rolling, table, text_bytes, unpack_planes
 
 WINDOW = 13
 #: Stands for a null doc_id: after all documents.
 LAST = np.iinfo(np.int64).max
-ENTRY = "bucket int, n int, docs binary, entries binary, doc_id long, hashes array<long>"
+ENTRY = "bucket long, n int, m int, docs binary, entries binary, doc_id long, tag long, hashes array<long>"
+HITS = "doc_id long, tag long, hashes array<long>"
 
 
-def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    return column.fill_null(LAST).to_numpy().astype(np.int64)
+def _keys(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its doc_id, and a tag that tells rows without one apart: a hash of their text; else 0."""
+    import xxhash
+
+    ids = part["doc_id"].combine_chunks()
+    known = np.asarray(ids.is_valid())
+    tags = np.zeros(len(known), np.int64)
+    for i in np.flatnonzero(~known).tolist():
+        tags[i] = xxhash.xxh3_64_intdigest(part["text"][i].as_py() or "") >> 1 | 1
+    return ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64), tags
 
 
 def _entry_schema() -> pa.Schema:
-    return pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("entries", pa.binary()), ("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    return pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("docs", pa.binary()), ("entries", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
 
-def _hits(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Hits as one row per document: (doc ids, list of hashes)."""
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, np.int64)
-    return docs[starts], lists(starts, hashes.view(np.int64), pa.int64())
+def _hits(docs: np.ndarray, tags: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distinct hits as one row per document: (doc ids, tags, list of hashes)."""
+    order = np.lexsort((hashes, tags, docs))
+    docs, tags, hashes = docs[order], tags[order], hashes[order]
+    if len(docs):
+        other = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])
+        keep = np.append(True, other | (hashes[1:] != hashes[:-1]))
+        starts = np.flatnonzero(np.append(True, other)[keep])
+        docs, tags, hashes = docs[keep], tags[keep], hashes[keep]
+    else:
+        starts = np.empty(0, np.int64)
+    return docs[starts], tags[starts], lists(starts, hashes.view(np.int64), pa.int64())
 
 
 def _entries(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash, schema = WordHash(), _entry_schema()
         for part in chunks(batches):
-            ids = _ids(part["doc_id"])
+            ids, tags = _keys(part)
             texts = text_bytes(part["text"])
-            by_id = np.argsort(ids, kind="stable")
+            by_id = np.lexsort((tags, ids))
             words = [texts[i].split() for i in by_id]
-            ids = ids[by_id]
-            uniq, doc = np.unique(ids, return_inverse=True)
+            ids, tags = ids[by_id], tags[by_id]
+            own = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))
+            doc, uniq, tags = np.cumsum(own) - 1, ids[own], tags[own]
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             flat = np.concatenate([word_hash.of(w) for w in words]) if len(words) else np.empty(0, np.uint64)
             at = inside(lengths, window)
@@ -74,72 +92,82 @@ def _entries(window: int, bits: int):
             starts = np.flatnonzero(first)
             least = np.minimum.reduceat(d, starts)
             group = np.cumsum(first) - 1
-            known = d > least[group]
+            known = uniq[d] > uniq[least[group]]
             if known.any():
-                # once for each document and hash
-                pair = np.unique(np.stack([d[known].astype(np.uint64), h[known]]), axis=1)
-                docs, found = _hits(uniq[pair[0].astype(np.int64)], pair[1])
+                docs, tag, found = _hits(uniq[d[known]], tags[d[known]], h[known])
                 n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - (docs & ((16 << bits) - 1)), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(docs), found], schema=schema)
-            h, d = h[starts], least.astype(np.uint16)
-            cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            rows = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
-            names = pack_planes(uniq)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows, pa.int32()),
-                    pa.array([cuts[b + 1] - cuts[b] for b in rows], pa.int32()),
-                    pa.array([len(uniq).to_bytes(4, "little") + names for _ in rows], pa.binary()),
-                    pa.array([pack_planes(h[cuts[b] : cuts[b + 1]], d[cuts[b] : cuts[b + 1]]) for b in rows], pa.binary()),
-                    pa.nulls(len(rows), pa.int64()),
-                    pa.nulls(len(rows), pa.list_(pa.int64())),
-                ],
-                schema=schema,
-            )
+                none = pa.nulls(n, pa.int32())
+                target = mix(docs.view(np.uint64) ^ tag.view(np.uint64)) >> np.uint64(60 - bits)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - target.astype(np.int64)), none, none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(docs), pa.array(tag), found], schema=schema)
+            # rows without a doc_id are later than all others but not than each other, so each sends its own
+            last = uniq[least] == LAST
+            sent = first | last[group]
+            h, d = h[sent], np.where(last[group], d, least[group])[sent]
+            bucket = h >> np.uint64(64 - bits)
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            rows = []
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]):
+                # a row names only the documents that its entries use
+                used, place = np.unique(d[a:b], return_inverse=True)
+                rows.append((b - a, len(used), pack_planes(uniq[used], tags[used]), pack_planes(h[a:b], place.astype(np.uint16))))
+            n, m, names, packed = zip(*rows)
+            none = pa.nulls(len(rows), pa.int64())
+            columns = [pa.array(bucket[cut].astype(np.int64)), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary()), none, none, pa.nulls(len(rows), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """One bucket: hits of the documents that are not the smallest of their hash."""
+    """One bucket: hits of the documents that are not the smallest of their hash. Hits known before have buckets of their own,
+    where each counts once."""
     rows = rows.combine_chunks()
-    if rows.num_rows and rows["doc_id"][0].is_valid:
-        return rows.select(["doc_id", "hashes"])
-    hs, ds = [], []
-    for n, docs, entries in zip(rows["n"].to_pylist(), rows["docs"], rows["entries"]):
-        docs = docs.as_py()
-        (names,) = unpack_planes(docs[4:], int.from_bytes(docs[:4], "little"), np.int64)
+    if rows["bucket"][0].as_py() < 0:
+        times, hashes = pa.compute.list_value_length(rows["hashes"]).to_numpy(), pa.compute.list_flatten(rows["hashes"]).to_numpy()
+        docs, tags, found = _hits(np.repeat(rows["doc_id"].to_numpy(), times), np.repeat(rows["tag"].to_numpy(), times), hashes.view(np.uint64))
+        return pa.table({"doc_id": pa.array(docs), "tag": pa.array(tags), "hashes": found})
+    hs, ds, ts = [], [], []
+    for n, m, docs, entries in zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["docs"], rows["entries"]):
+        names, tags = unpack_planes(docs.as_py(), m, np.int64, np.int64)
         h, d = unpack_planes(entries.as_py(), n, np.uint64, np.uint16)
         hs.append(h)
         ds.append(names[d])
-    h, d = np.concatenate(hs), np.concatenate(ds)
-    del hs, ds
+        ts.append(tags[d])
+    h, d, t = np.concatenate(hs), np.concatenate(ds), np.concatenate(ts)
+    del hs, ds, ts
     order = np.argsort(h)
-    h, d = h[order], d[order]
+    h, d, t = h[order], d[order], t[order]
     first = np.append(True, h[1:] != h[:-1])
     least = np.minimum.reduceat(d, np.flatnonzero(first))[np.cumsum(first) - 1]
     hit = d > least
-    docs, found = _hits(d[hit], h[hit])
-    return pa.table({"doc_id": pa.array(docs), "hashes": found})
+    docs, tags, found = _hits(d[hit], t[hit], h[hit])
+    return pa.table({"doc_id": pa.array(docs), "tag": pa.array(tags), "hashes": found})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """(doc_id, hits): hashes of the document's windows that also start in a smaller doc_id."""
+    """(doc_id, tag, hits): hashes of the document's windows that also start in a smaller doc_id; see ``_keys``."""
     if bits is None:
-        bits = bucket_bits(corpus_size(docs)[1] // 6)
+        bits = bucket_bits(corpus_size(docs)[1] // 6, docs.sparkSession)
     entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_entries(window, bits), ENTRY)
-    hits = entries.groupBy("bucket").applyInArrow(_count, "doc_id long, hashes array<long>")
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hashes")).alias("hits"))
+    hits = entries.groupBy("bucket").applyInArrow(_count, HITS)
+    # at most one row a bucket for a document, each hash in at most two
+    return hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("hashes")).alias("hits"))
+
 
+def _squeezed(names: tuple[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            packed = [None if x is None else z.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            key = pa.table([pa.compute.cast(batch.column("doc_id"), pa.int64()), batch.column(at)], ["doc_id", "text"])
+            ids, tags = _keys(key)
+            batch = batch.set_column(at, pa.field("text", pa.binary()), pa.array(packed, pa.binary()))
+            yield batch.append_column(names[0], pa.array(ids)).append_column(names[1], pa.array(tags))
 
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        packed = [None if x is None else z.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
-        yield batch.set_column(at, pa.field("text", pa.binary()), pa.array(packed, pa.binary()))
+    return run
 
 
 def _cleaned(window: int):
@@ -178,11 +206,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, bits: int | None = No
     word intervals ``removed`` (start, end). A text that loses nothing stays as it is; else the kept
     words are joined by one space. Columns of those names are replaced."""
     own = ["n_words", "n_removed", "kept_sha256", "removed", "hits"]
-    base = docs.drop(*own)
+    base = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    squeezed = ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items())
-    hits = repeated_windows(docs, window, bits).withColumnRenamed("doc_id", "_hit_id")
-    joined = base.mapInArrow(_squeezed, squeezed).join(hits, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))) == F.col("_hit_id"), "left").drop("_hit_id")
+    key, tag = fresh([*base.columns, *own, "doc_id", "tag"], "key", "tag")
+    squeezed = ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()) + f", `{key}` long, `{tag}` long"
+    hits = repeated_windows(docs, window, bits).withColumnsRenamed({"doc_id": f"{key}_hit", "tag": f"{tag}_hit"})
+    rows = base.mapInArrow(_squeezed((key, tag)), squeezed)
+    joined = rows.join(hits, (rows[key] == hits[f"{key}_hit"]) & (rows[tag] == hits[f"{tag}_hit"]), "left").drop(key, tag, f"{key}_hit", f"{tag}_hit")
     rest = ", ".join(f"`{k}` {v}" for k, v in kinds.items() if k != "text")
     schema = f"{rest}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>, text string"
     return joined.mapInArrow(_cleaned(window), schema)
