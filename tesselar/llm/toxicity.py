@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import chunks, table, text_bytes
+from tesselar.llm.common import chunks, distinct, table, text_bytes
 from tesselar.llm.labelled import held_out, labelled_sample
 
 PER_CLASS = 2_500
@@ -157,7 +157,7 @@ class FactorizationMachine:
         count = np.diff(first)[flat]
         at = np.repeat(first[:-1][flat], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         m = len(self.terms) + 1
-        pair = np.unique(np.concatenate([np.repeat(doc, count) * m + i[at], np.arange(len(texts)) * m + m - 1]))
+        pair = distinct(np.concatenate([np.repeat(doc, count) * m + i[at], np.arange(len(texts)) * m + m - 1]))
         y, _ = self._forward(self.bias, self.weights, self.factors, self.values, pair % m, np.searchsorted(pair, np.arange(len(texts)) * m))
         return 1 / (1 + np.exp(-np.clip(y, -50, 50)))
 
