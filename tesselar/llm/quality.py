@@ -1,7 +1,7 @@
 """Quality classifier by compression with dictionaries of good and of bad text.
 
-Method. Two zstandard dictionaries are built from the blocks of labelled good and bad texts (a bounded sample
-of DICTIONARY_ROWS rows of each label). A whole text is compressed block by block with each; the
+Method. Two zstandard dictionaries are built from blocks of labelled good and bad texts (a bounded sample
+of DICTIONARY_BLOCKS blocks of DICTIONARY_ROWS rows of each label, so of bounded bytes in the driver). A whole text is compressed block by block with each; the
 difference of the two sizes over the text's size is its evidence: a text close to the good ones
 is smaller under their dictionary. A logistic curve over that evidence and its square, fitted
 on other labelled rows (at most CALIBRATION_ROWS of each label, measured in Spark tasks), makes it the
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from tesselar.llm.common import slices, table, text_bytes
 from tesselar.llm.labelled import held_out, labelled_sample
 
 DICTIONARY_ROWS, CALIBRATION_ROWS = 2_000, 3_000
-DICTIONARY_BYTES, BLOCK, LEVEL = 110_000, 512, 3
+DICTIONARY_BLOCKS, DICTIONARY_BYTES, BLOCK, LEVEL = 24_000, 110_000, 512, 3
 SEED = 11
 THRESHOLD = 0.3
 
@@ -35,11 +36,10 @@ def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; of too little text to train on, the text itself."""
+def build_dictionary(parts: list[bytes]) -> bytes:
+    """A dictionary trained on blocks; of too little text to train on, the text itself."""
     import zstandard
 
-    parts = [b for t in texts for b in blocks(t)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, parts)) // 8)), parts).as_bytes()
     except (zstandard.ZstdError, ValueError, MemoryError):
@@ -98,6 +98,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float,
     return tuple(map(float, beta))
 
 
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each text with numbers that order them at random, but alike on every run."""
+    import xxhash
+
+    for batch in batches:
+        for part in slices(batch):
+            for name, label, text in zip(part.column("doc_id").to_pylist(), part.column("label").to_pylist(), text_bytes(part.column("text"))):
+                cut = blocks(text)
+                turn = [xxhash.xxh3_64_intdigest(f"{name}:{i}", SEED) >> 1 for i in range(len(cut))]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(cut), pa.int32()), pa.array(turn, pa.int64()), pa.array(cut, pa.binary())], ["label", "turn", "block"])
+
+
 def _measured(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -117,14 +129,17 @@ def _measure(docs: DataFrame, model: CompressionClassifier, name: str) -> DataFr
     return docs.mapInArrow(_measured(docs.sparkSession.sparkContext.broadcast(model), name), schema)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> CompressionClassifier:
+def fit_quality(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS, dictionary_blocks: int = DICTIONARY_BLOCKS) -> CompressionClassifier:
     """Dictionaries and curve; the sample's rows are split by a hash, so no row serves for both."""
     sample, share = labelled_sample(docs, labels, "quality", dictionary_rows + calibration_rows, SEED)
+    # bounded in rows; read three times
+    sample = sample.persist(StorageLevel.DISK_ONLY)
     for_curve = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.lit(dictionary_rows + calibration_rows)) >= dictionary_rows
-    texts = sample.where(~for_curve).select("doc_id", "label", "text").toPandas().sort_values("doc_id", kind="stable")
-    of = {y: [t.encode() for t, l in zip(texts["text"], texts["label"]) if l == y] for y in (0, 1)}
+    cut = sample.where(~for_curve).mapInArrow(_block_rows, "label int, turn long, block binary")
+    of = {y: [bytes(r.block) for r in cut.where(F.col("label") == y).orderBy("turn", "block").limit(dictionary_blocks).collect()] for y in (0, 1)}
     model = CompressionClassifier(build_dictionary(of[1]) if of[1] else b"", build_dictionary(of[0]) if of[0] else b"", (0.0, 0.0, 0.0))
     rows = _measure(sample.where(for_curve), model, "evidence").select("doc_id", "label", "evidence").toPandas().sort_values("doc_id", kind="stable")
+    sample.unpersist()
     if not of[0] or not of[1]:
         rows = rows.iloc[:0]
     model.coefficients = calibrate(rows["evidence"].to_numpy(), rows["label"].to_numpy().astype(float), share)
