@@ -12,7 +12,7 @@ doc_id. Rows are dealt by ranges of doc_id about equal in bytes; the row at a ra
 to the neighbouring range too. So texts cross the network once and no task holds more than its range.
 
 Defined results: null and empty texts and those without words have the fingerprint 0...0; a null
-doc_id comes after all others; rows that repeat a doc_id follow each other in the order of their
+doc_id comes after all others (and is no query of the search); rows that repeat a doc_id follow each other in the order of their
 texts; of one document the next is itself; an empty table gives no rows.
 """
 
@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import corpus_size, parts_for, table
+from tesselar.llm.common import corpus_size, parts_for, shared_checkpoint, table
 
 SPACE = r"[ \t\n\x0B\f\r]+"
 RANGE_BYTES = 2 << 20
+#: Differing bits of near fingerprints; rows whose doc_id is divisible by QUERY_EVERY are searched for.
+RADIUS, QUERY_EVERY = 3, 50
 #: Two counters of 32 bits in a long.
 LANES = 0x100000001
 LOWEST = -(2**63)
@@ -68,11 +70,12 @@ def simhash(texts: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys).agg(*_votes()).select(*keys, _signs().alias("fingerprint"))
 
 
-def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """(query, fingerprint): fingerprints of ``prints`` within ``radius`` differing bits of one of ``queries``.
+def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(query, fingerprint): fingerprints of ``prints`` within ``radius`` differing bits of one of ``queries``, each pair once.
 
     Both hold distinct values in a column ``fingerprint``. With b blocks there are C(b, radius) tables,
-    each keyed by b - radius whole blocks: more blocks make longer keys and shorter runs.
+    each keyed by b - radius whole blocks: more blocks make longer keys and shorter runs. Of the tables in which
+    a pair meets only the first one gives it.
     """
     blocks = blocks or radius + 3
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -82,11 +85,24 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bl
     def keyed(df: DataFrame, name: str) -> DataFrame:
         v = _long_of(F.col("fingerprint"))
         tables = F.array(*[F.struct(F.lit(t).alias("t"), v.bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-        return df.select(F.col("fingerprint").alias(name), v.alias(f"{name}_bits"), F.inline(tables))
+        return df.select(v.alias(name), F.inline(tables))
 
-    a, b = keyed(queries.select("fingerprint").distinct(), "query"), keyed(prints.select("fingerprint").distinct(), "fingerprint")
-    close = F.bit_count(F.col("query_bits").bitwiseXOR(F.col("fingerprint_bits"))) <= radius
-    return a.join(b, [a.t == b.t, a.key == b.key, close]).select("query", "fingerprint").distinct()
+    a, b = keyed(queries.select("fingerprint").distinct(), "query_bits"), keyed(prints.select("fingerprint").distinct(), "print_bits")
+    differ = F.col("query_bits").bitwiseXOR(F.col("print_bits"))
+    found = a.join(b, [a.t == b.t, a.key == b.key, F.bit_count(differ) <= radius]).select(a.t, "query_bits", "print_bits")
+    earlier = F.exists(F.slice(F.array(*map(F.lit, masks)), F.lit(1), F.col("t")), lambda m: differ.bitwiseAND(m) == 0)
+    hexed = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(n) for c, n in (("query_bits", "query"), ("print_bits", "fingerprint"))]
+    return found.where(~earlier).select(*hexed)
+
+
+def with_near_counts(prints: DataFrame, every: int = QUERY_EVERY, radius: int = RADIUS) -> DataFrame:
+    """``prints`` (doc_id, fingerprint, ...) with ``near_count``: of rows whose doc_id is divisible by ``every``, the number of distinct
+    fingerprints within the radius, its own included; else null."""
+    asked = F.col("doc_id") % every == 0
+    counts = near_fingerprints(prints, prints.where(asked), radius).groupBy("query").agg(F.count(F.lit(1)).alias("near_count"))
+    queries = prints.where(asked).join(counts, F.col("fingerprint") == F.col("query"), "left").drop("query")
+    rest = prints.where(F.coalesce(~asked, F.lit(True))).withColumn("near_count", F.lit(None).cast("long"))
+    return queries.unionByName(rest)
 
 
 def with_next_text(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -132,4 +148,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the prints are read twice; texts only once
+    return with_near_counts(shared_checkpoint(fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))))
