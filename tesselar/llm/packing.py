@@ -16,7 +16,10 @@ itself; a null doc_id is packed as any; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import shared_checkpoint, slices, table
+from tesselar.llm.common import fresh, shared_checkpoint, slices, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Fillings looked at for one sequence, and tried one after the other when the first plan may not be the best.
-NODES, WIDTH, DIVES = 4_000, 3, 24
+#: Branches looked at for one sequence, fillings kept of it, and descents tried for one sequence less.
+NODES, WIDTH, DIVES = 4_000, 3, 60
 SALT_ROWS = 100_000
-#: Longer runs of letters, digits or signs are left to the tokenizers library, which merges them in less than quadratic time.
+#: Longer runs without a space are left to the tokenizers library, which merges them in less than quadratic time to the same ids.
 LONG_PIECE = 2_000
 
 _ENCODERS: dict = {}
@@ -45,13 +48,13 @@ def default_vocabulary() -> str:
 
 
 def encoder(vocabulary: str):
-    """ids of a text by a byte-level BPE file. The tiktoken library reads the same vocabulary where a file of
-    ranks lies beside it: equal ids in a fifth of the time."""
+    """ids of a text as ``Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False)`` gives them. Texts without special
+    strings are read by the tiktoken library, from a file of ranks beside the vocabulary: equal ids in a fifth of the time."""
     if vocabulary not in _ENCODERS:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(vocabulary)
-        whole.encode_special_tokens = True
+        special = [t.content for t in whole.get_added_tokens_decoder().values()]
         try:
             import public_tokenizers
             import tiktoken
@@ -63,7 +66,9 @@ def encoder(vocabulary: str):
             fast = None
 
         def ids(text: str) -> np.ndarray:
-            if fast is None or (len(text) > LONG_PIECE and max(map(len, text.split())) > LONG_PIECE if text.strip() else len(text) > LONG_PIECE):
+            # tiktoken merges a long run without spaces in quadratic time
+            runs = len(text) > LONG_PIECE and max(map(len, text.split()), default=len(text)) > LONG_PIECE
+            if fast is None or runs or any(x in text for x in special):
                 return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
             return np.array(fast.encode_ordinary(text), np.uint32)
 
@@ -108,8 +113,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int, width: int = WIDTH, nodes: int = NODES) -> list[tuple[int, list[int]]]:
     """Undominated fillings of ``room``, as (waste, lengths descending), least waste first.
 
-    Largest lengths first, so the first filling reached is the best-fit one and is the incumbent. A filling is
-    dominated if a piece in it could be swapped for a longer one that still fits, or one more could be added.
+    Largest lengths first, so the first filling reached is the best-fit one, which is never dominated, and is the incumbent. A filling is
+    dominated if a piece that it leaves out fits its waste, or fits in place of a shorter piece of it.
     Branches that cannot waste less than the worst kept, or than ``allowed``, are cut.
     """
     found: list[tuple[int, list[int]]] = []
@@ -117,12 +122,20 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
     usable = [x for x in lengths if x <= room and counts[x]]
     if not usable:
         return [(room, [])]
-    smallest = usable[-1]
+    smallest, rising = usable[-1], usable[::-1]
     # what all pieces not longer than usable[i] hold together
     held = [0] * (len(usable) + 1)
     for i in range(len(usable) - 1, -1, -1):
         held[i] = held[i + 1] + usable[i] * counts[usable[i]]
 
+    def dominated(waste: int, used: list[int]) -> bool:
+        times = Counter(used)
+        for y in (0, *times):
+            for z in rising[bisect_right(rising, y) : bisect_right(rising, y + waste)]:
+                if counts[z] > times[z]:
+                    return True
+        return False
+
     def bound() -> int:
         return min(allowed, found[-1][0] - 1) if len(found) >= width else allowed
 
@@ -133,7 +146,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
         while i < len(usable) and usable[i] > room:
             i += 1
         if i == len(usable) or room < smallest:
-            if room <= bound() or not found:
+            if not found or (room <= bound() and not dominated(room, used)):
                 found.append((room, used))
                 found.sort(key=lambda f: f[0])
                 del found[width:]
@@ -143,66 +156,81 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
         x = usable[i]
         most = min(counts[x], room // x)
         for n in range(most, -1, -1):
-            rest = room - n * x
-            # leaving out a piece that fits must make place for other ones
-            if n < most and not (i + 1 < len(usable) and held[i + 1] and rest - x < rest):
+            # what is left when a piece that fits stays out must be filled up by shorter ones to less than its length
+            if n < most and room - n * x - held[i + 1] >= x:
                 break
-            if not search(i + 1, rest, used + [x] * n):
+            if not search(i + 1, room - n * x, used + [x] * n):
                 return False
         return left > 0
 
-    import sys
-
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
     search(0, room, [])
     return found
 
 
-def _dive(histogram: dict[int, int], capacity: int, allowed: int, choice: dict[int, int]) -> tuple[int, list[tuple[int, list[int]]]]:
-    """One descent of the completion tree; ``choice`` names steps at which not the best filling is taken."""
-    counts = dict(histogram)
-    lengths = sorted(counts, reverse=True)
-    bins, wasted, plan, step = 0, 0, [], 0
+def _dive(counts: dict[int, int], lengths: list[int], capacity: int, allowed: int, option: int = 0) -> list[tuple[int, list[int]]] | None:
+    """One descent of the completion tree for what ``counts`` leaves, by best fillings but for the first, which is the ``option``-th;
+    none if there is no such filling or the waste exceeds ``allowed``."""
+    counts, plan, wasted = dict(counts), [], 0
     for x in lengths:
         while counts[x]:
             counts[x] -= 1
-            options = fillings(lengths, counts, capacity - x, max(0, allowed - wasted))
+            options = fillings(lengths, counts, capacity - x, allowed - wasted)
             counts[x] += 1
-            waste, rest = options[min(choice.get(step, 0), len(options) - 1)]
-            pattern = [x, *rest]
-            need: dict[int, int] = {}
-            for y in pattern:
-                need[y] = need.get(y, 0) + 1
-            times = min(counts[y] // n for y, n in need.items())
+            turn = 0 if plan else option
+            if turn >= len(options):
+                return None
+            waste, rest = options[turn]
+            need = Counter([x, *rest])
             # a filling found with one piece set aside fits at least once
-            times = max(1, times)
+            times = max(1, min(counts[y] // n for y, n in need.items()))
             for y, n in need.items():
                 counts[y] -= n * times
-            plan.append((times, pattern))
-            bins, wasted, step = bins + times, wasted + waste * times, step + 1
-    return bins, plan
+            wasted += waste * times
+            if wasted > allowed:
+                return None
+            plan.append((times, [x, *rest]))
+    return plan
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences needed at least: by sum, and as no two pieces of over half the capacity share one."""
+    return max(-(-sum(x * n for x, n in histogram.items()) // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+
+
+def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, dives: int | None = DIVES) -> list[tuple[int, list[int]]]:
     """(times, lengths) of sequences that hold all pieces of the histogram, in few sequences.
 
-    The best-fit descent is the incumbent; while it needs more sequences than the bound by sum, descents that
-    differ from it in one step are tried with the waste that an improvement would allow.
+    The best-fit descent is the incumbent. While it needs more sequences than ``lower_bound``, other fillings of its steps are tried,
+    the last steps first, each followed by a descent for what is left from there, which is given up at more waste than an improvement
+    allows. After ``dives`` of these (None: of all) without an improvement the incumbent stays.
     """
     histogram = {int(x): int(n) for x, n in histogram.items() if n}
-    total = sum(x * n for x, n in histogram.items())
-    large = sum(n for x, n in histogram.items() if 2 * x > capacity)
-    least = max(-(-total // capacity), large)
-    best, plan = _dive(histogram, capacity, capacity * max(1, sum(histogram.values())), {})
-    tries = 0
-    for alternative in range(1, WIDTH):
+    lengths = sorted(histogram, reverse=True)
+    total, least = sum(x * n for x, n in histogram.items()), lower_bound(histogram, capacity)
+    plan = _dive(histogram, lengths, capacity, capacity * max(1, sum(histogram.values())))
+    better = True
+    while better:
+        better, best, tried = False, sum(t for t, _ in plan), 0
+        if best <= least:
+            break
+        counts, bins, wasted = dict.fromkeys(lengths, 0), best, sum(t * (capacity - sum(p)) for t, p in plan)
         for step in range(len(plan) - 1, -1, -1):
-            if best <= least or tries >= DIVES:
-                return plan
-            tries += 1
-            bins, other = _dive(histogram, capacity, (best - 1) * capacity - total, {step: alternative})
-            if bins < best:
-                best, plan = bins, other
+            times, pattern = plan[step]
+            for x in pattern:
+                counts[x] += times
+            bins, wasted = bins - times, wasted - times * (capacity - sum(pattern))
+            for option in range(WIDTH):
+                # option 0 differs where the plan took a filling as often as it fits
+                if dives is not None and tried >= dives:
+                    break
+                tried += 1
+                other = _dive(counts, lengths, capacity, (best - 1) * capacity - total - wasted, option)
+                if other is not None and bins + sum(t for t, _ in other) < best:
+                    plan, better = plan[:step] + other, True
+                    break
+            if better or (dives is not None and tried >= dives):
+                break
     return plan
 
 
@@ -251,12 +279,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.collect()}
     ranges = plan_ranges(plan_bins({x: n for x, n in histogram.items() if x < capacity}, capacity))
     salts = max(1, -(-max(histogram.values(), default=1) // SALT_ROWS)) * 8
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    salt, mine, earlier, n = fresh(cut.columns, "salt", "rank_in_salt", "before", "n")
+    salted = cut.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    before = salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias(n))
     # a row for each length and salt: a window over salts, not over pieces
-    before = before.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("rank", F.col("_rank") + F.col("_before")).drop("_salt", "_rank", "_before")
+    before = before.select("length", salt, (F.sum(n).over(W.partitionBy("length").orderBy(salt)) - F.col(n)).alias(earlier))
+    ranked = salted.withColumn(mine, F.row_number().over(W.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = ranked.join(before, ["length", salt]).withColumn("rank", F.col(mine) + F.col(earlier)).drop(salt, mine, earlier)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
     return ranked.mapInArrow(_placed(ranges, capacity), schema)
 
