@@ -12,7 +12,8 @@ combined before its exchange, so equal URLs or hosts meet in no task.
 
 Defined results: null URLs and those without "://" have an empty host and path and get the
 default verdict; equal rules of different verdicts count as block; repeated rows are
-judged alike; an empty table gives no rows; without rules every URL gets the default.
+judged alike; an empty table gives no rows; without rules every URL gets the default. ``keys`` may not be named host, path, rule or
+verdict; other columns of ``pages`` play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import table
+from tesselar.llm.common import fresh, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 DEFAULT = "allow"
@@ -30,6 +31,12 @@ BROADCAST_RULES = 100_000
 SHORT = 8
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """(host, path, verdict) as an inline table."""
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
+    return spark.range(1).select(F.inline(rows))
+
+
 def _ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
@@ -50,23 +57,25 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("pag
     # both sets are bounded: a host has at most 127 labels that a rule can name, and rule paths few lengths
     shape = rules.agg(F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count(F.lit(1)).alias("n")).first()
     host, path = url_parts(F.col("url"))
-    urls = pages.select(*keys, host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
+    urls = pages.select(*keys, host.alias("host"), path.alias("path"))
+    row, suffix, prefix, digest, short = fresh([*keys, "host", "path", "rule", "verdict", "best", "short", "r_host", "r_path", "r_verdict", "r_digest"], "row", "suffix", "prefix", "digest", "short_of")
+    urls = urls.withColumn(row, F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     count = F.size(labels)
     suffixes = F.array_distinct(F.array(*[F.when(count >= n, F.array_join(F.slice(labels, F.greatest(count - n + 1, F.lit(1)), F.lit(n)), ".")) for n in sorted(shape["labels"])]) if shape["n"] else F.array(F.lit(None).cast("string")))
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n) if n else F.lit("")) for n in sorted(shape["lengths"])]) if shape["n"] else F.array(F.lit(None).cast("string"))
-    made = urls.withColumn("_suffix", F.explode(suffixes)).withColumn("_prefix", F.explode(prefixes))
-    made = made.withColumn("_digest", F.sha2(F.concat("_suffix", "_prefix"), 256)).drop("_suffix", "_prefix").withColumn("_short", F.substring("_digest", 1, SHORT))
+    made = urls.withColumn(suffix, F.explode(suffixes)).withColumn(prefix, F.explode(prefixes))
+    made = made.withColumn(digest, F.sha2(F.concat(suffix, prefix), 256)).drop(suffix, prefix).withColumn(short, F.substring(digest, 1, SHORT))
     side = F.broadcast(rules) if shape["n"] <= BROADCAST_RULES else rules
-    met = made.join(side, made._short == side.short, "left")
-    best = F.max(F.when(F.col("_digest") == F.col("r_digest"), F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), "rule", "r_verdict"))).alias("best")
+    met = made.join(side, F.col(short) == F.col("short"), "left")
+    best = F.max(F.when(F.col(digest) == F.col("r_digest"), F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), "rule", "r_verdict"))).alias("best")
     # grouped by the row and what it holds: no join back
-    judged = met.groupBy("_row", *keys, "host", "path").agg(best)
+    judged = met.groupBy(row, *keys, "host", "path").agg(best)
     return judged.select(*keys, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
 SQL = r"""
