@@ -7,7 +7,7 @@ hash of document and copy and sorted by it in each partition, which is a global
 a sort's sampling pass. Everything is DataFrame functions; a source that holds a third of all rows
 is only counted (combined before the exchange) and joined to its rate.
 
-The rates are broadcast up to BROADCAST_SOURCES sources, counted first, else joined by a shuffle.
+The rates are broadcast up to BROADCAST_SOURCES sources and BROADCAST_BYTES of their names, counted first, else joined by a shuffle.
 
 Defined results: a null source is a source of its own; a null doc_id draws as the empty string; rows
 that repeat a doc_id draw alike and are all replicated; empty texts are documents as any; an empty
@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import table
+from tesselar.llm.common import fresh, repeated, table
 
 SEED = 17
-BROADCAST_SOURCES = 10_000
+BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 4 << 20
+#: Rate of one draw.
+MOST_RATE = 500.0
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -31,21 +33,28 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... up to where nothing is left that 52 bits can show."""
+def poisson_quantile(rate: Column, u: Column) -> Column:
+    """Numbers k with P(X <= k) <= u, up to where nothing is left that 52 bits can show. A fold that holds one sum, no table."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
+    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cdf"), (F.exp(-rate) <= u).cast("int").alias("n"))
 
     def step(s: Column, k: Column) -> Column:
         logp = s["logp"] + F.ln(rate / k)
-        total = s["sum"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), total.alias("sum"), F.concat(s["cdf"], F.array(total)).alias("cdf"))
+        total = s["cdf"] + F.exp(logp)
+        return F.struct(logp.alias("logp"), total.alias("cdf"), (s["n"] + (total <= u).cast("int")).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["n"]).otherwise(F.lit(0))
+
+
+def copies_of(rate: Column, seed: int) -> Column:
+    """A document's Poisson number. Up to MOST_RATE it is one draw, beyond it the sum of draws at equal parts of the rate, which is Poisson too."""
+    parts = F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + poisson_quantile(rate / parts, uniform(F.lit(seed), "doc_id", j)))
+    return F.when(parts == 1, poisson_quantile(rate, uniform(F.lit(seed), "doc_id"))).otherwise(many)
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None) -> DataFrame:
-    """(source, rate, cdf). Without weights a source's weight is the square root of its size."""
+    """(source, rate). Without weights a source's weight is the square root of its size."""
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.sqrt("size"))
@@ -54,21 +63,22 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         weighed = sizes.join(F.broadcast(given), sizes.source.eqNullSafe(given.name), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     sums = weighed.agg(F.sum("size").alias("all"), F.sum("weight").alias("weights"))
     rate = F.lit(float(total)) if total is not None else F.col("all")
-    rated = weighed.crossJoin(F.broadcast(sums)).select("source", F.when(F.col("weights") > 0, rate * F.col("weight") / F.col("weights") / F.col("size")).otherwise(F.lit(0.0)).alias("rate"))
-    return rated.withColumn("cdf", poisson_cdf(F.col("rate")))
+    # sums is one row
+    return weighed.crossJoin(F.broadcast(sums)).select("source", F.when(F.col("weights") > 0, rate * F.col("weight") / F.col("weights") / F.col("size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """Columns of ``docs`` (doc_id, text and source at least) with rate, copies and copy (from 1), in shuffled order. Columns of those names are replaced."""
     docs = docs.drop("rate", "copies", "copy")
-    rates = source_rates(docs, weights, total).withColumnRenamed("source", "_source")
-    if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    own, at = fresh([*docs.columns, "rate", "copies", "copy"], "source_of_rate", "at")
+    rates = source_rates(docs, weights, total).withColumnRenamed("source", own)
+    held = docs.select("source").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("bytes")).first()
+    if held["n"] <= BROADCAST_SOURCES and held["bytes"] <= BROADCAST_BYTES:
         rates = F.broadcast(rates)
-    drawn = docs.withColumn("_u", uniform(F.lit(seed), "doc_id")).join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    drawn = drawn.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).drop("cdf", "_u").where("copies > 0")
-    many = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    many = many.withColumn("_at", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.xxhash64("text")))
-    return many.repartition("_at").sortWithinPartitions("_at").drop("_at")
+    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col(own))).drop(own).withColumn("copies", copies_of(F.col("rate"), seed))
+    many = repeated(drawn, "copies", "copy")
+    many = many.withColumn(at, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.xxhash64("text")))
+    return many.repartition(at).sortWithinPartitions(at).drop(at)
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,17 +89,21 @@ SQL = r"""
 WITH RECURSIVE sizes AS (
   SELECT source, count(*) AS size FROM documents GROUP BY source
 ), rates AS (
-  SELECT source, (SELECT sum(size) FROM sizes) * sqrt(size) / (SELECT sum(sqrt(size)) FROM sizes) / size AS rate FROM sizes
-), steps(source, rate, k, logp, cdf) AS (
-  SELECT source, rate, 0, -rate, exp(-rate) FROM rates
+  SELECT source, rate, greatest(ceil(rate / 500), 1)::INTEGER AS parts FROM (
+    SELECT source, (SELECT sum(size) FROM sizes) * sqrt(size) / (SELECT sum(sqrt(size)) FROM sizes) / size AS rate FROM sizes)
+), steps(source, rate, parts, r, k, logp, cdf) AS (
+  SELECT source, rate, parts, rate / parts, 0, -rate / parts, exp(-rate / parts) FROM rates
   UNION ALL
-  SELECT source, rate, k + 1, logp + ln(rate / (k + 1)), cdf + exp(logp + ln(rate / (k + 1))) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+  SELECT source, rate, parts, r, k + 1, logp + ln(r / (k + 1)), cdf + exp(logp + ln(r / (k + 1))) FROM steps WHERE k < ceil(r + 12 * sqrt(r) + 30)
 ), cdfs AS (
-  SELECT source, any_value(rate) AS rate, list(cdf ORDER BY k) AS cdf FROM steps GROUP BY source
+  SELECT source, any_value(rate) AS rate, any_value(parts) AS parts, list(cdf ORDER BY k) AS cdf FROM steps GROUP BY source
+), seeds AS (
+  SELECT doc_id, documents.source, text, rate, cdf, '17:' || coalesce(doc_id::VARCHAR, '') AS name, parts FROM documents JOIN cdfs ON documents.source IS NOT DISTINCT FROM cdfs.source
+), draws AS (
+  SELECT *, CASE WHEN parts = 1 THEN [name] ELSE list_transform(range(1, parts + 1), lambda j: name || ':' || j) END AS names FROM seeds
 ), drawn AS (
-  SELECT doc_id, documents.source, text, round(rate, 9) AS rate,
-    len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0))::INTEGER AS copies
-  FROM documents JOIN cdfs ON documents.source IS NOT DISTINCT FROM cdfs.source
+  SELECT doc_id, source, text, round(rate, 9) AS rate,
+    list_sum(list_transform(names, lambda x: len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5(x), 1, 13))::BIGINT / 4503599627370496.0))))::INTEGER AS copies FROM draws
 )
 SELECT doc_id, source, text, rate, copies, unnest(range(1, copies + 1))::INTEGER AS copy FROM drawn
 """
