@@ -3,6 +3,12 @@
 Toxic documents go; of documents alike in their word shingles one stays; passages that an earlier
 document holds are cut out; sources are replicated or thinned towards their target weights; what is
 left is packed into sequences.
+
+Defined results of all stages: null and empty texts are clean, near copies of nothing, lose no words, and are packed as the
+separator alone; rows that repeat a doc_id and its text count as copies, of which one stays; rows without a doc_id are never copies of
+others, lose words that any other document holds, and are drawn as one document; ties between sources, lengths or scores are broken by ids
+and hashes, so a run gives the same rows again; columns other than those of ``documents`` are dropped; an empty table gives no
+rows. The copies that the mixing makes of a document are equal rows, each packed by itself.
 """
 
 from __future__ import annotations
@@ -59,13 +65,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage keeps is written to the shared folder and read again."""
+    """All stages on ``documents``; what a stage keeps is written to the shared folder and read again. The folder goes when the
+    last stage has cut its lineage from it with a checkpoint."""
     docs = table(spark, sf_dir, "documents")
     place = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
 
 
 #: A trained score decides the first stage and a search the last, which SQL can't express.
