@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselar.operators.windows import first_of
+
 
 def span(rows: DataFrame, key: str, at: str) -> DataFrame:
     """Count, first and last time of each key (A1, A2)."""
@@ -46,3 +48,21 @@ def recall(wanted: DataFrame, found: DataFrame, keys: list[str], by: str) -> Dat
     """Share of wanted rows that are found."""
     hit = found.select(*keys).distinct().withColumn("_hit", F.lit(1))
     return wanted.join(hit, keys, "left").groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("found"), F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
+
+
+def misses(wanted: DataFrame, found: DataFrame, keys: list[str], by: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` wanted rows of each group that are not found."""
+    return first_of(wanted.join(found.select(*keys).distinct(), keys, "left_anti"), [by], order, n)
+
+
+def differences(rows: DataFrame, others: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Keys that both have with different values of a column: keys, the value and the ``other`` one."""
+    both = rows.join(others.select(*keys, F.col(column).alias("other")), keys)
+    return both.where(~F.col(column).eqNullSafe(F.col("other"))).select(*keys, column, "other")
+
+
+def by_status(rows: DataFrame, status: str, kind: str) -> DataFrame:
+    """Counts by status and by kind as one table (dimension, value, n), from one pass (A10)."""
+    counts = rows.groupBy(status, kind).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value"), F.col("n").alias("m")) for c in (status, kind)]))
+    return counts.select(pairs).groupBy("dimension", "value").agg(F.sum("m").alias("n"))

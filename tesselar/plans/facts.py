@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselar.operators import enrich, extract, facts, merge, read, resolve, windows
+from tesselar.operators import enrich, extract, facts, merge, read, resolve, rollup, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources.tables import table
 
@@ -139,6 +139,11 @@ def a10(spark, d):
     return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("pending"), F.max("o_orderdate").alias("newest"))
 
 
+@add("a10_actions_by_status_and_type", "SELECT 'o_orderstatus' AS dimension, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def a10_by(spark, d):
+    return rollup.by_status(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
+
+
 @add("l3_message_page", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 50 OFFSET 100")
 def l3(spark, d):
     return table(spark, d, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).offset(100).limit(50).select("conv_id", "turn", "role")

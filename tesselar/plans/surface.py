@@ -19,6 +19,18 @@ add = R.add
 NOW = "2024-01-30 12:00:00"
 
 
+# the two sides of these cover the table: what was there before SPLIT, and what came since
+SPLIT = "2024-01-02 00:00:00"
+
+
+def sides(spark, d):
+    e, at = table(spark, d, "events"), F.lit(SPLIT).cast("timestamp_ntz")
+    return e.where(F.col("ts") < at), e.where(F.coalesce(F.col("ts") >= at, F.lit(True)))
+
+
+BEFORE, SINCE = f"(SELECT * FROM events WHERE ts < TIMESTAMP '{SPLIT}')", f"(SELECT * FROM events WHERE coalesce(ts >= TIMESTAMP '{SPLIT}', true))"
+
+
 @add("s1_pending_scan", "SELECT event_id, user_id, event_type, ts FROM events WHERE nullif(event_type, 'error') IS NULL AND user_id > 0 AND value > 0 AND props IS NOT NULL ORDER BY ts, event_id LIMIT 500")
 def s1(spark, d):
     e = table(spark, d, "events")
@@ -120,8 +132,8 @@ def p9(spark, d):
 
 @add("j1_actions_with_contacts", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
 def j1(spark, d):
-    contacts = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    return table(spark, d, "orders").join(contacts, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+    contacts = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return read.left_one(table(spark, d, "orders"), contacts, {"o_custkey": "c_custkey"}, c_mktsegment="BUILDING").select("o_orderkey", "c_name")
 
 
 @add("j6_identity_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '2-HIGH')")
@@ -234,6 +246,19 @@ def a16(spark, d):
     return rollup.corpus(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
+@add("a17_misses", f"SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM {SINCE} WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM {BEFORE})) WHERE r <= 5")
+def a17_misses(spark, d):
+    before, since = (e.select("event_id", "user_id", "event_type") for e in sides(spark, d))
+    return rollup.misses(since, before, ["user_id", "event_type"], "event_type", [F.col("event_id")], 5).select("event_type", "event_id")
+
+
+@add("a17_name_differences", "SELECT c_custkey, c_name AS name, o_clerk AS other FROM customer JOIN (SELECT o_custkey, min(o_orderpriority) AS o_clerk FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_name IS DISTINCT FROM o_clerk")
+def a17_differences(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("name"))
+    return rollup.differences(c, o, ["c_custkey"], "name")
+
+
 @add("a18_evidence_counts", "SELECT o_custkey, l_returnflag, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def a18(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -286,7 +311,7 @@ def w7(spark, d):
 @add("w8_first_matching_message", "SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role FROM conversations WHERE contains(lower(text), ' de ') GROUP BY conv_id")
 def w8(spark, d):
     hits = table(spark, d, "conversations").where(F.contains(F.lower("text"), F.lit(" de ")))
-    return hits.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by("role", "turn").alias("role"))
+    return windows.first_of(hits, ["conv_id"], [F.col("turn")]).select("conv_id", "turn", "role")
 
 
 @add("l1_sorted_page", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS kind FROM customer ORDER BY kind DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 1150")
@@ -321,22 +346,7 @@ def l9(spark, d):
 
 @add("l11_context_section", "SELECT user_id, event_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
 def l11(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, d, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("user_id", "event_id", "rank")
-
-
-# the two sides of these cover the table: what was there before SPLIT, and what came since
-SPLIT = "2024-01-02 00:00:00"
-
-
-def sides(spark, d):
-    e, at = table(spark, d, "events"), F.lit(SPLIT).cast("timestamp_ntz")
-    return e.where(F.col("ts") < at), e.where(F.coalesce(F.col("ts") >= at, F.lit(True)))
-
-
-BEFORE, SINCE = f"(SELECT * FROM events WHERE ts < TIMESTAMP '{SPLIT}')", f"(SELECT * FROM events WHERE coalesce(ts >= TIMESTAMP '{SPLIT}', true))"
+    return windows.ranked(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id", "rank")
 
 
 @add("u1_union_distinct", f"SELECT user_id, event_type FROM {BEFORE} UNION SELECT user_id, event_type FROM {SINCE}")
