@@ -1,9 +1,10 @@
 """N-gram Jaccard join by T-occurrence search over word shingles.
 
-Method. Sets of shingle hashes are made in numpy, a chunk of documents at a time, and named by a
-64-bit digest, so equal sets are one set from the start. Spark deals (shingle, set) entries by hash range into
-buckets, whose tasks count each shingle's sets; only shingles of two or more sets go
-back. A set of n shingles with fewer than ceil(t*n) such shingles can reach no overlap and is
+Method. Scan tasks cut the documents into slices, which are exchanged compressed. A slice's sets of shingle hashes are made in numpy
+and named by a 64-bit digest, so equal sets are one set from the start. A slice sends its distinct shingles, with the number of its sets that
+hold them, to buckets by hash range; these sum the numbers and send them back in the order in which they came, so neither way
+names a set, and bytes follow the distinct shingles at any number of buckets. The names of sets go the same way, and
+the first slice of each keeps it. A set of n shingles of which fewer than ceil(t*n) are held twice can reach no overlap and is
 finished. For the rest, the n - ceil(t*n) + 1 rarest shingles are its short lists: two linked
 sets share one of them. The set with most shared shingles in a list is its centre, and all sets of a centre's
 lists are its cluster, so two linked sets are in one cluster. First each centre is searched in
@@ -14,14 +15,14 @@ A search is T-occurrence by DivideSkip over a block of a cluster, which is index
 lists are heap-merged, its long ones probed by binary search for the candidates that the short ones
 leave, and a set stays with an overlap of T = ceil(t * (n_x + n_y) / (1 + t)).
 
-A shingle that HOT sets of one chunk hold is sent once for the chunk and ordered last among
-all, so no list grows with the corpus by more than HOT entries a chunk. Clusters are dealt in blocks of
-fixed size, so a large group of near copies is searched by many tasks.
+A frequent shingle is one entry of each slice that has it, and comes last in the order of rarity. Large clusters are cut by set size and dealt in
+blocks of fixed size, so a large group of near copies is searched by many tasks.
 
 Defined results: texts that are null, empty or without words have an empty set and link to
 nothing; rows with a null doc_id get their n_shingles, no links and a null component; rows that
 repeat a doc_id with one text count as one document (with several texts, each row gets the component
-of its own set, named by its smallest doc_id); an empty table gives no rows.
+of its own set, named by its smallest doc_id); an empty table gives no rows. The rows must come from a source that gives each
+partition the same rows in the same order when it is read again (a table), as a lost slice is cut anew.
 """
 
 from __future__ import annotations
@@ -32,27 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import BASE, WordHash, bucket_bits, chunks, corpus_size, mix, pack_planes, rolling, shared_checkpoint, table, text_bytes, unpack_planes
+from tesselar.llm.common import BASE, CHUNK_BYTES, WordHash, bucket_bits, corpus_size, counted, distinct, fresh, mix, pack_planes, packed_tables, parts_for, rolling, shared_checkpoint, table, text_bytes, unpack_planes, unpacked_table
 from tesselar.llm.components import connected_components
 
 SHINGLE = 5
-#: Documents of one chunk that make a shingle count as frequent everywhere.
-HOT = 64
-#: The order of frequent shingles: after all counted ones.
-OFTEN = 2**31 - 1
 #: Sets that one search holds in its index.
 BLOCK = 1024
-#: Entries of a bucket.
-BUCKET = 4_000_000
-ENTRY = "bucket int, n int, names binary, entries binary, set_id long, shared int, blob binary"
-FOUND = "set_id long, shared int, blob binary"
+#: Width of the classes of set sizes (as a logarithm) that a cluster of more sets is cut into.
+SIZE_CLASS = 0.06
 
 
-def needed(n: int, percent: int) -> int:
-    """Least overlap that a document of n shingles needs with any partner."""
+def needed(n, percent: int):
+    """Least overlap that a set of n shingles needs with any partner."""
     return -(-percent * n // 100)
 
 
@@ -92,123 +87,113 @@ def shingle_sets(texts: list[bytes], word_hash: WordHash, k: int) -> tuple[np.nd
     return h, d, size, digest
 
 
-def _sizes(k: int):
+def _cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal buckets."""
+    cut = np.flatnonzero(np.append(True, sorted_buckets[1:] != sorted_buckets[:-1])) if len(sorted_buckets) else np.empty(0, np.int64)
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_buckets)]))
+
+
+class Chunk:
+    """The sets of one slice: (hash, place) of distinct shingles sorted by hash, and each set's name, size and number of documents with an id."""
+
+    def __init__(self, rows: pa.Table, word_hash: WordHash, k: int):
+        h, d, size, digest = shingle_sets(text_bytes(rows["text"].combine_chunks()), word_hash, k)
+        known = np.asarray(rows["doc_id"].combine_chunks().is_valid())
+        self.doc_sizes, self.doc_sets = size, digest
+        # one document with an id for each set
+        named = np.flatnonzero(known & (size > 0))
+        self.names, first = np.unique(digest[named], return_index=True)
+        self.sizes = size[named[first]]
+        stands = np.zeros(len(size), bool)
+        stands[named[first]] = True
+        keep = stands[d]
+        self.h, self.place = h[keep], np.searchsorted(self.names, digest)[d[keep]]
+        self.first = np.append(True, self.h[1:] != self.h[:-1])[: len(self.h)]
+
+    def asked(self, bits: int) -> list[tuple[int, int, bytes, bytes]]:
+        """(bucket, n, hashes, counts): the shingles with the number of sets that hold them, and in buckets of their own the names of the sets."""
+        starts = np.flatnonzero(self.first)
+        h, c = self.h[starts], np.diff(np.append(starts, len(self.h))).astype(np.uint16)
+        out = []
+        for base, keys, counts in ((0, h, c), (1 << bits, self.names, np.zeros(len(self.names), np.uint16))):
+            bucket = keys >> np.uint64(64 - bits)
+            out += [(base + int(bucket[a]), b - a, pack_planes(keys[a:b]), pack_planes(counts[a:b])) for a, b in _cuts(bucket)]
+        return out
+
+
+def _asked(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = WordHash()
-        for part in chunks(batches):
-            _, _, size, digest = shingle_sets(text_bytes(part["text"].combine_chunks()), word_hash, k)
-            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(digest.view(np.int64))], ["doc_id", "n", "set_id"])
+        for batch in batches:
+            for number, blob in zip(batch.column("slice").to_pylist(), batch.column("rows")):
+                bucket, n, hashes, counts = zip(*Chunk(unpacked_table(blob), word_hash, k).asked(bits) or [(-1, 0, b"", b"")])
+                columns = [pa.array(bucket, pa.int64()), pa.array([number] * len(bucket), pa.int64()), pa.array(n, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "slice", "n", "hashes", "counts"])
 
     return run
 
 
-def _blobs(names: np.ndarray, h: np.ndarray, freq: np.ndarray) -> pa.Table:
-    """Shared shingles as a row for each set, with their counts, packed."""
-    order = np.argsort(names, kind="stable")
-    names, h, freq = names[order], h[order], freq[order].astype(np.int32)
-    cut = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
-    ends = np.append(cut[1:], len(names))
-    blobs = [pack_planes(h[a:b], freq[a:b]) for a, b in zip(cut, ends)]
-    return pa.table({"set_id": pa.array(names[cut], pa.int64()), "shared": pa.array((ends - cut).astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
-
-
-def _entries(k: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("entries", pa.binary()), ("set_id", pa.int64()), ("shared", pa.int32()), ("blob", pa.binary())])
-        word_hash = WordHash()
-        for part in chunks(batches):
-            h, d, size, digest = shingle_sets(text_bytes(part["text"].combine_chunks()), word_hash, k)
-            # one document of the chunk for each set
-            names, first = np.unique(digest, return_index=True)
-            stands = np.zeros(len(size), bool)
-            stands[first] = True
-            place = np.searchsorted(names, digest)
-            keep = stands[d]
-            h, d = h[keep], place[d[keep]]
-            if not len(h):
-                continue
-            names = names.view(np.int64)
-            first = np.append(True, h[1:] != h[:-1])
-            counts = np.diff(np.append(np.flatnonzero(first), len(h)))
-            hot = (counts >= HOT)[np.cumsum(first) - 1]
-            if hot.any():
-                often = _blobs(names[d[hot]], h[hot], np.full(int(hot.sum()), OFTEN))
-                n = often.num_rows
-                target = pa.array(-1 - (often["set_id"].to_numpy() & ((16 << bits) - 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([target, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(often[c].combine_chunks() for c in ("set_id", "shared", "blob"))], schema=schema)
-                # one entry for the chunk, of no set
-                once = ~hot | first
-                d, h = np.where(hot, len(names), d)[once], h[once]
-            d = d.astype(np.uint16)
-            cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            rows = [x for x in range(1 << bits) if cuts[x + 1] > cuts[x]]
-            n, packed = len(rows), names.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int32()), pa.array([cuts[x + 1] - cuts[x] for x in rows], pa.int32()), pa.array([packed] * n, pa.binary()), pa.array([pack_planes(h[cuts[x] : cuts[x + 1]], d[cuts[x] : cuts[x + 1]]) for x in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                schema=schema,
-            )
+def _counted(bits: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """One bucket: for each slice, in the order of its hashes, the number of sets that hold a shingle; of a set's name whether the slice is the first with it."""
+        bucket, sizes = rows["bucket"][0].as_py(), rows["n"].to_pylist()
+        if bucket < 0:
+            return pa.table({"slice": rows["slice"], "bucket": rows["bucket"], "n": rows["n"], "told": rows["counts"]})
+        keys = [unpack_planes(x.as_py(), n, np.uint64)[0] for n, x in zip(sizes, rows["hashes"])]
+        u = distinct(np.concatenate(keys))
+        places = [np.searchsorted(u, x).astype(np.int32) for x in keys]
+        del keys
+        if bucket >> bits:
+            slices = np.array(rows["slice"].to_pylist(), np.int64)
+            owner = np.full(len(u), np.iinfo(np.int64).max)
+            for number, place in zip(slices, places):
+                owner[place] = np.minimum(owner[place], number)
+            told = [(owner[place] == number).astype(np.uint32) for number, place in zip(slices, places)]
+        else:
+            total = np.zeros(len(u), np.int64)
+            for n, place, x in zip(sizes, places, rows["counts"]):
+                total[place] += unpack_planes(x.as_py(), n, np.uint16)[0]
+            total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+            told = [total[place] for place in places]
+        return pa.table({"slice": rows["slice"], "bucket": rows["bucket"], "n": rows["n"], "told": pa.array([pack_planes(x) for x in told], pa.binary())})
 
     return run
 
 
-def _frequencies(rows: pa.Table) -> pa.Table:
-    """One bucket: for each set its shingles that two or more sets hold, with their counts."""
-    rows = rows.combine_chunks()
-    if rows.num_rows and rows["set_id"][0].is_valid:
-        return rows.select(["set_id", "shared", "blob"])
-    hs, ds, real = [], [], []
-    for n, names, entries in zip(rows["n"].to_pylist(), rows["names"], rows["entries"]):
-        names = np.frombuffer(names.as_py(), np.int64)
-        h, d = unpack_planes(entries.as_py(), n, np.uint64, np.uint16)
-        hs.append(h)
-        ds.append(np.append(names, 0)[d])
-        real.append(d < len(names))
-    h, d, real = np.concatenate(hs), np.concatenate(ds), np.concatenate(real)
-    del hs, ds
-    order = np.argsort(h)
-    h, d, real = h[order], d[order], real[order]
-    first = np.append(True, h[1:] != h[:-1])
-    starts = np.flatnonzero(first)
-    # shingles of one entry are done; of the others equal sets of different chunks count once
-    single = np.diff(np.append(starts, len(h))) == 1
-    left = ~(single[np.cumsum(first) - 1] & real)
-    h, d, real = h[left], d[left], real[left]
-    order = np.lexsort((d, h))
-    h, d, real = h[order], d[order], real[order]
-    if len(h):
-        keep = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (real[1:] != real[:-1]))
-        h, d, real = h[keep], d[keep], real[keep]
-        first = np.append(True, h[1:] != h[:-1])
-        starts = np.flatnonzero(first)
-        freq = np.diff(np.append(starts, len(h)))
-        freq[~np.logical_and.reduceat(real, starts)] = OFTEN
-        freq = freq[np.cumsum(first) - 1]
-        keep = (freq > 1) & real
-        h, d, freq = h[keep], d[keep], freq[keep]
-    else:
-        freq = np.empty(0, np.int64)
-    return _blobs(d, h, freq)
-
-
-def _prefixes(percent: int):
-    """Of sets with their size and shared shingles: these in order of frequency, and how many of them are short lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, keys = [], []
-            for n, shared, blobs in zip(*(batch.column(c).to_pylist() for c in ("n", "counts", "blobs"))):
-                pairs = [unpack_planes(b, m, np.uint64, np.int32) for m, b in zip(shared, blobs)]
-                h, f = (np.concatenate(x) for x in zip(*pairs))
-                # a shingle frequent in one chunk comes from every chunk that holds the set: once, as frequent
-                order = np.lexsort((-f, h))
-                h, f = h[order], f[order]
-                once = np.append(True, h[1:] != h[:-1])
-                h, f = h[once], f[once]
-                short = max(0, n - needed(n, percent) + 1 - (n - len(h)))
-                h = h[np.lexsort((h, f))].view(np.int64)
-                keys.append(h[:short])
-                sets.append(np.sort(h).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("n"), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["set_id", "n", "members", "keys"])
+SET = pa.schema([("set_id", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("members", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+
+def _prefixes(k: int, percent: int, bits: int):
+    def run(blob: pa.Table, told: pa.Table) -> pa.Table:
+        """One slice: each document's set and size; and of each set that the slice has first, if enough of its shingles are shared, these, sorted
+        (``members``), and as ``keys`` the rarest of them that are its short lists."""
+        rows = unpacked_table(blob["rows"][0])
+        chunk = Chunk(rows, WordHash(), k)
+        n = rows.num_rows
+        columns = [pa.array(chunk.doc_sets.view(np.int64)), pa.array(chunk.doc_sizes, pa.int64()), rows["doc_id"], pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))]
+        out = [pa.table(columns, schema=SET)]
+        told = told.sort_by("bucket")
+        answers = [unpack_planes(x.as_py(), m, np.uint32)[0] for b, m, x in zip(told["bucket"].to_pylist(), told["n"].to_pylist(), told["told"]) if b >= 0]
+        if answers:
+            answers = np.concatenate(answers)
+            once = int(chunk.first.sum())
+            freq, mine = answers[:once][np.cumsum(chunk.first) - 1], answers[once:] == 1
+            keep = (freq > 1) & mine[chunk.place]
+            s, h, f = chunk.place[keep], chunk.h[keep].view(np.int64), freq[keep]
+            shared = np.bincount(s, minlength=len(chunk.names))
+            short = shared - needed(chunk.sizes, percent) + 1
+            able = np.flatnonzero((short > 0) & (shared > 0))
+            keep = np.isin(s, able)
+            s, h, f = s[keep], h[keep], f[keep]
+            starts = np.concatenate([[0], np.cumsum(shared[able])])
+            order = np.lexsort((h, f, s))
+            rank = np.arange(len(s)) - np.repeat(starts[:-1], shared[able])
+            keys = h[order][rank < np.repeat(short[able], shared[able])]
+            order = np.lexsort((h, s))
+            held = pa.Array.from_buffers(pa.binary(), len(able), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[order]))])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(short[able])]), pa.int32()), pa.array(keys))
+            out.append(pa.table([pa.array(chunk.names[able].view(np.int64)), pa.array(chunk.sizes[able], pa.int64()), pa.nulls(len(able), pa.int64()), held, lists], schema=SET))
+        return pa.concat_tables(out)
 
     return run
 
@@ -305,40 +290,58 @@ def _searched(percent: int):
     return run
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / SIZE_CLASS).cast("int")
+
+
 def _links(clusters: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of queries (centre, set_id, part) with other sets of their clusters (centre, set_id, part)."""
-    size = clusters.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = clusters.join(size, "centre").select("centre", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "set_id", "part")
-    asked = queries.join(size, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "set_id", "part")
-    rows = held.unionByName(asked).join(sets.select("set_id", "n", "members"), "set_id")
+    """Links of queries (centre, set_id, n, shared, part) with other sets of their clusters, which have the same columns.
+
+    A cluster of more than BLOCK sets is cut into classes of like size and these into blocks; a query goes to the blocks whose
+    sizes it can link with: from t * n to n / t, and, as no overlap exceeds its shared shingles, to shared * (1 + t) / t - n.
+    """
+    clusters = clusters.withColumn("class", _size_class(F.col("n")))
+    counts = clusters.groupBy("centre", "class").agg(F.count(F.lit(1)).alias("c"))
+    large, _ = counted(counts.groupBy("centre").agg(F.sum("c").alias("all")).where(F.col("all") > BLOCK).select("centre", F.lit(True).alias("large")))
+    per, _ = counted(counts.join(large, "centre").select("centre", "class", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    low, high = F.ceil(F.col("n") * percent / 100), F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n"))
+    classes = F.when(F.col("large") & (high >= low), F.sequence(_size_class(low), _size_class(high))).when(F.col("large").isNull(), F.array(F.lit(-1)))
+    asked = queries.join(large, "centre", "left").select("centre", "set_id", "part", F.explode(classes).alias("class")).join(per, ["centre", "class"], "left")
+    asked = asked.where("class = -1 OR blocks IS NOT NULL").withColumn("number", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    held = clusters.join(per, ["centre", "class"], "left").withColumn("class", F.when(F.col("blocks").isNull(), -1).otherwise(F.col("class")))
+    held = held.withColumn("number", F.pmod(F.xxhash64("set_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    block = F.shiftleft(F.col("class").cast("long"), 32).bitwiseOR(F.col("number").cast("long")).alias("block")
+    rows = held.select("centre", block, F.lit(False).alias("query"), "set_id", "part").unionByName(asked.select("centre", block, F.lit(True).alias("query"), "set_id", "part"))
+    rows = rows.join(sets.select("set_id", "n", "members"), "set_id")
     together = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", "query")
     return together.select("centre", "block", "query", "set_id", "n", "part", "members").mapInArrow(_searched(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = 80, bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
-    if bits is None:
-        bits = bucket_bits(corpus_size(docs)[1] // 6, BUCKET, 5)
+    nbytes = corpus_size(docs)[1]
+    bits = bits or bucket_bits(nbytes // 6, docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = shared_checkpoint(docs.mapInArrow(_sizes(k), "doc_id long, n long, set_id long"))
-    reps = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(_entries(k, bits), ENTRY)
-    found = entries.groupBy("bucket").applyInArrow(_frequencies, FOUND)
-    shared = found.groupBy("set_id").agg(F.collect_set(F.struct("shared", "blob")).alias("held"))
-    shared = shared.select("set_id", F.col("held.shared").alias("counts"), F.col("held.blob").alias("blobs"), F.aggregate("held", F.lit(0), lambda a, x: a + x["shared"]).alias("all"))
-    able = shared.join(reps, "set_id").where(F.col("all") * 100 >= F.col("n") * percent)
-    sets = shared_checkpoint(able.select("set_id", "n", "counts", "blobs").mapInArrow(_prefixes(percent), "set_id long, n long, members binary, keys array<long>"))
-
-    lists_of = sets.select("set_id", (F.length("members") / F.col("n")).alias("weight"), F.explode("keys").alias("key"))
+    # both uses of the slices are by one exchange
+    slices = docs.mapInArrow(packed_tables(CHUNK_BYTES), "slice long, rows binary").repartition(parts_for(nbytes, 2 * CHUNK_BYTES, 12), "slice")
+    asked = slices.mapInArrow(_asked(k, bits), "bucket long, slice long, n int, hashes binary, counts binary")
+    told = asked.groupBy("bucket").applyInArrow(_counted(bits), "slice long, bucket long, n int, told binary")
+    both = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_prefixes(k, percent, bits), "set_id long, n long, doc_id long, members binary, keys array<long>")
+    both = shared_checkpoint(both)
+    sizes, sets = both.where("members IS NULL").select("doc_id", "n", "set_id"), both.where("members IS NOT NULL")
+    reps = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+
+    shared = (F.length("members") / 8).cast("long")
+    lists_of = sets.select("set_id", "n", shared.alias("shared"), (shared / F.col("n")).alias("weight"), F.explode("keys").alias("key"))
     centres = lists_of.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("weight", "set_id")).alias("top")).where("held > 1").select("key", F.col("top.set_id").alias("centre"))
-    clusters = shared_checkpoint(lists_of.join(centres, "key").select("centre", "set_id").distinct())
-    alone = clusters.select("centre", "set_id", F.col("set_id").alias("part"))
+    clusters = shared_checkpoint(lists_of.join(centres, "key").select("centre", "set_id", "n", "shared").distinct())
+    alone = clusters.withColumn("part", F.col("set_id"))
     first = shared_checkpoint(_links(alone, alone.where("set_id = centre"), sets, percent))
     groups = connected_components(first)
 
-    placed = clusters.join(groups, clusters.set_id == groups.node, "left").select("centre", "set_id", F.coalesce("component", "set_id").alias("part"))
-    counted = placed.groupBy("centre", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("centre").agg(F.max(F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("centre", F.col("top.part").alias("largest"))
-    mixed = placed.join(counted, "centre")
+    placed = clusters.join(groups, clusters.set_id == groups.node, "left").select("centre", "set_id", "n", "shared", F.coalesce("component", "set_id").alias("part"))
+    parted = placed.groupBy("centre", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("centre").agg(F.max(F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("centre", F.col("top.part").alias("largest"))
+    mixed = placed.join(counted(parted)[0], "centre")
     second = shared_checkpoint(_links(mixed.drop("largest"), mixed.where("part <> largest").drop("largest"), sets, percent))
     linked = connected_components(first.unionByName(second))
     named = linked.join(reps, linked.node == reps.set_id).select("node", "component", "rep")
@@ -353,9 +356,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` but for those linked to a smaller doc_id; rows without a doc_id stay."""
-    kept = jaccard_components(docs, percent=percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """Rows of ``docs`` but for those linked to a smaller doc_id. Of rows that repeat a kept doc_id and its text one stays;
+    rows without a doc_id, which nothing names, all stay."""
+    name, = fresh(docs.columns, "kept")
+    of = jaccard_components(docs, percent=percent).where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("rows"))
+    of = shared_checkpoint(of)
+    here = F.col("doc_id").cast("long") == F.col(name)
+    once = docs.join(of.where("rows = 1").select(name), here, "left_semi")
+    # usually none, so their texts cost no exchange of all texts
+    again = docs.join(of.where("rows > 1").select(name), here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
 
 
 #: All sets and their overlaps; then the smallest document that links reach.
