@@ -58,7 +58,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("pag
     shape = rules.agg(F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count(F.lit(1)).alias("n")).first()
     host, path = url_parts(F.col("url"))
     urls = pages.select(*keys, host.alias("host"), path.alias("path"))
-    row, suffix, prefix, digest, short = fresh([*keys, "host", "path", "rule", "verdict", "best", "short", "r_host", "r_path", "r_verdict", "r_digest"], "row", "suffix", "prefix", "digest", "short_of")
+    row, suffix, prefix, digest, short, r_short, r_digest, r_host, r_verdict, best = fresh([*keys, "host", "path", "rule", "verdict", "r_path"], "row", "suffix", "prefix", "digest", "short_of", "short", "r_digest", "r_host", "r_verdict", "best")
+    rules = rules.select("rule", F.col("short").alias(r_short), F.col("r_digest").alias(r_digest), F.col("r_host").alias(r_host), F.col("r_verdict").alias(r_verdict))
     urls = urls.withColumn(row, F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     count = F.size(labels)
@@ -67,11 +68,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("pag
     made = urls.withColumn(suffix, F.explode(suffixes)).withColumn(prefix, F.explode(prefixes))
     made = made.withColumn(digest, F.sha2(F.concat(suffix, prefix), 256)).drop(suffix, prefix).withColumn(short, F.substring(digest, 1, SHORT))
     side = F.broadcast(rules) if shape["n"] <= BROADCAST_RULES else rules
-    met = made.join(side, F.col(short) == F.col("short"), "left")
-    best = F.max(F.when(F.col(digest) == F.col("r_digest"), F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), "rule", "r_verdict"))).alias("best")
+    met = made.join(side, F.col(short) == F.col(r_short), "left")
+    found = F.when(F.col(digest) == F.col(r_digest), F.struct(F.length("rule").alias("n"), F.length(r_host).alias("h"), "rule", F.col(r_verdict).alias("verdict")))
     # grouped by the row and what it holds: no join back
-    judged = met.groupBy(row, *keys, "host", "path").agg(best)
-    return judged.select(*keys, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    judged = met.groupBy(row, *keys, "host", "path").agg(F.max(found).alias(best))
+    return judged.select(*keys, "host", "path", F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
