@@ -63,22 +63,23 @@ def test_suffix_tree_base_is_exact_and_score_is_better(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def packed_contexts(names):
+    return np.sort(np.array([int.from_bytes(x[::-1], "big") for x in names], np.uint64))
+
+
+def filled_heads(train, split, least, gain, depth=suffix_tree.DEPTH):
+    heads = suffix_tree.Heads(depth, split, least, gain)
+    known = suffix_tree.grams(*suffix_tree.symbols(train, depth), depth)[0]
+    return heads.fill({d: np.unique(g, return_counts=True) for d, g in heads.counted(known)}), known
+
+
 def test_suffix_tree_sums_to_one():
-    text = b"abracadabra " * 50
-    stream, starts, ends = suffix_tree.symbols([text], 3)
-    rows = collections.Counter()
-    for p in range(starts[0], ends[0]):
-        for d in range(4):
-            ctx = int.from_bytes(bytes(stream[p - d : p]), "big")
-            rows[d, ctx, int(stream[p])] += 1
-    keys = np.array(list(rows))
-    tree = suffix_tree.SuffixTree.fit({"depth": keys[:, 0], "context": keys[:, 1], "next": keys[:, 2], "c": np.array(list(rows.values()))}, 3)
-    p = 10.0 ** tree.logp.astype(float)
-    unseen = 256 - (tree.logp.shape[1] - 1)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * unseen, 1, atol=1e-4)
-    # lanes give what one walk gives
-    a, b = (tree.score_words([text, b"", b"bra cad"], lanes)[0] for lanes in (1, 64))
-    assert np.allclose(a, b, atol=1e-4)
+    depth = suffix_tree.DEPTH
+    heads, known = filled_heads([b"abracadabra " * 50], {}, 2, 3.0)
+    contexts = np.unique(np.append(known >> np.uint64(8), np.array([0, 5], np.uint64)))
+    g = np.unique(np.concatenate([known, (contexts[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()]))
+    p = 10.0 ** heads.scores(g, np.array([(known == x).sum() for x in g])).astype(float)
+    assert np.allclose(p.reshape(-1, 256).sum(1), 1, atol=1e-5) and depth == 6
 
 
 def test_suffix_tree_edges(docs, none):
@@ -117,20 +118,44 @@ def brute_tree_scores(train, text, depth, least, gain):
     return out
 
 
-def test_suffix_tree_buckets_equal_brute_force():
+@pytest.mark.parametrize("split", [{}, {3: [b"the", b" th"], 4: [b" the"], 5: [b"d the"]}])
+def test_suffix_tree_buckets_equal_brute_force(split):
     train, text = [b"the cat sat on the mat", b"The bat sat", b"", b"a cat and the hat and the cat"], b"the cat and zebra hat sat"
     depth, least, gain = suffix_tree.DEPTH, 2, 3.0
-    known = suffix_tree.grams(*suffix_tree.symbols(train, depth), depth)[0]
+    heads, known = filled_heads(train, {d: packed_contexts(x) for d, x in split.items()}, least, gain)
     mine = suffix_tree.grams(*suffix_tree.symbols([text], depth), depth)[0]
     g = np.unique(np.concatenate([known, mine]))
-    counts = np.array([(known == x).sum() for x in g])
-    short, n = np.unique(known & np.uint64((1 << 8 * suffix_tree.HEAD) - 1), return_counts=True)
-    logp = suffix_tree.gram_scores(suffix_tree.head_levels(short, n, least, gain), g, counts, depth, least, gain)
+    logp = heads.scores(g, np.array([(known == x).sum() for x in g]))
     want = brute_tree_scores(train, text, depth, least, gain)
-    assert np.allclose(logp[np.searchsorted(g, mine)], want, atol=1e-5)
+    assert np.allclose(suffix_tree.GramTable(depth, g, logp).logp[suffix_tree.GramTable(depth, g, logp).places(mine)], want, atol=1e-5)
     assert len(set(np.round(want, 3))) > 10
 
 
+def test_suffix_tree_score_equals_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "The bat sat", "", "a cat and the hat and the cat", "the cat and zebra hat sat", None, "zebra zebra mat"])]
+    rows.append((4, rows[4][1]))
+    held, least, gain = {2, 4}, 2, 3.0
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_tree.score_documents(df, F.col("doc_id").isin(*held), least=least, gain=gain).collect()
+    texts = [(k, (t or "").encode().lower()) for k, t in rows]
+    train = [t for k, t in texts if k not in held]
+    c = collections.Counter(w for t in train for w in t.split())
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    unseen, end = (sum(x == 1 for x in c.values()) + 1) / (n + 2), (len(train) + 1) / (n + 2)
+    want = []
+    for k, t in texts:
+        each = brute_tree_scores(train, t, suffix_tree.DEPTH, least, gain)
+        score, at, words = math.log10(end), 0, t.split()
+        for i, w in enumerate(words):
+            tree = sum(each[at : at + len(w) + 1]) - math.log10(end if i + 1 == len(words) else 1 - end)
+            at += len(w) + 1
+            known = 0.5 * (1 - unseen) * ((c[w] + 1) / (n + v + 1) + 10**tree)
+            score += math.log10(1 - end) + math.log10(known if c[w] else unseen)
+        want.append((k, score))
+    assert [k for k, _ in sorted(want)] == sorted(r.doc_id for r in got)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(x for _, x in want), abs=1e-5)
+
+
 def test_suffix_tree_grows_with_text(spark):
     # a passage of nine documents counts among any number of others: no share of the corpus is asked for
     rng = np.random.default_rng(1)
@@ -155,6 +180,37 @@ def test_classifiers_held_out(spark, query, label, least):
     assert (got["predicted"] == got[label]).mean() > 0.9
 
 
+def test_factorization_machine_scores_by_its_formula(spark, texts):
+    fm = toxicity.fit_toxicity(*(spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels")))
+    got = {r.doc_id: r.score for r in toxicity.op2_toxicity_fm(spark, DATA).collect()}
+    place, terms = {int(t): i for i, t in enumerate(fm.terms)}, toxicity.Terms()
+    for k in sorted(texts)[::40]:
+        own = sorted({place[t] for w in texts[k].encode().split() for t in terms[w] if t in place})
+        y = fm.bias + sum(fm.weights[i] * fm.values[i] for i in own)
+        y += sum(float(fm.factors[i] @ fm.factors[j]) * fm.values[i] * fm.values[j] for a, i in enumerate(own) for j in own[a + 1 :])
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-min(50, max(-50, y)))), abs=1e-9)
+
+
+def test_quality_scores_by_its_formula(spark, texts):
+    import zstandard
+
+    model = quality.fit_quality(*(spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels")))
+    got = {r.doc_id: r.score for r in quality.op3_compression_quality(spark, DATA).collect()}
+    good, bad = (zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad))
+    for k in sorted(texts)[::40]:
+        t = texts[k].encode()
+        cut = [t[i : i + quality.BLOCK] for i in range(0, len(t), quality.BLOCK)]
+        e = sum(len(bad.compress(b)) - len(good.compress(b)) for b in cut) / max(1, len(t))
+        assert got[k] == pytest.approx(float(model.probability(np.array([e]))[0]), abs=1e-9)
+
+
+def test_quality_dictionary_is_bounded(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad noise there ") * 4_000) for i in range(1, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels, dictionary_blocks=50)
+    assert max(len(model.good), len(model.bad)) <= 50 * quality.BLOCK
+
+
 def test_classifiers_edges(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for fit, score in ((toxicity.fit_toxicity, toxicity.score_toxicity), (quality.fit_quality, quality.score_quality)):
@@ -241,8 +297,7 @@ def test_jaccard_chains_and_copies(spark):
     assert got == brute_components(rows)
 
 
-def test_jaccard_frequent_shingles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT", 3)
+def test_jaccard_frequent_shingles(spark):
     line = " ".join(f"common{i}" for i in range(20))
     rows = [(i, line + " " + " ".join(f"own{i // 2}_{j}" for j in range(30)) + (" end" if i % 2 else "")) for i in range(40)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -265,6 +320,9 @@ def test_jaccard_edges(docs, none):
     assert len(rows) == len(ROWS)
     assert got[1] == got[2] == got[3] == 1 and got[8] == 7 and got[4] == 4 and got[None] is None and got[9] == 9
     assert jaccard_join.jaccard_components(none).count() == 0
+    kept = [r.doc_id for r in jaccard_join.one_of_each_group(docs.where("doc_id <> 1 OR doc_id IS NULL")).collect()]
+    # the repeated row of 2 stays once
+    assert sorted(k for k in kept if k is not None) == [2, 4, 5, 6, 7, 9, 10, 11]
     kept = [r.doc_id for r in jaccard_join.one_of_each_group(docs).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 4, 5, 6, 7, 9, 10, 11] and None in kept
 
@@ -293,6 +351,11 @@ def test_simhash_by_hand(spark, texts):
         assert rows[k].n_chars == len(t) and rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         if i % 50 == 0:
             assert (rows[k].fingerprint, rows[k].edited_fingerprint) == (fingerprint(t), fingerprint(edited))
+        bits = [int(x, 16) for x in (rows[k].fingerprint, rows[k].edited_fingerprint, rows[ids[(i + 1) % len(ids)]].fingerprint)]
+        assert rows[k].near_edited == 1 - bin(bits[0] ^ bits[1]).count("1") / 64 and rows[k].near_next == 1 - bin(bits[0] ^ bits[2]).count("1") / 64
+    prints = {int(r.fingerprint, 16) for r in rows.values()}
+    for k, r in rows.items():
+        assert r.near_count == (None if k % 50 else sum(bin(int(r.fingerprint, 16) ^ x).count("1") <= 3 for x in prints))
     assert np.mean([r.near_edited for r in rows.values()]) > np.mean([r.near_next for r in rows.values()]) + 0.1
 
 
@@ -319,7 +382,9 @@ def test_near_fingerprints_are_all_found(spark):
         for flips in range(1, 6):
             values.add(b ^ sum(1 << int(i) for i in rng.choice(64, flips, replace=False)))
     df = spark.createDataFrame([("%016x" % v,) for v in values], "fingerprint string")
-    got = {(r.query, r.fingerprint) for r in simhash.near_fingerprints(df, df, 3).collect()}
+    pairs = [(r.query, r.fingerprint) for r in simhash.near_fingerprints(df, df, 3).collect()]
+    got = set(pairs)
+    assert len(got) == len(pairs)
     assert got == {("%016x" % a, "%016x" % b) for a in values for b in values if bin(a ^ b).count("1") <= 3}
 
 
@@ -330,7 +395,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_vocabulary())
-    whole.encode_special_tokens = True
     rows = packing.pack_documents(docs.where("doc_id IS NOT NULL AND doc_id <> 2"), keep_ids=True).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -371,6 +435,31 @@ def test_packing_plan_is_optimal_on_small_cases():
         assert sum(t for t, _ in plan) <= best(sorted(sizes, reverse=True), [])
 
 
+def test_fillings_are_undominated():
+    # around 50 of 100: [31, 19] fills; [31, 15] leaves a 19 that fits in place of the 15
+    counts = {31: 1, 19: 1, 15: 1, 4: 1}
+    found = packing.fillings([31, 19, 15, 4], counts, 50, 50, width=10)
+    assert found == [(0, [31, 15, 4]), (0, [31, 19])] or found == [(0, [31, 19]), (0, [31, 15, 4])]
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes = sorted(rng.integers(1, 40, 8).tolist(), reverse=True)
+        counts = collections.Counter(sizes)
+        room = int(rng.integers(20, 80))
+        for waste, used in packing.fillings(sorted(counts, reverse=True), counts, room, room, width=20):
+            left = counts - collections.Counter(used)
+            assert waste == room - sum(used) and not any(z <= waste for z in left)
+            assert not any(y < z <= y + waste for y in used for z in left)
+
+
+def test_packing_of_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    text = "<|endoftext|>hi <|endoftext|>" + "x" * 5_000
+    (row, *rest) = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_ids=True).collect()
+    ids = [i for r in sorted([row, *rest], key=lambda r: r.piece) for i in r.ids]
+    assert ids == Tokenizer.from_file(packing.default_vocabulary()).encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_packing_edges(docs, none):
     assert len({(r.sequence_id, r.offset) for r in packing.pack_documents(docs).collect()}) == packing.pack_documents(docs).count()
     assert packing.pack_documents(none).count() == 0
@@ -382,7 +471,11 @@ def test_packing_edges(docs, none):
 def test_url_edges(spark):
     urls = ["http://a.COM/en/x?y", "HTTP://com/en/", None, "", "no scheme", "x://", "x://example.com/en/7", "x://example.com/en/77#z", "x://b.example.com/en/6", "x://notexample.com/en/7", "x://" + "a." * 300 + "com/en/", "x://net?/de/"]
     df = spark.createDataFrame([(i, u, "q") for i, u in enumerate(urls + [urls[0]])], "page_id int, url string, rule string")
-    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    # columns that clash with those the operator makes play no part
+    df = df.withColumns({c: F.lit("q") for c in ("host", "path", "verdict", "best", "short", "row")})
+    rules = url_filter.rule_table(spark)
+    assert rules.count() == len(url_filter.RULES)
+    assert {r.short for r in url_filter.judge_urls(df, rules, ("page_id", "short", "row")).collect()} == {"q"}
     got = {r.page_id: r for r in url_filter.judge_urls(df, rules).collect()}
     assert len(got) == len(urls) + 1
     assert [got[i].rule for i in range(13)] == ["com/en/", "com/en/", None, None, None, None, "example.com/en/7", "example.com/en/7", "com/en/", "com/en/", "com/en/", None, "com/en/"]
@@ -404,6 +497,14 @@ def test_substring_edges(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_rows_without_doc_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    df = spark.createDataFrame([(5, a), (None, a + " own"), (None, a + " " + b), (None, b), (None, b)], "doc_id long, text string").repartition(3)
+    got = sorted((r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df.withColumns({"key": F.lit(1), "tag": F.lit(2)})).collect())
+    # they are later than 5 but not than each other
+    assert got == [(30, 0), (30, 0), (30, 0), (31, 30), (60, 30)]
+
+
 # ---- Poisson mix
 
 
@@ -414,6 +515,14 @@ def test_poisson_counts_follow_the_distribution(spark):
     assert counts["small"] == pytest.approx(15_000, rel=0.05) and counts["large"] == pytest.approx(5_000, rel=0.06)
 
 
+def test_poisson_high_rates(spark):
+    # one source of one document at a rate of 30 000: parts of a rate, copies numbered in blocks
+    df = spark.range(1, 4).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") == 1, "one").otherwise("rest").alias("source"), F.lit(1).alias("at"), F.lit(1).alias("source_of_rate"))
+    got = poisson_mix.poisson_mix(df, {"one": 1, "rest": 0}, total=30_000)
+    (row,) = got.groupBy("doc_id", "copies").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m"), F.max("at").alias("at")).collect()
+    assert row.copies == row.n == row.d == row.m and abs(row.n - 30_000) < 900 and row.at == 1
+
+
 def test_poisson_edges(docs, none):
     rows = poisson_mix.poisson_mix(docs, total=4 * len(ROWS)).collect()
     counts = collections.Counter((r.doc_id, r.copy) for r in rows)
@@ -422,6 +531,70 @@ def test_poisson_edges(docs, none):
     assert poisson_mix.poisson_mix(docs, {"zzz": 1.0}).count() == 0
 
 
+# ---- bytes and long texts
+
+
+def chunk_table():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20_000)]
+    texts = [" ".join(words[i] for i in (rng.zipf(1.3, 150) % 20_000)) for _ in range(1_500)]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1_500), pa.int64()), "text": texts})
+
+
+def packed(batch):
+    import pyarrow as pa
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return pa.table({"slice": pa.array([1], pa.int64()), "rows": pa.array([zstandard.compress(sink.getvalue())], pa.binary())})
+
+
+@pytest.mark.parametrize("made", [lambda bits: jaccard_join._asked(5, bits)(iter(packed(chunk_table()).to_batches())), lambda bits: substring_dedup._entries(13, bits)(iter([chunk_table()]))])
+def test_bytes_follow_the_entries(made):
+    sizes = [sum(b.nbytes for b in made(bits)) for bits in (5, 14)]
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_bytes_of_suffix_tree_rows_follow_the_entries():
+    import pyarrow as pa
+
+    batch = chunk_table()
+    rows = batch.append_column("train", pa.array([True] * 1_500)).append_column("row_key", pa.array(range(1_500), pa.int64()))
+    blob = packed(rows)
+
+    class Sent:
+        value = suffix_tree.Heads(suffix_tree.DEPTH, {})
+
+    def size(bits):
+        (asked,) = suffix_tree._requests(Sent, bits)(iter(blob.to_batches()))
+        answers = pa.table({"bucket": asked.column("bucket"), "n": asked.column("n"), "logp": pa.array([suffix_tree.pack_planes(np.full(n, -1, np.float32)) for n in asked.column("n").to_pylist()], pa.binary())})
+        scored = suffix_tree._scored(Sent, np.empty(0, np.uint64), np.empty(0, np.int64), bits, 10, 1e6, 0.01, 0.01)(blob, answers)
+        return asked.nbytes, scored.nbytes
+
+    a, b = size(5), size(14)
+    assert b[0] < 4 * a[0] and b[1] < 3 * a[1]
+
+
+def test_texts_longer_than_a_chunk(spark):
+    long = " ".join(f"w{i % 70_001} z{i % 13}" for i in range(500_000))
+    assert len(long) > 1 << 22
+    df = spark.createDataFrame([(1, "w1 z1"), (2, long), (3, long), (4, "tail " + long[:90])], "doc_id long, text string")
+    jac = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    assert jac == {1: 1, 2: 2, 3: 2, 4: 4}
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert cut[2] == 0 and cut[3] == 1_000_000 and cut[4] > 0
+    scored = {r.doc_id: r for r in suffix_tree.score_documents(df).collect()}
+    assert scored[2].n_tokens == 1_000_001 and scored[2].score == pytest.approx(scored[3].score, rel=1e-9)
+    assert sum(r.length for r in packing.pack_documents(df.where("doc_id IN (1, 2)")).collect()) > 1_000_000
+    assert {r.n_chars for r in simhash.fingerprint_edits(df).collect()} >= {len(long)}
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels)).count() == quality.score_quality(df, quality.fit_quality(df, labels)).count() == 4
+
+
 # ---- JPEG
 
 
