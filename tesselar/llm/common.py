@@ -79,6 +79,16 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -
     yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: Python workers outlive their tasks, and share an executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES, name: str = "text") -> Iterator[pa.Table]:
     """Regroup a task's batches into tables of about ``most`` bytes of text and at most CHUNK_DOCS rows."""
     held: list[pa.RecordBatch] = []
@@ -93,6 +103,8 @@ def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES, name: str
             size, rows = size + n, rows + part.num_rows
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    give_back()
 
 
 class WordHash(dict):

@@ -35,6 +35,8 @@ LEAST_DOCS, FLOOR = 2, 0.3
 #: Standard errors by which a term's log odds must differ from 0 to count as more.
 SURE = 1.5
 SPACE_BITS = 24
+#: Text that is scored at once.
+SCORE_BYTES = 2 << 20
 FACTORS, EPOCHS, BATCH, RATE, RIDGE, SEED = 4, 6, 128, 0.1, 1e-4, 7
 #: Factors start near 0, where a pair's gradient is small.
 FACTOR_RATE = 0.3
@@ -171,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, fm = Terms(), model.value
-        for part in chunks(batches):
+        for part in chunks(batches, SCORE_BYTES):
             score = fm.score(text_bytes(part["text"].combine_chunks()), terms)
             rest = [n for n in part.column_names if n != "score"]
             yield pa.RecordBatch.from_arrays([part[n].combine_chunks() for n in rest] + [pa.array(score)], rest + ["score"])
