@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.llm import jaccard_join, jpeg_media, packing, poisson_mix, quality, simhash, substring_dedup, suffix_tree, toxicity, url_filter
+from tesselar.llm import divergence, jaccard_join, jpeg_media, packing, poisson_mix, quality, simhash, substring_dedup, suffix_tree, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_poisson_mix": poisson_mix.op9_poisson_mix,
         "op10_jpeg_media": jpeg_media.op10_jpeg_media,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": url_filter.SQL,
         "op8_substring_dedup": substring_dedup.SQL,
         "op9_poisson_mix": poisson_mix.SQL,
+        "op13_source_divergence": divergence.SQL,
     }
