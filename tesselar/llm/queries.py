@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.llm import conversation_repair, divergence, jaccard_join, jpeg_media, packing, poisson_mix, quality, simhash, substring_dedup, suffix_tree, toxicity, url_filter
+from tesselar.llm import conversation_repair, divergence, jaccard_join, jpeg_media, packing, poisson_mix, quality, simhash, substring_dedup, suffix_dedup, suffix_tree, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_poisson_mix": poisson_mix.op9_poisson_mix,
         "op10_jpeg_media": jpeg_media.op10_jpeg_media,
+        "op11_suffix_array_dedup": suffix_dedup.op11_suffix_array_dedup,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_source_divergence": divergence.op13_source_divergence,
     }
