@@ -325,7 +325,7 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None, most: int =
     for more in (faults, distinct, solved, hashes):
         more = more.withColumnRenamed("conv_id", "own_conv")
         out = out.join(more, F.col("conv_id").eqNullSafe(F.col("own_conv")), "left").drop("own_conv")
-    out = out.fillna(0).fillna({"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()})
+    out = out.fillna(0, ["width", "turns", "blank", "duplicate", "truncated", "illegal", "cost"]).fillna({"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()})
     return out.withColumn("gaps", (F.col("width") - F.col("turns")).cast("long")).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 

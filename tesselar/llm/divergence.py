@@ -71,7 +71,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms = pa.array(list(n), pa.binary()).cast(pa.string())
             held = docs[lang, source]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n)), pa.array([source] * len(n)), terms, pa.array(n.values(), pa.int64()), pa.array((held[t] for t in n), pa.int64(), size=len(n))], ["lang", "source", "term", "n", "docs"]
+                [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms, pa.array(n.values(), pa.int64()), pa.array((held[t] for t in n), pa.int64(), size=len(n))], ["lang", "source", "term", "n", "docs"]
             )
         times.clear()
         docs.clear()
