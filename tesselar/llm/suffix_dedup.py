@@ -38,7 +38,7 @@ WINDOW, GRAM, SPAN = 400, 32, 64
 #: Bytes of a long text that are hashed at a time; pieces overlap by a window.
 PIECE = 4 << 20
 #: Units of one core that meet in one suffix array, and symbols of one array.
-GROUP, SYMBOLS = 20_000, 200_000
+GROUP, SYMBOLS = 5_000, 200_000
 UNITS = "core long, unit long, doc long, tag long, at long, n int, lead int, span int, times int"
 MARKS = "core long, doc long, tag long, at long, n int, lead int, span int, alone boolean"
 
