@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
-from tesselar.operators.resolve import identity_keys, persons
-from tesselar.operators.settle import groups_of
+from tesselar.operators.resolve import identity_keys, outcomes, persons
+from tesselar.operators.settle import groups_of, settled
 
 BY = ("cnpj", "domain", "name")
 
@@ -22,6 +22,11 @@ def company_keys(events: DataFrame) -> DataFrame:
     return events.where(named).withColumns({"cnpj": K.cnpj(F.coalesce("cnpj", F.lit(""))), "domain": K.domain(F.col("domain")), "name": K.company_name(F.col("name"))})
 
 
+def key_list() -> Column:
+    """The keys of a row (cnpj, domain, name) as strings that tell their kind."""
+    return F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), c)) for c in BY]))
+
+
 def candidates(events: DataFrame, companies: DataFrame) -> DataFrame:
     """(arrival, matched_on, company_id, candidates): of each event and kind of key the number of companies (company_id, cnpj,
     domain, name) with its value, and the smallest of them: three equi-joins on sides that are grouped first (J16)."""
@@ -37,80 +42,126 @@ class Registry:
 
     def __init__(self):
         self.cnpj: dict[str, int] = {}
-        self.own_cnpj: dict[int, str] = {}
-        self.own_domain: dict[int, str] = {}
-        self.domain: dict[str, list[int]] = defaultdict(list)
-        self.name: dict[str, list[int]] = defaultdict(list)
+        self.own: dict[int, dict[str, str | None]] = {}
+        self.by: dict[str, dict[str, list[int]]] = {"domain": defaultdict(list), "name": defaultdict(list)}
+        self.changed: set[int] = set()
+
+    def add(self, company: int, cnpj: str | None, domain: str | None, name: str | None) -> None:
+        self.own[company] = {"cnpj": None, "domain": None, "name": name}
+        self.learn(company, cnpj, domain)
+        if name:
+            self.by["name"][name].append(company)
 
     def learn(self, company: int, cnpj: str | None = None, domain: str | None = None) -> None:
         """What a company has not known of itself."""
-        if cnpj and company not in self.own_cnpj:
-            self.own_cnpj[company] = cnpj
+        own = self.own[company]
+        if cnpj and not own["cnpj"]:
+            own["cnpj"] = cnpj
             self.cnpj.setdefault(cnpj, company)
-        if domain and company not in self.own_domain:
-            self.own_domain[company] = domain
-            self.domain[domain].append(company)
+            self.changed.add(company)
+        if domain and not own["domain"]:
+            own["domain"] = domain
+            self.by["domain"][domain].append(company)
+            self.changed.add(company)
 
-    def place(self, arrival: int, cnpj: str | None, domain: str | None, name: str | None) -> tuple[int | None, str, str | None, int]:
+    def place(self, arrival: int, cnpj: str | None, domain: str | None, name: str | None) -> tuple[int | None, str, str | None, list[int]]:
         """(company, decision, what decided, candidates)."""
         if cnpj and cnpj in self.cnpj:
-            return self.cnpj[cnpj], "resolved", "cnpj", 1
+            return self.cnpj[cnpj], "resolved", "cnpj", [self.cnpj[cnpj]]
         # companies of another CNPJ may share a domain, so they don't count
-        safe = [c for c in self.domain.get(domain, ()) if not (cnpj and self.own_cnpj.get(c, cnpj) != cnpj)] if domain else []
-        for kind, found in (("domain", safe), ("name", self.name.get(name, []) if name else [])):
+        safe = [c for c in self.by["domain"].get(domain, ()) if not (cnpj and self.own[c]["cnpj"] not in (None, cnpj))] if domain else []
+        for kind, found in (("domain", safe), ("name", self.by["name"].get(name, []) if name else [])):
             if len(found) == 1:
                 self.learn(found[0], cnpj, domain if kind == "name" else None)
-                return found[0], "resolved", kind, 1
+                return found[0], "resolved", kind, list(found)
             if found:
-                return None, "ambiguous", kind, len(found)
-        self.learn(arrival, cnpj, domain)
-        if name:
-            self.name[name].append(arrival)
-        return arrival, "created", None, 0
+                return None, "ambiguous", kind, sorted(found)
+        self.add(arrival, cnpj, domain, name)
+        self.changed.add(arrival)
+        return arrival, "created", None, []
+
+
+FOLDED = "arrival long, company long, decision string, matched_on string, candidate_ids array<long>, cnpj string, domain string, name string"
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block come together, in order of arrival. Only its companies are held, not its rows."""
-    block, known = None, None
-    names = ["arrival", "company", "decision", "matched_on", "candidates"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    """Rows of a block come together, stored companies first, then events in order of arrival; after them the companies that changed, without an
+    arrival. Only a block's companies are held, not its rows."""
+    block, known = None, Registry()
+    names = [c.split()[0] for c in FOLDED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+    def states() -> list[tuple]:
+        return [(None, c, None, None, [], *known.own[c].values()) for c in sorted(known.changed)]
+
     for batch in batches:
         out = []
-        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "arrival", *BY))):
-            if b != block or known is None:
+        for b, stored, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "stored", "arrival", *BY))):
+            if b != block:
+                out += states()
                 block, known = b, Registry()
-            out.append((row[0], *known.place(*row)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
+            if stored:
+                known.add(*row)
+                known.changed.clear()
+            else:
+                out.append((row[0], *known.place(*row), None, None, None))
+        if out:
+            yield made(out)
+    if rest := states():
+        yield made(rest)
+
 
+def touched_companies(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Of the stored companies (company, cnpj, domain, name) those with a key that events have."""
+    parts = [stored.join(events.where(F.col(c).isNotNull()).select(c).distinct(), c, "left_semi").select("company", *BY) for c in BY]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
-def companies(events: DataFrame) -> DataFrame:
-    """(arrival, company, decision, matched_on, candidates) of events (arrival, cnpj, domain, name); a company is named by the event that created it.
+
+def resolved_companies(events: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((arrival, company, decision, matched_on, candidate_ids), (company, cnpj, domain, name)): what becomes of events (arrival, cnpj,
+    domain, name), and the companies that they made or taught something. A company is named by the event that created it.
 
     CNPJ first, then the domain, then the name, the latter two only if one company has it; several are ambiguous and need a case; none makes a
-    company. The outcome depends on the order of arrival, but only of events that share keys through some chain, so blocks of these are
+    company. stored: companies of earlier batches, whose names come before all arrivals; only those are read that share a key with an event. The
+    outcome depends on the order of arrival, but only of events that share keys through some chain, so blocks of these are
     folded independently, streaming: a task holds a block's companies, not its events. A block is as large as its chains; its events
     are decided one after the other, as the rules ask.
     """
-    rows = company_keys(events).select("arrival", *BY)
-    keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), c)) for c in BY]))
-    blocks = groups_of(rows.select("arrival", F.explode(keys).alias("key")), "arrival", "key")
+    rows = company_keys(events).select("arrival", *BY).withColumn("stored", F.lit(False))
+    if stored is not None:
+        rows = settled(rows)
+        rows = rows.unionByName(touched_companies(stored, rows).withColumnRenamed("company", "arrival").withColumn("stored", F.lit(True)))
+    blocks = groups_of(rows.select("arrival", F.explode(key_list()).alias("key")), "arrival", "key")
     placed = rows.join(blocks, "arrival", "left").withColumn("block", F.coalesce("block", "arrival"))
     ordered = placed.repartition("block").sortWithinPartitions("block", "arrival")
-    return ordered.select("block", "arrival", *BY).mapInArrow(_folded, "arrival long, company long, decision string, matched_on string, candidates int")
+    folded = ordered.select("block", "stored", "arrival", *BY).mapInArrow(_folded, FOLDED)
+    if stored is not None:
+        folded = settled(folded)
+    return folded.where("arrival IS NOT NULL").select("arrival", "company", "decision", "matched_on", "candidate_ids"), folded.where("arrival IS NULL").select("company", *BY)
+
+
+def companies(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(arrival, company, decision, matched_on, candidates) of events; see ``resolved_companies``."""
+    return resolved_companies(events, stored)[0].withColumn("candidates", F.size("candidate_ids")).drop("candidate_ids")
 
 
 def ambiguity_cases(resolved: DataFrame) -> DataFrame:
-    """One case for each event with an ambiguous company."""
-    return resolved.where("decision = 'ambiguous'").select("arrival", F.concat(F.lit("ambiguous_company_"), "matched_on").alias("case_type"), "candidates")
+    """One case for each event with an ambiguous company: several of a domain may be one, several of a name contradict each other."""
+    kind = F.when(F.col("matched_on") == "domain", "possible_duplicate_company").otherwise("company_conflict")
+    found = [c for c in ("candidates", "candidate_ids") if c in resolved.columns]
+    return resolved.where("decision = 'ambiguous'").select("arrival", kind.alias("case_type"), *found)
 
 
 def company_observations(events: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(arrival, company, key, value, value_hash, source_kind) of company events (arrival, data as JSON) that have a company and a key."""
+    """(arrival, company, key, value, value_hash, confidence, source_kind, observed_at) of company events (arrival, occurred_at, data as JSON) that have a company and a key."""
     get = lambda path: F.get_json_object("data", f"$.{path}")
     value = F.nullif(F.to_json(F.expr("variant_get(parse_json(data), '$.value')")), F.lit("null"))
     rows = events.where(K.blank(get("key")).isNotNull()).join(resolved.where("company IS NOT NULL").select("arrival", "company"), "arrival")
     hashed = F.sha2(F.concat(get("key"), F.lit(":"), F.coalesce(value, F.lit("null"))), 256)
-    return rows.select("arrival", "company", get("key").alias("key"), F.coalesce(value, F.lit("{}")).alias("value"), hashed.alias("value_hash"), F.coalesce(K.blank(get("source_kind")), F.lit("declared")).alias("source_kind"))
+    return rows.select("arrival", "company", get("key").alias("key"), F.coalesce(value, F.lit("{}")).alias("value"), hashed.alias("value_hash"), get("confidence").try_cast("double").alias("confidence"), F.coalesce(K.blank(get("source_kind")), F.lit("declared")).alias("source_kind"), F.col("occurred_at").alias("observed_at"))
 
 
 def identity_counts(identities: DataFrame) -> DataFrame:
@@ -130,13 +181,25 @@ def identity_events(identities: DataFrame, companies_of: DataFrame, at: DataFram
     return found.groupBy("person", "company").agg(F.min("occurred_at").alias("first_seen_at"), F.max("occurred_at").alias("last_seen_at"))
 
 
-def linked_identities(captured: DataFrame, owners: DataFrame) -> DataFrame:
-    """(person, key): identities to add to a person already known, which no event before gave to that person.
+def linked_identities(captured: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((arrival, person, key) to add, (arrival, conflict) of each event): identities for a person already known.
 
-    captured: person, source, type, value; owners: key, person. An identity that another person owns is added all the same: nothing is merged.
+    captured: arrival, person, source, type, value; owners: key, person. An event with an identity that another person owns, or that an earlier
+    event of the batch gave to another, is a conflict and adds nothing; nothing is merged. Earlier events win: the known persons are
+    seeds that the events link to, so that this is ``resolve.outcomes`` with a key for each person.
     """
-    keyed = identity_keys(captured.withColumnRenamed("person", "arrival")).select(F.col("arrival").alias("person"), "key").distinct()
-    return keyed.join(owners.select("person", "key").distinct(), ["person", "key"], "left_anti")
+    person = F.concat(F.lit("person|"), F.col("person").cast("string"))
+    ids = identity_keys(captured).withColumn("links", F.lit(False))
+    own = captured.join(ids.select("arrival").distinct(), "arrival", "left_semi").select("arrival", person.alias("key"), F.lit(True).alias("strong"), F.lit(True).alias("links")).distinct()
+    # as seeds persons come before all events
+    every = captured.select("person").unionByName(owners.select("person")).distinct()
+    named = every.select("person", (F.col("person").cast("long") - F.lit(1 << 62)).alias("seed"))
+    seeds = owners.join(named, "person").select("key", F.col("seed").alias("first"), F.col("seed").alias("person")).unionByName(named.select(person.alias("key"), F.col("seed").alias("first"), F.col("seed").alias("person")))
+    found = outcomes(ids.unionByName(own), seeds)
+    of = captured.select("arrival", "person").distinct()
+    new = ids.select("arrival", "key").join(found.where("NOT conflict").select("arrival"), "arrival", "left_semi").join(owners.select("key").distinct(), "key", "left_anti")
+    first = new.groupBy("key").agg(F.min("arrival").alias("arrival"))
+    return first.join(of, "arrival").select("arrival", "person", "key"), found.select("arrival", "conflict")
 
 
 def people_where(people: DataFrame, name: str | None = None, identity: tuple[str, str] | None = None, identities: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
@@ -11,44 +10,54 @@ from tesselar.functions import keys as K
 FAMILIES = ["identity", "interaction", "observation", "company", "score", "experience"]
 
 
+#: Stored events that an equal arrival has handled again.
+OPEN = ["pending", "failed"]
+
+
 def decide(arriving: DataFrame, stored: DataFrame | None = None, major: int = 1) -> DataFrame:
     """``arriving`` (source, event_id, event_type, schema_version, payload, arrival) with payload_hash and decision.
 
-    SCHEMA_UNSUPPORTED for another major version (nothing of it is stored), VALIDATION_ERROR for an unknown family,
-    accepted for the first arrival of a key, duplicate for later equal ones, EVENT_ID_CONFLICT for different ones. The
-    original is the stored event if there is one (source, event_id, event_type, payload_hash, and perhaps status: a first equal
-    arrival is a retry of a failed one, and an IDENTITY_CONFLICT again of one in conflict).
+    SCHEMA_UNSUPPORTED for another major version (nothing of it is stored). The original of a key is the stored event (source, event_id, event_type,
+    payload_hash, and perhaps status), else the first arrival. An arrival that differs from it is an EVENT_ID_CONFLICT and leaves it as it is. An equal one is a
+    duplicate of a processed event, an IDENTITY_CONFLICT of one in conflict, and else has it handled: as accepted if it is new, as retry if it is
+    stored as pending or failed, and as VALIDATION_ERROR, each time, if no handler knows its family. Of equal arrivals the first is handled and the
+    others are duplicates, which stands if the first is processed; see ``gateway.answers`` for when it is not.
+
+    First arrivals are sums by key and content that are combined before their exchange, so a key that very many arrivals share is no window.
     """
     rows = arriving.withColumn("payload_hash", K.payload_hash(F.col("payload"))).withColumn("_ok", K.supported_major(F.col("schema_version"), major))
-    key = W.partitionBy("source", "event_id", "_ok").orderBy("arrival")
+    heads = rows.where("_ok").groupBy("source", "event_id", "event_type", "payload_hash").agg(F.min("arrival").alias("_head"))
     content = F.struct("event_type", "payload_hash")
-    rows = rows.withColumn("_nth", F.row_number().over(key)).withColumn("_first", F.first(content).over(key))
+    first = heads.groupBy("source", "event_id").agg(F.min_by(content, "_head").alias("_original")).withColumn("_status", F.lit(None).cast("string"))
     if stored is not None:
         state = F.col("status") if "status" in stored.columns else F.lit("processed")
         old = stored.groupBy("source", "event_id").agg(F.min(F.struct("event_type", "payload_hash", state.alias("status"))).alias("_old"))
-        rows = rows.join(old, ["source", "event_id"], "left").withColumn("_stored", F.when(F.col("_old").isNotNull(), F.struct("_old.event_type", "_old.payload_hash"))).withColumn("_status", F.col("_old.status")).drop("_old")
-    else:
-        rows = rows.withColumn("_stored", F.lit(None).cast("struct<event_type: string, payload_hash: string>")).withColumn("_status", F.lit(None).cast("string"))
-    new = F.col("_stored").isNull() & (F.col("_nth") == 1)
-    original = F.coalesce("_stored", "_first")
-    decision = F.when(~F.col("_ok"), "SCHEMA_UNSUPPORTED").when(new & ~K.family(F.col("event_type")).isin(FAMILIES), "VALIDATION_ERROR").when(new, "accepted").when(original != content, "EVENT_ID_CONFLICT")
-    again = F.when(F.col("_status") == "conflict", "IDENTITY_CONFLICT").when((F.col("_status") == "failed") & (F.col("_nth") == 1), "retry").otherwise("duplicate")
-    return rows.withColumn("decision", F.coalesce(decision, again)).drop("_ok", "_nth", "_first", "_stored", "_status")
+        first = first.join(old, ["source", "event_id"], "left").select("source", "event_id", F.when(F.col("_old").isNull(), F.col("_original")).otherwise(F.struct("_old.event_type", "_old.payload_hash")).alias("_original"), F.col("_old.status").alias("_status"))
+    heads = heads.join(first, ["source", "event_id"])
+    r, h = rows.alias("r"), heads.alias("h")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("source", "event_id", "event_type", "payload_hash")]
+    both = r.join(h, [F.col("r._ok"), *same], "left")
+    known = K.family(F.col("r.event_type")).isin(FAMILIES)
+    decision = (
+        F.when(~F.col("_ok"), "SCHEMA_UNSUPPORTED").when(F.col("_original") != F.struct("r.event_type", "r.payload_hash"), "EVENT_ID_CONFLICT").when(F.col("_status") == "processed", "duplicate")
+        .when(F.col("_status") == "conflict", "IDENTITY_CONFLICT").when(~known, "VALIDATION_ERROR").when(F.col("arrival") > F.col("_head"), "duplicate").when(F.col("_status").isNull(), "accepted").otherwise("retry")
+    )
+    return both.select("r.*", decision.alias("decision")).drop("_ok")
 
 
 def replay(log: DataFrame, handled: DataFrame) -> DataFrame:
-    """The log (source, event_id, status, retry_count, ...) after failed and conflicting events were run again. handled: source, event_id, ok;
-    one that fails again has one more retry. Processed events stay as they are."""
-    done = handled.groupBy("source", "event_id").agg(F.max("ok").alias("_ok"))
+    """The log (source, event_id, status, retry_count, ...) after failed and conflicting events were run again. handled: source, event_id,
+    status, what became of each; all but processed ones have one more retry, so one that conflicts again stays in conflict. Events that were not open stay as they are."""
+    done = handled.groupBy("source", "event_id").agg(F.max_by("status", F.col("status") == "processed").alias("_now"))
     rows = log.join(done, ["source", "event_id"], "left")
-    again = F.col("status").isin("failed", "conflict") & F.col("_ok").isNotNull()
-    status = F.when(again & F.col("_ok"), "processed").when(again, "failed").otherwise(F.col("status"))
-    return rows.withColumns({"status": status, "retry_count": F.col("retry_count") + F.when(again & ~F.col("_ok"), 1).otherwise(0)}).drop("_ok")
+    again = F.col("status").isin(*OPEN, "conflict") & F.col("_now").isNotNull()
+    return rows.withColumns({"status": F.when(again, F.col("_now")).otherwise(F.col("status")), "retry_count": F.col("retry_count") + F.when(again & (F.col("_now") != "processed"), 1).otherwise(0)}).drop("_now")
 
 
-def closed_cases(cases: DataFrame, log: DataFrame) -> DataFrame:
-    """Cases (source, event_id, status, resolution) with the open ones of events now processed resolved by the replay."""
-    done = log.where("status = 'processed'").select("source", "event_id").distinct().withColumn("_done", F.lit(True))
+def closed_cases(cases: DataFrame, handled: DataFrame) -> DataFrame:
+    """Cases (source, event_id, status, resolution): the open ones of events that were ``handled`` again (source, event_id, status) and are processed now
+    are resolved by it. Cases of other events stay open, whatever the state of their event."""
+    done = handled.where("status = 'processed'").select("source", "event_id").distinct().withColumn("_done", F.lit(True))
     closes = F.col("_done").isNotNull() & ~F.col("status").isin("resolved", "dismissed")
     rows = cases.join(done, ["source", "event_id"], "left")
     return rows.withColumns({"resolution": F.when(closes, "reprocessed").otherwise(F.col("resolution")), "status": F.when(closes, "resolved").otherwise(F.col("status"))}).drop("_done")
@@ -71,8 +80,10 @@ def recorded_interaction(event_id: Column, at: Column, identities: Column, kind:
 
 
 def stored_events(decided: DataFrame) -> DataFrame:
-    """Rows to append: the original of each new key, whether it can be handled or not."""
-    return decided.where(F.col("decision").isin("accepted", "VALIDATION_ERROR")).withColumn("status", F.when(F.col("decision") == "accepted", "processed").otherwise("failed")).drop("decision")
+    """Rows to append before anything is handled: the original of each new key as pending, or as failed where no handler knows it."""
+    new = decided.where(F.col("decision").isin("accepted", "VALIDATION_ERROR")).groupBy("source", "event_id").agg(F.min("arrival").alias("arrival"))
+    status = F.when(F.col("decision") == "accepted", "pending").otherwise("failed")
+    return decided.join(new, ["source", "event_id", "arrival"], "left_semi").withColumn("status", status).drop("decision")
 
 
 def cases(decided: DataFrame, open_cases: DataFrame | None = None) -> DataFrame:

@@ -28,29 +28,72 @@ def _roots(parents: DataFrame) -> DataFrame:
             return now.withColumnRenamed("up", "root")
 
 
-def persons(events: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(arrival, person, conflict) for each event with a valid identity. A person is named by the event that created it.
+def touched_owners(owners: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of the stored owners (key, first, person) those of keys that ``ids`` show."""
+    return owners.join(ids.select("key").distinct(), "key", "left_semi").select("key", "first", "person")
+
+
+def outcomes(ids: DataFrame, owners: DataFrame | None = None, once: DataFrame | None = None, most_rounds: int = 50) -> DataFrame:
+    """(arrival, person, conflict, repeated) for each event of ``ids`` (arrival, key, strong, and perhaps links) or ``once``.
 
     What one event after the other would give: an identity belongs to the first event without conflict that shows it; an event
     belongs to the owner of a strong identity, else to the earliest owner of a weak one, else it makes a person; strong identities of
-    two owners are a conflict, which attaches nothing and has no person. An owner never changes, so an event depends on
+    two owners are a conflict, which attaches nothing and has no person. An event with a key that ``links`` (that of a run whose
+    person is known) adds its identities to that person, so that there any identity of another owner is a conflict.
+
+    owners: key, first, person: identities that earlier batches gave away; first is the arrival that did, before all of ``ids``. Only those
+    of keys in ``ids`` are read. once: arrival, once, and null arrivals for stored ones: an event fails as ``repeated`` whose ``once`` an earlier event that did not fail has.
+
+    An owner never changes, so an event depends on
     the first sightings of its identities alone. These are found for all events at once by grouping, owners by pointer
-    doubling, and conflicts by repeating both until they stay: an event's outcome rests on earlier events only, so
+    doubling, and failures by repeating both until they stay: an event's outcome rests on earlier events only, so
     there is one such state. Rounds follow the depth of conflicts on conflicts, not the number of events.
     """
-    ids = settled(identity_keys(events))
-    conflicts = ids.where("false").select("arrival").distinct()
+    ids = settled(ids if "links" in ids.columns else ids.withColumn("links", F.lit(False)))
+    old = settled(touched_owners(owners, ids)) if owners is not None else None
+    once = settled(once) if once is not None else None
+    events = ids.select("arrival").distinct()
+    failed = events.where("false").withColumn("conflict", F.lit(True))
     for _ in range(most_rounds):
-        first = ids.join(conflicts, "arrival", "left_anti").groupBy("key").agg(F.min("arrival").alias("first"))
-        earlier = settled(ids.join(first, "key").where("first < arrival").select("arrival", "first", "strong"))
-        up = earlier.groupBy("arrival").agg(F.min(F.struct((~F.col("strong")).alias("weak"), "first"))["first"].alias("up"))
-        alone = ids.select("arrival").distinct().join(up, "arrival", "left")
-        roots = _roots(alone.select("arrival", F.coalesce("up", "arrival").alias("up")))
-        owned = earlier.where("strong").join(roots.select(F.col("arrival").alias("first"), "root"), "first")
-        found = settled(owned.groupBy("arrival").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("arrival"))
-        same = found.join(conflicts, "arrival", "left_anti").isEmpty() and conflicts.join(found, "arrival", "left_anti").isEmpty()
-        conflicts = found
+        first = ids.join(failed, "arrival", "left_anti").select("key", "arrival")
+        if old is not None:
+            first = first.unionByName(old.select("key", F.col("first").alias("arrival")))
+        first = first.groupBy("key").agg(F.min("arrival").alias("first"))
+        earlier = settled(ids.join(first, "key").where("first < arrival").select("arrival", "first", "strong", "links"))
+        up = earlier.groupBy("arrival").agg(F.min(F.struct((~F.col("links")).alias("other"), (~F.col("strong")).alias("weak"), "first"))["first"].alias("up"))
+        parents = events.join(up, "arrival", "left").select("arrival", F.coalesce("up", "arrival").alias("up"))
+        if old is not None:
+            parents = parents.unionByName(old.select(F.explode(F.array("first", "person")).alias("arrival"), F.col("person").alias("up")).distinct())
+        roots = _roots(parents)
+        linking = earlier.where("links").select("arrival").distinct().withColumn("linking", F.lit(True))
+        owned = earlier.join(linking, "arrival", "left").where("strong OR linking").join(roots.select(F.col("arrival").alias("first"), "root"), "first")
+        found = owned.groupBy("arrival").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("arrival", F.lit(True).alias("conflict"))
+        if once is not None:
+            # only events without conflict claim a value; a stored one has no arrival and comes first
+            claims = once.join(failed.unionByName(found).distinct(), "arrival", "left_anti").groupBy("once").agg(F.min(F.struct("arrival")).alias("claim"))
+            late = once.where("arrival IS NOT NULL").join(claims, "once").where("claim.arrival IS NULL OR claim.arrival < arrival").select("arrival").distinct()
+            found = found.unionByName(late.join(found, "arrival", "left_anti").withColumn("conflict", F.lit(False)))
+        found = settled(found)
+        same = found.exceptAll(failed).isEmpty() and failed.exceptAll(found).isEmpty()
+        failed = found
         if same:
-            marked = roots.join(conflicts.withColumn("conflict", F.lit(True)), "arrival", "left")
-            return marked.select("arrival", F.when(F.col("conflict").isNull(), F.col("root")).alias("person"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+            known = events.withColumn("known", F.lit(True))
+            rows = events if once is None else events.unionByName(once.where("arrival IS NOT NULL").select("arrival")).distinct()
+            marked = rows.join(known, "arrival", "left").join(roots, "arrival", "left").join(failed, "arrival", "left")
+            person = F.when(F.col("known") & F.col("conflict").isNull(), F.col("root"))
+            return marked.select("arrival", person.alias("person"), F.coalesce("conflict", F.lit(False)).alias("conflict"), F.coalesce(~F.col("conflict"), F.lit(False)).alias("repeated"))
     raise RuntimeError(f"conflicts did not settle in {most_rounds} rounds")
+
+
+def attached(ids: DataFrame, found: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """(key, first, person): identities that events of these ``outcomes`` give to their person, those with an owner left out. Appended to
+    ``owners`` they make the state that the next batch starts from."""
+    shown = ids.select("arrival", "key").distinct().join(found.where("person IS NOT NULL").select("arrival", "person"), "arrival")
+    new = shown.groupBy("key").agg(F.min("arrival").alias("first"), F.min_by("person", "arrival").alias("person"))
+    return new if owners is None else new.join(touched_owners(owners, ids), "key", "left_anti")
+
+
+def persons(events: DataFrame, owners: DataFrame | None = None, most_rounds: int = 50) -> DataFrame:
+    """(arrival, person, conflict) for each event with a valid identity; events: source, arrival, type, value. A person is named by the event that created it.
+    With ``owners`` it goes on from what earlier batches attached. See ``outcomes``."""
+    return outcomes(identity_keys(events), owners, most_rounds=most_rounds).select("arrival", "person", "conflict")

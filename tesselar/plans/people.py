@@ -39,7 +39,7 @@ def r2(spark, d):
     return companies.companies(company_events(spark, d)).select("arrival", "company", "decision")
 
 
-@add("r2_ambiguity_cases", f"WITH {FOLD} SELECT arrival, 'ambiguous_company_domain' AS case_type, (SELECT count(*) FROM first_k f WHERE f.domain = r.domain AND f.at < r.arrival) AS candidates FROM r WHERE company IS NULL")
+@add("r2_ambiguity_cases", f"WITH {FOLD} SELECT arrival, 'possible_duplicate_company' AS case_type, (SELECT count(*) FROM first_k f WHERE f.domain = r.domain AND f.at < r.arrival) AS candidates FROM r WHERE company IS NULL")
 def r2_cases(spark, d):
     return companies.ambiguity_cases(companies.companies(company_events(spark, d))).select("arrival", "case_type", F.col("candidates").cast("long").alias("candidates"))
 
@@ -57,11 +57,17 @@ def j16(spark, d):
     return companies.candidates(companies.company_keys(named(table(spark, d, "customer"), "c_custkey", "c_nationkey", "arrival")), named(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", "company_id"))
 
 
-@add("r18_company_events", f"WITH {FOLD} SELECT arrival, company, 'segment' AS key, (arrival % 5)::VARCHAR AS value, sha256('segment:' || (arrival % 5)) AS value_hash, 'declared' AS source_kind FROM r WHERE company IS NOT NULL AND arrival % 3 <> 0")
+@add("r18_company_events", f"""
+WITH {FOLD} SELECT arrival, company, 'segment' AS key, (arrival % 5)::VARCHAR AS value, sha256('segment:' || (arrival % 5)) AS value_hash, CASE WHEN arrival % 2 = 0 THEN (arrival % 7) / 10.0 END::DOUBLE AS confidence,
+  CASE WHEN arrival % 4 = 1 THEN 'crm' ELSE 'declared' END AS source_kind, TIMESTAMP '2024-01-01' + to_seconds(arrival) AS observed_at
+FROM r WHERE company IS NOT NULL AND arrival % 3 <> 0
+""")
 def r18(spark, d):
     n = F.col("page_id")
-    events = table(spark, d, "pages").select(n.alias("arrival"), F.concat(F.lit('{"key":"'), F.when(n % 3 == 0, "").otherwise("segment"), F.lit('","value":'), n % 5, F.lit("}")).alias("data"))
-    return companies.company_observations(events, companies.companies(company_events(spark, d)))
+    told = F.concat(F.when(n % 2 == 0, F.concat(F.lit(',"confidence":0.'), n % 7)).otherwise(""), F.when(n % 4 == 1, ',"source_kind":"crm"').otherwise(""))
+    data = F.concat(F.lit('{"key":"'), F.when(n % 3 == 0, "").otherwise("segment"), F.lit('","value":'), n % 5, told, F.lit("}"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=n)
+    return companies.company_observations(table(spark, d, "pages").select(n.alias("arrival"), data.alias("data"), at.alias("occurred_at")), companies.companies(company_events(spark, d)))
 
 
 def identities(spark, d):
@@ -82,39 +88,73 @@ def r15_edges(spark, d):
     return companies.identity_events(identities(spark, d), firms, e.select(F.col("event_id").alias("arrival"), F.col("ts").alias("occurred_at")))
 
 
-@add("r21_linked_identities", "SELECT DISTINCT c_custkey AS person, sha256('email:' || o_orderpriority || '@x.co') AS hash FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND o_orderpriority NOT LIKE '% %' AND NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_custkey = c_custkey AND f.o_orderpriority = orders.o_orderpriority)".replace("o_orderpriority || '@", "lower(o_orderpriority) || '@"))
+# Orders in state O capture an e-mail for their customer, those in state F have given theirs to one; a name with a space is no address.
+LINKS = """
+WITH c AS (SELECT o_orderkey AS arrival, o_custkey AS person, sha256('email:c' || o_custkey % 300 || '-' || lower(o_orderpriority) || '@x.co') AS hash FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority NOT LIKE '% %'),
+f AS (SELECT sha256('email:c' || o_custkey % 300 || '-' || lower(o_orderpriority) || '@x.co') AS hash, min(o_custkey) AS owner FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT LIKE '% %' GROUP BY 1),
+r AS (SELECT c.*, f.owner AS stored, coalesce(f.owner, first_value(person) OVER (PARTITION BY c.hash ORDER BY arrival)) AS owner, row_number() OVER (PARTITION BY c.hash ORDER BY arrival) AS nth FROM c LEFT JOIN f ON f.hash = c.hash)
+"""
+
+
+def links(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("arrival"), F.col("o_custkey").alias("person"), F.lit("s").alias("source"), F.lit("email").alias("type"), F.concat(F.lit("c"), F.col("o_custkey") % 300, F.lit("-"), "o_orderpriority", F.lit("@x.co")).alias("value"), "o_orderstatus")
+    owners = o.where("o_orderstatus = 'F'").select("person", K.identity(F.col("type"), F.col("value"))["hash"].alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.min("person").alias("person"))
+    return companies.linked_identities(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), owners)
+
+
+@add("r21_linked_identities", LINKS + "SELECT arrival, person, hash FROM r WHERE stored IS NULL AND nth = 1")
 def r21(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), F.lit("s").alias("source"), F.lit("email").alias("type"), F.concat("o_orderpriority", F.lit("@x.co")).alias("value"), "o_orderstatus")
-    owners = o.where("o_orderstatus = 'F'").select("person", K.identity(F.col("type"), F.col("value"))["hash"].alias("key"))
-    return companies.linked_identities(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), owners).select("person", F.col("key").alias("hash"))
+    return links(spark, d)[0].select("arrival", "person", F.col("key").alias("hash"))
+
+
+@add("r21_linked_conflicts", LINKS + "SELECT arrival, owner <> person AS conflict FROM r")
+def r21_conflicts(spark, d):
+    return links(spark, d)[1]
 
 
-LOG = "SELECT event_id, user_id, event_type, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'conflict' ELSE 'processed' END AS status, value > 50 AS ok FROM events"
+# Failed and conflicting events whose value is over 50 succeed when they run again; those of even users are not run.
+LOG = "SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'conflict' ELSE 'processed' END AS status, value > 50 AS ok, user_id % 2 = 1 AS again FROM events"
 
 
 def log_of(spark, d):
     e, t = table(spark, d, "events"), F.col("event_type")
-    return e.select(F.lit("s").alias("source"), F.col("event_id").cast("string").alias("event_id"), F.when(t == "error", "failed").when(t == "signup", "conflict").otherwise("processed").alias("status"), F.lit(1).alias("retry_count"), (F.col("value") > 50).alias("ok"))
+    status = F.when(t == "error", "failed").when(t == "signup", "conflict").otherwise("processed")
+    return e.select(F.lit("s").alias("source"), F.col("event_id").cast("string").alias("event_id"), status.alias("status"), F.lit(1).alias("retry_count"), F.when(F.col("value") > 50, "processed").otherwise(status).alias("now"), (F.col("user_id") % 2 == 1).alias("again"))
 
 
-@add("replay_of_failed_events", f"SELECT event_id::VARCHAR AS event_id, CASE WHEN status = 'processed' OR ok THEN 'processed' ELSE 'failed' END AS status, CASE WHEN status <> 'processed' AND NOT ok THEN 2 ELSE 1 END AS retry_count FROM ({LOG})")
+def handled_of(log):
+    return log.where("again AND status <> 'processed'").select("source", "event_id", F.col("now").alias("status"))
+
+
+@add("replay_of_failed_events", f"SELECT event_id::VARCHAR AS event_id, CASE WHEN again AND ok THEN 'processed' ELSE status END AS status, CASE WHEN status <> 'processed' AND again AND NOT ok THEN 2 ELSE 1 END AS retry_count FROM ({LOG})")
 def replay(spark, d):
     log = log_of(spark, d)
-    return ingest.replay(log.drop("ok"), log.select("source", "event_id", "ok")).select("event_id", "status", "retry_count")
+    return ingest.replay(log.drop("now", "again"), handled_of(log)).select("event_id", "status", "retry_count")
 
 
-@add("replay_closes_cases", f"SELECT event_id::VARCHAR AS event_id, CASE WHEN ok THEN 'resolved' ELSE 'open' END AS status, CASE WHEN ok THEN 'reprocessed' END AS resolution FROM ({LOG}) WHERE status = 'conflict'")
+@add("replay_closes_cases", f"SELECT event_id::VARCHAR AS event_id, CASE WHEN status <> 'processed' AND again AND ok THEN 'resolved' ELSE 'open' END AS status, CASE WHEN status <> 'processed' AND again AND ok THEN 'reprocessed' END AS resolution FROM ({LOG}) WHERE event_type IN ('signup', 'click')")
 def replay_cases(spark, d):
     log = log_of(spark, d)
-    cases = log.where("status = 'conflict'").select("source", "event_id", F.lit("open").alias("status"), F.lit(None).cast("string").alias("resolution"))
-    return ingest.closed_cases(cases, ingest.replay(log.drop("ok"), log.select("source", "event_id", "ok"))).select("event_id", "status", "resolution")
+    told = table(spark, d, "events").where(F.col("event_type").isin("signup", "click")).select(F.lit("s").alias("source"), F.col("event_id").cast("string").alias("event_id"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("resolution"))
+    return ingest.closed_cases(told, handled_of(log)).select("event_id", "status", "resolution")
+
+
+# Stored events of each state, and arrivals that equal them or not, in any order, some of a family without a handler.
+ARRIVALS = """
+SELECT event_id AS arrival, user_id || '-' || json_extract_string(props, '$.k') AS key, event_id % 2 AS v, user_id % 5 = 0 AS unknown, user_id % 4 AS state, event_id % 13 <> 0 AS ok FROM events
+"""
 
 
-@add("r22_retries", "SELECT event_id AS arrival, CASE event_type WHEN 'error' THEN 'retry' WHEN 'signup' THEN 'IDENTITY_CONFLICT' ELSE 'duplicate' END AS decision FROM events")
+@add("r22_retries", f"""
+SELECT arrival, CASE WHEN NOT ok THEN 'SCHEMA_UNSUPPORTED' WHEN v <> 0 THEN 'EVENT_ID_CONFLICT' WHEN state = 0 THEN 'duplicate' WHEN state = 2 THEN 'IDENTITY_CONFLICT' WHEN unknown THEN 'VALIDATION_ERROR'
+  WHEN row_number() OVER (PARTITION BY key, v, ok ORDER BY arrival) = 1 THEN 'retry' ELSE 'duplicate' END AS decision FROM ({ARRIVALS})
+""")
 def r22_retries(spark, d):
-    e, t = table(spark, d, "events"), F.col("event_type")
-    arriving = e.select(F.lit("s").alias("source"), F.col("event_id").cast("string").alias("event_id"), F.lit("score.set").alias("event_type"), F.lit("1.0").alias("schema_version"), F.col("props").alias("payload"), F.col("event_id").alias("arrival"))
-    stored = e.select(F.lit("s").alias("source"), F.col("event_id").cast("string").alias("event_id"), F.lit("score.set").alias("event_type"), K.payload_hash(F.col("props")).alias("payload_hash"), F.when(t == "error", "failed").when(t == "signup", "conflict").otherwise("processed").alias("status"))
+    e, u, n = table(spark, d, "events"), F.col("user_id"), F.col("event_id")
+    kind, key = F.when(u % 5 == 0, "other.x").otherwise("score.set"), F.concat_ws("-", "user_id", F.get_json_object("props", "$.k"))
+    arriving = e.select(F.lit("s").alias("source"), key.alias("event_id"), kind.alias("event_type"), F.when(n % 13 == 0, "2.0").otherwise("1.0").alias("schema_version"), F.format_string('{"v":%d}', n % 2).alias("payload"), n.alias("arrival"))
+    state = F.element_at(F.array(*map(F.lit, ["processed", "failed", "conflict", "pending"])), (u % 4 + 1).cast("int"))
+    stored = e.select(F.lit("s").alias("source"), key.alias("event_id"), kind.alias("event_type"), K.payload_hash(F.lit('{"v":0}')).alias("payload_hash"), state.alias("status")).distinct()
     return ingest.decide(arriving, stored).select("arrival", "decision")
 
 

@@ -53,7 +53,7 @@ def test_company_cases(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.arrival: (r.company, r.decision, r.matched_on) for r in companies.companies(df).collect()}
     assert got == {1: (1, "created", None), 2: (1, "resolved", "cnpj"), 3: (3, "created", None), 4: (4, "created", None), 5: (None, "ambiguous", "domain"), 6: (1, "resolved", "name"), 8: (8, "created", None)}
-    assert [(r.arrival, r.case_type) for r in companies.ambiguity_cases(companies.companies(df)).collect()] == [(5, "ambiguous_company_domain")]
+    assert [(r.arrival, r.case_type) for r in companies.ambiguity_cases(companies.companies(df)).collect()] == [(5, "possible_duplicate_company")]
     assert companies.companies(df.where("false")).count() == 0
 
 
@@ -65,11 +65,27 @@ def test_blocks(spark):
 
 
 def test_identities_of_known_persons(spark):
-    captured = spark.createDataFrame([(7, "s", "email", "A@x.co"), (7, "s", "email", " a@x.co "), (7, "s", "visitor", "v"), (7, "s", "email", "no"), (8, "s", "email", "a@x.co")], "person long, source string, type string, value string")
+    captured = [(1, 7, "A@x.co"), (1, 7, " a@x.co "), (2, 7, "new@x.co"), (3, 8, "a@x.co"), (4, 8, "new@x.co"), (4, 8, "more@x.co"), (5, 9, "more@x.co"), (6, 9, "no")]
+    df = spark.createDataFrame([(n, p, "s", "email", v) for n, p, v in captured], "arrival long, person long, source string, type string, value string")
     owners = spark.createDataFrame([(8, "email", "a@x.co")], "person long, type string, value string").select("person", K.identity(F.col("type"), F.col("value"))["hash"].alias("key"))
-    got = companies.linked_identities(captured, owners).collect()
-    # 8 has it already; 7 gets it all the same
-    assert sorted(r.person for r in got) == [7, 7]
+    new, told = companies.linked_identities(df, owners)
+    # a@x.co is 8's; new@x.co was 7's before 8 showed it, so 4 adds nothing and 9 gets more@x.co
+    assert {r.arrival: r.conflict for r in told.collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert sorted((r.arrival, r.person) for r in new.collect()) == [(2, 7), (5, 9)]
+
+
+def test_batches_of_companies_equal_one_run(spark):
+    rng = random.Random(5)
+    some = lambda n, f: f(rng.randrange(n)) if rng.random() < 0.6 else None
+    rows = [(i, some(9, lambda k: f"{k:014d}"), some(6, lambda k: f"d{k}.com"), some(6, lambda k: f"firm {k}")) for i in range(120)]
+    rows = [r for r in rows if any(r[1:])]
+    want, got, stored = folded(rows), {}, spark.createDataFrame([], "company long, cnpj string, domain string, name string")
+    for a, b in ((0, 40), (40, 90), (90, 120)):
+        found, changed = companies.resolved_companies(spark.createDataFrame([r for r in rows if a <= r[0] < b], SCHEMA), stored)
+        got |= {r.arrival: (r.company, r.decision) for r in found.collect()}
+        now = {r.company: tuple(r) for r in stored.collect()} | {r.company: tuple(r) for r in changed.collect()}
+        stored = spark.createDataFrame(list(now.values()), stored.schema)
+    assert got == want
 
 
 def test_upsert_of_null_and_repeated_keys(spark):
@@ -80,9 +96,11 @@ def test_upsert_of_null_and_repeated_keys(spark):
 
 
 def test_replay(spark):
-    log = spark.createDataFrame([("s", "1", "failed", 0), ("s", "2", "conflict", 2), ("s", "3", "processed", 0), ("s", "4", "failed", 1)], "source string, event_id string, status string, retry_count int")
-    handled = spark.createDataFrame([("s", "1", True), ("s", "2", False), ("s", "3", False)], "source string, event_id string, ok boolean")
+    log = spark.createDataFrame([("s", "1", "failed", 0), ("s", "2", "conflict", 2), ("s", "3", "processed", 0), ("s", "4", "failed", 1), ("s", "5", "pending", 0)], "source string, event_id string, status string, retry_count int")
+    handled = spark.createDataFrame([("s", "1", "processed"), ("s", "2", "conflict"), ("s", "3", "failed"), ("s", "5", "failed")], "source string, event_id string, status string")
     after = ingest.replay(log, handled)
-    assert sorted((r.event_id, r.status, r.retry_count) for r in after.collect()) == [("1", "processed", 0), ("2", "failed", 3), ("3", "processed", 0), ("4", "failed", 1)]
-    cases = spark.createDataFrame([("s", "1", "open", None), ("s", "2", "open", None), ("s", "3", "dismissed", None)], "source string, event_id string, status string, resolution string")
-    assert sorted((r.event_id, r.status, r.resolution) for r in ingest.closed_cases(cases, after).collect()) == [("1", "resolved", "reprocessed"), ("2", "open", None), ("3", "dismissed", None)]
+    assert sorted((r.event_id, r.status, r.retry_count) for r in after.collect()) == [("1", "processed", 0), ("2", "conflict", 3), ("3", "processed", 0), ("4", "failed", 1), ("5", "failed", 1)]
+    cases = spark.createDataFrame([("s", "1", "open", None), ("s", "2", "open", None), ("s", "6", "open", None), ("s", "1", "dismissed", None)], "source string, event_id string, status string, resolution string")
+    got = sorted((r.event_id, r.status, r.resolution) for r in ingest.closed_cases(cases, handled).collect())
+    # 6 was not run again, so its case stays open whatever the log says of it
+    assert got == [("1", "dismissed", None), ("1", "resolved", "reprocessed"), ("2", "open", None), ("6", "open", None)]

@@ -1,9 +1,9 @@
-"""Idempotency: literal sequences, in one batch or several, as a batch or as a stream."""
+"""Idempotency: literal sequences, in one batch or several."""
 
-import json
+from pyspark.sql import functions as F
 
+from tesselar.functions import keys as K
 from tesselar.operators import ingest
-from tesselar.streaming import jobs
 
 SCHEMA = "source string, event_id string, event_type string, schema_version string, payload string, arrival long"
 ROWS = [
@@ -29,13 +29,10 @@ def test_again_and_in_parts(spark):
     assert "accepted" not in again
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    log = str(tmp_path / "log")
-    for part in (ROWS[:2], ROWS[2:]):
-        (source / f"{part[0][5]}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in part))
-        jobs.ingest(jobs.events_of(spark, str(source), SCHEMA), log, str(tmp_path / "state")).awaitTermination()
-    key = lambda df: sorted((r.source, r.event_id, r.arrival, r.status) for r in df.collect())
-    assert key(spark.read.parquet(log)) == key(ingest.stored_events(ingest.decide(spark.createDataFrame(ROWS, SCHEMA))))
+def test_stored_events_of_each_state(spark):
+    """A pending event is handled after a crash like a failed one; only equal arrivals count; an unknown family fails each time."""
+    arrivals = [("s", k, "weird.x" if k == "u" else "score.x", "1.0", p, n) for n, (k, p) in enumerate([("p", "{}"), ("p", "{}"), ("f", '{"a":1}'), ("f", "{}"), ("f", "{}"), ("c", "{}"), ("c", '{"a":1}'), ("d", "{}"), ("u", "{}"), ("u", "{}"), ("n", "{}")])]
+    stored = spark.createDataFrame([("s", k, "weird.x" if k == "u" else "score.x", "{}", s) for k, s in [("p", "pending"), ("f", "failed"), ("c", "conflict"), ("d", "processed"), ("u", "failed")]], "source string, event_id string, event_type string, payload string, status string")
+    stored = stored.withColumn("payload_hash", K.payload_hash(F.col("payload"))).drop("payload")
+    got = ingest.decide(spark.createDataFrame(arrivals, SCHEMA), stored).orderBy("arrival").collect()
+    assert [r.decision for r in got] == ["retry", "duplicate", "EVENT_ID_CONFLICT", "retry", "duplicate", "IDENTITY_CONFLICT", "EVENT_ID_CONFLICT", "duplicate", "VALIDATION_ERROR", "VALIDATION_ERROR", "accepted"]

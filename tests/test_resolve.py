@@ -53,3 +53,26 @@ def test_equals_fold(spark, seed):
             rows.append(("s" if at % 2 else "t", at, kind, f"{r.randint(0, 70)}@x.co" if kind == "email" else f"v{r.randint(0, 30)}"))
     got, want = resolved(spark, rows), one_by_one(rows)
     assert got == want and any(c for _, c in want.values()) and len({p for p, _ in want.values()}) > 5
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_batches_equal_one_run(spark, seed):
+    """Owners that earlier batches attached are the state of the next; rows of other keys are not read."""
+    r = random.Random(seed)
+    rows = []
+    for at in range(150):
+        for _ in range(r.randint(1, 3)):
+            kind = r.choice(["email", "visitor", "email"])
+            rows.append(("s" if at % 2 else "t", at, kind, f"{r.randint(0, 60)}@x.co" if kind == "email" else f"v{r.randint(0, 20)}"))
+    want, got = one_by_one(rows), {}
+    owners = spark.createDataFrame([], "key string, first long, person long")
+    for a, b in ((0, 50), (50, 60), (60, 150)):
+        df = spark.createDataFrame([x for x in rows if a <= x[1] < b], SCHEMA)
+        ids = resolve.identity_keys(df)
+        found = resolve.persons(df, owners)
+        got |= {x.arrival: (x.person, x.conflict) for x in found.collect()}
+        owners = spark.createDataFrame(owners.unionByName(resolve.attached(ids, found, owners)).collect(), owners.schema)
+        assert owners.groupBy("key").count().where("count > 1").isEmpty()
+    assert got == want and any(c for _, c in want.values())
+    few = resolve.identity_keys(spark.createDataFrame([("s", 999, "email", "3@x.co")], SCHEMA))
+    assert resolve.touched_owners(owners, few).count() <= 1
