@@ -2,8 +2,9 @@
 
 Method. Texts are tokenised in tasks; longer ones are cut into full sequences and one remainder. Only the
 number of remainders of each length, at most ``capacity`` - 1 numbers, reaches the driver. There bin
-completion fills sequence after sequence: around the largest length left it enumerates fillings that no
-other filling dominates, best fit first, and prunes by the waste that the best solution so far still allows.
+completion fills sequence after sequence: around the largest length left it enumerates fillings, prunes those that must waste more than
+the best one so far, and takes an undominated one. The best-fit descent is the incumbent; further descents take first the
+lengths that met with waste (sequential value correction), until a lower bound is reached or none is better.
 A filling is applied as often as the numbers of its lengths permit, so the plan has at most
 a few rows for each length at any corpus size. Spark ranks the pieces of a length (ranks are
 counted by salted groups, so one frequent length is ranked by many tasks) and a piece finds its sequence
@@ -16,6 +17,7 @@ itself; a null doc_id is packed as any; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import math
 import sys
 import zlib
 from bisect import bisect_right
@@ -32,8 +34,10 @@ from tesselar.llm.common import fresh, shared_checkpoint, slices, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Branches looked at for one sequence, fillings kept of it, and descents tried for one sequence less.
-NODES, WIDTH, DIVES = 4_000, 3, 60
+#: Branches looked at for one sequence, descents tried for one sequence less, and descents in all; see ``plan_bins`` for how to lift them.
+NODES, PATIENCE, DESCENTS = 300, 6, 16
+#: Weight of the waste that pieces met with in the order of the next descent.
+CORRECTION = 3.0
 SALT_ROWS = 100_000
 #: Longer runs without a space are left to the tokenizers library, which merges them in less than quadratic time to the same ids.
 LONG_PIECE = 2_000
@@ -110,7 +114,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 # ---- the plan
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int, width: int = WIDTH, nodes: int = NODES) -> list[tuple[int, list[int]]]:
+def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int, width: int, nodes: int = 4_000) -> list[tuple[int, list[int]]]:
     """Undominated fillings of ``room``, as (waste, lengths descending), least waste first.
 
     Largest lengths first, so the first filling reached is the best-fit one, which is never dominated, and is the incumbent. A filling is
@@ -168,70 +172,149 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
     return found
 
 
-def _dive(counts: dict[int, int], lengths: list[int], capacity: int, allowed: int, option: int = 0) -> list[tuple[int, list[int]]] | None:
-    """One descent of the completion tree for what ``counts`` leaves, by best fillings but for the first, which is the ``option``-th;
-    none if there is no such filling or the waste exceeds ``allowed``."""
-    counts, plan, wasted = dict(counts), [], 0
-    for x in lengths:
+def best_filling(order: list[int], counts: dict[int, int], room: int, nodes: int | None = NODES) -> list[int]:
+    """The filling of ``room`` with the least waste, lengths tried in ``order``, the first of equals. Branches that can't waste less than the
+    incumbent are cut. After ``nodes`` branches the incumbent counts (None: there is no such end), once it is undominated."""
+    usable = [x for x in order if x <= room and counts[x]]
+    m = len(usable)
+    best, chosen, left = room + 1, [], nodes if nodes is not None else math.inf
+    # what the lengths from i on hold together, and the least of them
+    held, least = [0] * (m + 1), [room + 1] * (m + 1)
+    for i in range(m - 1, -1, -1):
+        held[i] = held[i + 1] + usable[i] * counts[usable[i]]
+        least[i] = min(least[i + 1], usable[i])
+
+    def search(i: int, room: int, used: list[int]) -> bool:
+        """Whether the search may go on."""
+        nonlocal best, chosen, left
+        left -= 1
+        while i < m and usable[i] > room:
+            i += 1
+        if i == m or room < least[i]:
+            if room < best:
+                best, chosen = room, used
+            return best > 0 and left > 0
+        if room - held[i] >= best:
+            return left > 0
+        x = usable[i]
+        for n in range(min(counts[x], room // x), -1, -1):
+            if not search(i + 1, room - n * x, used + [x] * n):
+                return False
+        return left > 0
+
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+    search(0, room, [])
+    return undominated(chosen, counts, room)
+
+
+def undominated(used: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """The filling, with pieces that it leaves out put in, or in place of a shorter one, as long as one fits."""
+    times, waste = Counter(used), room - sum(used)
+    rising = sorted(x for x, n in counts.items() if n)
+    while waste:
+        moves = []
+        for y in (0, *(y for y, n in times.items() if n)):
+            i = bisect_right(rising, y + waste) - 1
+            while i >= 0 and rising[i] > y and counts[rising[i]] <= times[rising[i]]:
+                i -= 1
+            if i >= 0 and rising[i] > y:
+                moves.append((rising[i] - y, y, rising[i]))
+        if not moves:
+            break
+        gain, y, z = max(moves)
+        times[z] += 1
+        times[y] -= 1
+        waste -= gain
+    return [x for x, n in sorted(times.items(), reverse=True) if x for _ in range(n)]
+
+
+def descent(histogram: dict[int, int], order: list[int], capacity: int, nodes: int | None = NODES) -> list[tuple[int, list[int]]]:
+    """One descent of the completion tree by best fillings, around the first length of ``order`` that is left. A filling is taken as often
+    as the numbers of its lengths permit."""
+    counts, plan = dict(histogram), []
+    for x in order:
         while counts[x]:
             counts[x] -= 1
-            options = fillings(lengths, counts, capacity - x, allowed - wasted)
+            rest = best_filling(order, counts, capacity - x, nodes)
             counts[x] += 1
-            turn = 0 if plan else option
-            if turn >= len(options):
-                return None
-            waste, rest = options[turn]
             need = Counter([x, *rest])
-            # a filling found with one piece set aside fits at least once
-            times = max(1, min(counts[y] // n for y, n in need.items()))
+            times = min(counts[y] // n for y, n in need.items())
             for y, n in need.items():
                 counts[y] -= n * times
-            wasted += waste * times
-            if wasted > allowed:
-                return None
             plan.append((times, [x, *rest]))
     return plan
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
-    """Sequences needed at least: by sum, and as no two pieces of over half the capacity share one."""
-    return max(-(-sum(x * n for x, n in histogram.items()) // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+    """Sequences needed at least: the largest sum of a dual feasible function over all pieces. Such a function gives the pieces of any sequence
+    at most 1 together: a piece's share of the capacity; with pieces below a threshold counted as nothing and those that leave less
+    than it as 1; or the share rounded to k-ths as floor((k + 1) * share) / k, a whole (k + 1)-th being kept."""
+    best = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    for k in range(1, 21):
+        # in units of 1 / (k * capacity)
+        total = sum(n * (k * x if (k + 1) * x % capacity == 0 else (k + 1) * x // capacity * capacity) for x, n in histogram.items())
+        best = max(best, -(-total // (k * capacity)))
+    for least in sorted(x for x in histogram if 2 * x <= capacity):
+        total = sum(n * (capacity if x > capacity - least else x) for x, n in histogram.items() if x >= least)
+        best = max(best, -(-total // capacity))
+    return best
+
+
+def optimal_bins(histogram: dict[int, int], capacity: int, incumbent: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """Bin completion without any limit: all undominated fillings around the largest piece left, best fit first, each followed by the
+    completion of what is left; cut where that can't need fewer sequences than the incumbent. Exponential in the worst case."""
+    best = [incumbent, sum(t for t, _ in incumbent)]
+    lengths, least = sorted(histogram, reverse=True), lower_bound(histogram, capacity)
+
+    def complete(counts: dict[int, int], done: list[list[int]]) -> None:
+        x = next((y for y in lengths if counts[y]), None)
+        if x is None:
+            best[:] = [(1, p) for p in done], len(done)
+            return
+        counts[x] -= 1
+        options = fillings(lengths, counts, capacity - x, capacity, width=1 << 60, nodes=1 << 60)
+        for _, rest in options:
+            left = Counter(counts)
+            left.subtract(rest)
+            if len(done) + 1 + lower_bound({y: n for y, n in left.items() if n}, capacity) < best[1]:
+                complete(left, [*done, [x, *rest]])
+            if best[1] == least:
+                break
+        counts[x] += 1
+
+    if best[1] > least:
+        complete(dict(histogram), [])
+    return best[0]
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, dives: int | None = DIVES) -> list[tuple[int, list[int]]]:
+def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, patience: int | None = PATIENCE, nodes: int | None = NODES) -> list[tuple[int, list[int]]]:
     """(times, lengths) of sequences that hold all pieces of the histogram, in few sequences.
 
-    The best-fit descent is the incumbent. While it needs more sequences than ``lower_bound``, other fillings of its steps are tried,
-    the last steps first, each followed by a descent for what is left from there, which is given up at more waste than an improvement
-    allows. After ``dives`` of these (None: of all) without an improvement the incumbent stays.
+    The first descent takes the largest length first, so it is the best-fit one, and the incumbent. While the incumbent needs more sequences
+    than ``lower_bound``, further descents take first the lengths that the ones before left to wasteful sequences: a length's value is itself and
+    the waste that its pieces met with so far, and the order is by value. So pieces that are awkward at the end, like those of just over a third of the
+    capacity, meet the others while these are there. After ``patience`` descents without a better one, or DESCENTS in all, the incumbent stays. With None
+    for patience the exact search follows, which has no such end, and with None for nodes no filling's search ends early.
     """
     histogram = {int(x): int(n) for x, n in histogram.items() if n}
-    lengths = sorted(histogram, reverse=True)
-    total, least = sum(x * n for x, n in histogram.items()), lower_bound(histogram, capacity)
-    plan = _dive(histogram, lengths, capacity, capacity * max(1, sum(histogram.values())))
-    better = True
-    while better:
-        better, best, tried = False, sum(t for t, _ in plan), 0
-        if best <= least:
+    least, idle = lower_bound(histogram, capacity), PATIENCE if patience is None else patience
+    value, best, fewest, since = {x: float(x) for x in histogram}, [], sum(histogram.values()) + 1, 0
+    for _ in range(DESCENTS):
+        if fewest <= least or since > idle:
             break
-        counts, bins, wasted = dict.fromkeys(lengths, 0), best, sum(t * (capacity - sum(p)) for t, p in plan)
-        for step in range(len(plan) - 1, -1, -1):
-            times, pattern = plan[step]
+        plan = descent(histogram, sorted(value, key=lambda x: (-value[x], -x)), capacity, nodes)
+        bins = sum(t for t, _ in plan)
+        since += 1
+        if bins < fewest:
+            best, fewest, since = plan, bins, 0
+        lost: dict[int, float] = dict.fromkeys(histogram, 0.0)
+        for times, pattern in plan:
+            waste = times * (capacity - sum(pattern)) / len(pattern)
             for x in pattern:
-                counts[x] += times
-            bins, wasted = bins - times, wasted - times * (capacity - sum(pattern))
-            for option in range(WIDTH):
-                # option 0 differs where the plan took a filling as often as it fits
-                if dives is not None and tried >= dives:
-                    break
-                tried += 1
-                other = _dive(counts, lengths, capacity, (best - 1) * capacity - total - wasted, option)
-                if other is not None and bins + sum(t for t, _ in other) < best:
-                    plan, better = plan[:step] + other, True
-                    break
-            if better or (dives is not None and tried >= dives):
-                break
-    return plan
+                lost[x] += waste
+        for x, n in histogram.items():
+            value[x] += CORRECTION * lost[x] / n
+    return best if patience is not None else optimal_bins(histogram, capacity, best)
 
 
 def plan_ranges(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
