@@ -7,7 +7,7 @@ hash of document and copy and sorted by it in each partition, which is a global
 a sort's sampling pass. Everything is DataFrame functions; a source that holds a third of all rows
 is only counted (combined before the exchange) and joined to its rate.
 
-The rates are broadcast up to BROADCAST_SOURCES sources and BROADCAST_BYTES of their names, counted first, else joined by a shuffle.
+The tables of all sources are broadcast up to BROADCAST_BYTES, counted first, else joined by a shuffle.
 
 Defined results: a null source is a source of its own; a null doc_id draws as the empty string; rows
 that repeat a doc_id draw alike and are all replicated; empty texts are documents as any; an empty
@@ -19,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import fresh, repeated, table
+from tesselar.llm.common import fresh, repeated, shared_checkpoint, table
 
 SEED = 17
-BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 4 << 20
-#: Rate of one draw.
+BROADCAST_BYTES = 16 << 20
+#: Rate of one draw, so that a source's table has some 800 sums at most.
 MOST_RATE = 500.0
 
 
@@ -33,24 +33,32 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_quantile(rate: Column, u: Column) -> Column:
-    """Numbers k with P(X <= k) <= u, up to where nothing is left that 52 bits can show. A fold that holds one sum, no table."""
+def poisson_table(rate: Column) -> Column:
+    """P(X <= k) from k = 0 up to where nothing is left that 52 bits can show."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cdf"), (F.exp(-rate) <= u).cast("int").alias("n"))
+    start = F.struct((-rate).alias("logp"), F.array(F.exp(-rate)).alias("sums"))
 
     def step(s: Column, k: Column) -> Column:
         logp = s["logp"] + F.ln(rate / k)
-        total = s["cdf"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), total.alias("cdf"), (s["n"] + (total <= u).cast("int")).alias("n"))
+        return F.struct(logp.alias("logp"), F.concat(s["sums"], F.array(F.element_at(s["sums"], -1) + F.exp(logp))).alias("sums"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["n"]).otherwise(F.lit(0))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["sums"]).otherwise(F.array().cast("array<double>"))
 
 
-def copies_of(rate: Column, seed: int) -> Column:
-    """A document's Poisson number. Up to MOST_RATE it is one draw, beyond it the sum of draws at equal parts of the rate, which is Poisson too."""
-    parts = F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
-    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + poisson_quantile(rate / parts, uniform(F.lit(seed), "doc_id", j)))
-    return F.when(parts == 1, poisson_quantile(rate, uniform(F.lit(seed), "doc_id"))).otherwise(many)
+def poisson_quantile(sums: Column, u: Column) -> Column:
+    """Numbers k with P(X <= k) <= u."""
+    return F.size(F.filter(sums, lambda total: total <= u))
+
+
+def parts_of(rate: Column) -> Column:
+    return F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+
+
+def copies_of(rate: Column, sums: Column, seed: int) -> Column:
+    """A document's Poisson number; sums are those of a part of the rate. Up to MOST_RATE it is one draw, beyond it the sum of draws at equal parts of the rate, which is Poisson too."""
+    parts = parts_of(rate)
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + poisson_quantile(sums, uniform(F.lit(seed), "doc_id", j)))
+    return F.when(parts == 1, poisson_quantile(sums, uniform(F.lit(seed), "doc_id"))).otherwise(many)
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None) -> DataFrame:
@@ -70,12 +78,13 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """Columns of ``docs`` (doc_id, text and source at least) with rate, copies and copy (from 1), in shuffled order. Columns of those names are replaced."""
     docs = docs.drop("rate", "copies", "copy")
-    own, at = fresh([*docs.columns, "rate", "copies", "copy"], "source_of_rate", "at")
-    rates = source_rates(docs, weights, total).withColumnRenamed("source", own)
-    held = docs.select("source").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("bytes")).first()
-    if held["n"] <= BROADCAST_SOURCES and held["bytes"] <= BROADCAST_BYTES:
+    own, at, sums = fresh([*docs.columns, "rate", "copies", "copy"], "source_of_rate", "at", "sums")
+    # a row for each source, with a table of its rate's sums: counted in bytes before it is broadcast
+    rates = shared_checkpoint(source_rates(docs, weights, total).withColumnRenamed("source", own).withColumn(sums, poisson_table(F.col("rate") / parts_of(F.col("rate")))))
+    held = rates.agg(F.coalesce(F.sum(8 * F.size(sums) + F.coalesce(F.octet_length(own), F.lit(0)) + 64), F.lit(0))).first()[0]
+    if held <= BROADCAST_BYTES:
         rates = F.broadcast(rates)
-    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col(own))).drop(own).withColumn("copies", copies_of(F.col("rate"), seed))
+    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col(own))).drop(own).withColumn("copies", copies_of(F.col("rate"), F.col(sums), seed)).drop(sums)
     many = repeated(drawn, "copies", "copy")
     many = many.withColumn(at, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.xxhash64("text")))
     return many.repartition(at).sortWithinPartitions(at).drop(at)
