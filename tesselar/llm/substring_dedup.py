@@ -208,11 +208,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, bits: int | None = No
     own = ["n_words", "n_removed", "kept_sha256", "removed", "hits"]
     base = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    key, tag = fresh([*base.columns, *own, "doc_id", "tag"], "key", "tag")
+    key, tag, key_hit, tag_hit = fresh([*base.columns, *own, "doc_id", "tag"], "key", "tag", "key_hit", "tag_hit")
     squeezed = ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()) + f", `{key}` long, `{tag}` long"
-    hits = repeated_windows(docs, window, bits).withColumnsRenamed({"doc_id": f"{key}_hit", "tag": f"{tag}_hit"})
+    hits = repeated_windows(docs, window, bits).withColumnsRenamed({"doc_id": key_hit, "tag": tag_hit})
     rows = base.mapInArrow(_squeezed((key, tag)), squeezed)
-    joined = rows.join(hits, (rows[key] == hits[f"{key}_hit"]) & (rows[tag] == hits[f"{tag}_hit"]), "left").drop(key, tag, f"{key}_hit", f"{tag}_hit")
+    joined = rows.join(hits, (rows[key] == hits[key_hit]) & (rows[tag] == hits[tag_hit]), "left").drop(key, tag, key_hit, tag_hit)
     rest = ", ".join(f"`{k}` {v}" for k, v in kinds.items() if k != "text")
     schema = f"{rest}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>, text string"
     return joined.mapInArrow(_cleaned(window), schema)

@@ -573,6 +573,11 @@ def test_poisson_edges(docs, none):
     assert poisson_mix.poisson_mix(docs, {"zzz": 1.0}).count() == 0
 
 
+def test_substring_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, BASE), (2, BASE)], "doc_id long, text string").select("*", *[F.lit(5).alias(c) for c in ("key", "tag", "key_hit", "tag_hit", "key_")])
+    assert {(r.key, r.tag, r.key_hit, r.tag_hit, r.key_) for r in substring_dedup.substring_dedup(df).collect()} == {(5,) * 5}
+
+
 # ---- bytes and long texts
 
 
