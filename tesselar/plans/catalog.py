@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.plans import facts, ingestion, people, rules, surface, texts
+from tesselar.plans import facts, ingestion, people, rules, surface, texts, times
 
-PARTS = [surface.R, rules.R, ingestion.R, facts.R, people.R, texts.R]
+PARTS = [surface.R, rules.R, ingestion.R, facts.R, people.R, texts.R, times.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
