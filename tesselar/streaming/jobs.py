@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tesselar.operators import gateway
+
 from tesselar.sources.store import Batch, Store
 
+
 def events_of(spark: SparkSession, folder: str, schema: StructType | str, files: int = 100) -> DataFrame:
     """A stream of JSON event files, so many to a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
@@ -32,13 +34,15 @@ def ingest(stream: DataFrame, store: Store, experiences: DataFrame, checkpoint:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply(store: Store, rows: DataFrame, experiences: DataFrame, number: int, on_batch: Callable[[DataFrame, int], None] | None = None) -> bool:
-    """One batch of events over the store; False if it is committed already."""
+def apply(store: Store, rows: DataFrame, experiences: DataFrame, number: int, on_batch: Callable[[DataFrame, int], None] | None = None, more: dict[str, DataFrame] | None = None) -> bool:
+    """One batch of events over the store; False if it is committed already. ``more`` are rows for further tables, to be committed with it."""
     todo = store.batch(number)
     if todo is None:
         return False
     added = gateway.handle(rows, looking(todo), experiences)
     write(todo, added)
+    for table, extra in (more or {}).items():
+        todo.append(table, extra)
     if on_batch:
         on_batch(added["answers_to_events"], number)
     todo.commit()
