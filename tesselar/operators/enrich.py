@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselar.functions import text as T
 from tesselar.functions.vocabulary import SPECIFICITY, Vocabulary
+from tesselar.operators.rollup import corpus
 
 PRICING, OPERATION = ("cotacao", "valor", "frete"), ("coleta", "frete", "entrega", "carga")
 
@@ -97,11 +98,10 @@ def opportunities(enriched: DataFrame) -> DataFrame:
 def conversation_signals(messages: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """(conversation_id, contact_id, messages, corpus, subject, summary and all lists of ``signals``) for each conversation.
 
-    messages: conversation_id, contact_id, position, text. Texts are joined in the order of position; messages without text
-    count, too. Meant for the first and last messages of a contact, as ``rollup.corpus``: a conversation's text is one value.
+    messages: conversation_id, contact_id, position, text. All messages are counted; the texts are those of a conversation's first and last messages
+    with text, as ``rollup.corpus`` joins them. Positions tell the messages of a conversation apart.
     """
-    told = F.when(F.col("text") != "", F.struct("position", "text"))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda m: m["text"]), " ")
-    rows = messages.groupBy("conversation_id", "contact_id").agg(F.count(F.lit(1)).alias("messages"), texts.alias("corpus"))
+    counts = messages.groupBy("conversation_id", "contact_id").agg(F.count(F.lit(1)).alias("messages"))
+    rows = counts.join(corpus(messages, "conversation_id", "position", "text"), "conversation_id", "left").withColumn("corpus", F.coalesce("corpus", F.lit("")))
     found = signals(rows, "corpus", vocabulary)
     return found.withColumns({"subject": T.conversation_subject(F.col("intents"), F.col("types")), "summary": T.conversation_summary(F.col("messages"), F.col("intents"))})

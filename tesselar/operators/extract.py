@@ -40,13 +40,16 @@ def _event(kind: str, key: Column, value: Column, confidence: float | None, orig
 
 
 def extract(messages: DataFrame, own_numbers: list[str] = (), vocabulary: Vocabulary | None = None, kind_key: str = "relationship") -> DataFrame:
-    """(external_key, subject, event_id, event_type, occurred_at, source_ref, key, value, confidence, source_kind).
+    """(source_key, external_key, subject, event_id, event_type, occurred_at, source_ref, key, value, confidence, source_kind, identities, payload).
 
-    messages: source_key, external_key, captured_at, remote_jid, participant, from_me, message_type, text. A message without a
+    messages: source_key, external_key, captured_at, remote_jid, participant, from_me, message_type, text, and perhaps push_name. ``payload`` is the event's
+    body, which the gateway reads; see ``as_events``. An interaction tells the sender's id (of its kind, but never an own number), the channel, whether it has media and the name
+    that the sender goes by; an identity tells that name, too. A message without a
     sender's number gives nothing, one without text its interaction alone; of an outbound text only the affiliation counts.
     Interactions carry no text. ``kind_key`` names the observation of the relationship. Ids are hashes of the parts, values as JSON, so extracting again gives the same events.
     """
     v, none = vocabulary or Vocabulary(), F.lit(None).cast("string")
+    messages = messages if "push_name" in messages.columns else messages.withColumn("push_name", none)
     rows = messages.where(conversational(F.col("remote_jid"), F.col("message_type"), F.col("captured_at"))).withColumn("subject", subject(F.col("remote_jid"), F.col("participant"))).where("subject IS NOT NULL")
     text, sent = F.col("text"), F.coalesce("from_me", F.lit(False))
     roles = {k: w for k, w in v.roles.items() if k != "lead"}
@@ -76,9 +79,32 @@ def extract(messages: DataFrame, own_numbers: list[str] = (), vocabulary: Vocabu
     silent = K.blank(text).isNull() | F.col("subject").isin(list(own_numbers))
     empty = F.array().cast(f"array<{EVENT}>")
     told = F.when(silent, empty).otherwise(F.concat(F.when(sent, empty).otherwise(inbound), declared))
-    out = found.withColumn("source_ref", F.concat_ws(":", "source_key", "external_key")).select("external_key", "subject", F.col("captured_at").alias("occurred_at"), "source_ref", F.inline(F.concat(message.cast(f"array<{EVENT}>"), told)))
+    out = found.withColumn("source_ref", F.concat_ws(":", "source_key", "external_key")).select("*", F.inline(F.concat(message.cast(f"array<{EVENT}>"), told)))
     short = F.when(F.col("event_type").startswith("identity"), "identity").otherwise("obs")
-    return out.withColumn("event_id", F.when(F.col("key").isNull(), F.concat(F.lit("msg:"), "external_key")).otherwise(K.deterministic_id(short, F.col("subject"), F.col("key"), F.col("value"), F.col("source_ref"))))
+    event_id = F.when(F.col("key").isNull(), F.concat(F.lit("msg:"), "external_key")).otherwise(K.deterministic_id(short, F.col("subject"), F.col("key"), F.col("value"), F.col("source_ref")))
+    who = lambda kind, value: F.struct(kind.alias("type"), value.alias("value"))
+    jid = who(F.lit("whatsapp_jid"), F.col("subject"))
+    sender = who(F.when(K.is_lid(F.col("remote_jid")), "whatsapp_lid").otherwise("whatsapp_jid"), F.col("subject"))
+    nobody = F.array().cast("array<struct<type: string, value: string>>")
+    is_message, is_identity = F.col("key").isNull(), F.col("event_type").startswith("identity")
+    identities = F.when(is_message, F.when(F.col("subject").isin(list(own_numbers)), nobody).otherwise(F.array(sender))).when(is_identity, F.array(jid, who(F.col("key"), F.col("value")))).otherwise(F.array(jid))
+    named = out.withColumns({"event_id": event_id, "identities": identities, "direction": F.when(sent, "outbound").otherwise("inbound")})
+    media = ~F.coalesce(F.col("message_type").isin(*PLAIN_MESSAGES), F.lit(True))
+    spoken = F.struct(F.lit("whatsapp").alias("channel"), "direction", "message_type", media.alias("has_media"), F.col("external_key").alias("external_interaction_id"), "source_ref", "push_name")
+    # values that are JSON already, and texts that have to be quoted
+    quoted = F.to_json(F.array("value"))
+    value = F.when(F.col("key").isin("whatsapp_signals", "affiliation", "policy.no_cold_outreach"), F.col("value")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    rest = F.to_json(F.struct("key", "confidence", "source_kind", "source_ref"))
+    observed = F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(',"value":'), value, F.lit("}"))
+    data = F.when(is_message, F.to_json(spoken)).when(is_identity, F.to_json(F.struct(F.col("push_name").alias("name")))).otherwise(observed)
+    context = F.when(is_message, F.to_json(F.struct(F.lit("whatsapp").alias("channel"), "direction"))).otherwise(F.lit("{}"))
+    payload = F.concat(F.lit('{"subject":'), F.to_json(F.struct("identities")), F.lit(',"context":'), context, F.lit(',"data":'), data, F.lit("}"))
+    return named.select("source_key", "external_key", "subject", "event_id", "event_type", F.col("captured_at").alias("occurred_at"), "source_ref", "key", "value", "confidence", "source_kind", "identities", payload.alias("payload"))
+
+
+def as_events(extracted: DataFrame, arrival: Column) -> DataFrame:
+    """Extracted events as the gateway takes them. ``arrival`` must tell them apart, in the order in which they are to be handled."""
+    return extracted.select(F.col("source_key").alias("source"), "event_id", "event_type", F.lit("1.0").alias("schema_version"), "occurred_at", "payload", arrival.alias("arrival"))
 
 
 def unmapped(envelopes: DataFrame) -> DataFrame:

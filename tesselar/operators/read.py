@@ -56,6 +56,25 @@ def sorted_page(rows: DataFrame, sort: str, allowed: list[str], descending: bool
     return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col(tie).asc()).offset((page - 1) * size).limit(size)
 
 
+def page_of(rows: DataFrame, sort: str, allowed: list[str], descending: bool, tie: str, page: int | None = None, size: int | None = None) -> DataFrame:
+    """A page as it is asked for: pages from 1, of 5 to 100 rows (L2)."""
+    return sorted_page(rows, sort, allowed, descending, tie, max(1, page or 1), max(5, min(size or PAGE, 100)))
+
+
+def message_page(rows: DataFrame, at: str, ties: list[str], descending: bool = True, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """Messages by time, either way, rows without one last and ties by the given columns the same way; 1 to 500 of them (L3)."""
+    order = [F.col(at).desc_nulls_last() if descending else F.col(at).asc_nulls_last(), *[F.col(c).desc() if descending else F.col(c).asc() for c in ties]]
+    return rows.orderBy(*order).offset(max(0, offset or 0)).limit(max(1, min(limit or 100, 500)))
+
+
+def cases_where(cases: DataFrame, events: DataFrame, status: str | None = None, case_type: str | None = None, severity: str | None = None, since: str | None = None, source: str | None = None) -> DataFrame:
+    """Cases by what is given of them, and by the source of their event (P8, J10). cases: source, event_id, case_type, severity, status, created_at; events: source, event_id."""
+    rows = where_given(cases, status=status, case_type=case_type, severity=severity)
+    if since:
+        rows = rows.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
+    return rows.join(where_given(events, source=source).select("source", "event_id"), ["source", "event_id"])
+
+
 def after(rows: DataFrame, keys: list[tuple[str, bool]], values: list | None, size: int) -> DataFrame:
     """Keyset page: rows after the cursor in the order of keys (name, descending), one more than asked to tell of a next page."""
     if values is not None:

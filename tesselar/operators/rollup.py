@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.operators.windows import first_of
+from tesselar.operators.windows import first_and_last, first_of
 
 
 def span(rows: DataFrame, key: str, at: str) -> DataFrame:
@@ -38,10 +38,12 @@ def source_health(sources: DataFrame, events: DataFrame, key: str, at: str, fail
     return out.select(key, "last_at", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("recent", "recent_failed")], (F.coalesce("recent", F.lit(0)) > 0).alias("feeding"))
 
 
-def corpus(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Texts of a group in order, joined by spaces (A16). Meant for capped groups, as the first and last messages of a contact."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return rows.where(F.col(text) != "").groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("corpus"))
+def corpus(rows: DataFrame, key: str, order: str, text: str, first: int = 10, last: int = 50) -> DataFrame:
+    """Texts of a group's first and last messages, joined by spaces (A16): the oldest ascending, then the newest descending, as ``windows.first_and_last`` gives
+    them, so that a group's value is bounded whatever its number of messages. Rows without text don't count; ``order`` must tell rows apart."""
+    told = first_and_last(rows.where(F.col(text) != "").select(key, order, text), key, [order], first, last)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("position").alias("o"), F.col(text).alias("t"))))
+    return told.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("corpus"))
 
 
 def recall(wanted: DataFrame, found: DataFrame, keys: list[str], by: str) -> DataFrame:

@@ -36,9 +36,10 @@ def first_and_last(rows: DataFrame, key: str, order: list[str], first: int, last
 def capped(rows: DataFrame, key: str, order: list[Column], existing: DataFrame | None, cap: int) -> DataFrame:
     """New rows of a group in order, as many as its stored rows leave of the cap."""
     have = existing.groupBy(key).agg(F.count(F.lit(1)).alias("_have")) if existing is not None else None
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    # no more than the cap is of use, so that Spark limits a hot group in each task before the exchange
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= cap)
     if have is None:
-        return ranked.where(F.col("_rank") <= cap).drop("_rank")
+        return ranked.drop("_rank")
     return ranked.join(have, key, "left").where(F.col("_rank") + F.coalesce("_have", F.lit(0)) <= cap).drop("_rank", "_have")
 
 

@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselar.operators import enrich, extract, facts, merge, read, resolve, rollup, windows
+from tesselar.operators import enrich, extract, facts, gateway, merge, read, resolve, rollup, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources.tables import table
 
 R = Registry()
 add = R.add
 
-# One text for each kind of find; the others are left as they are.
+# What is appended to a message's own text, one for each kind of find.
 TOLD = ["meu cnpj é 12.345.678/0001-95", "meu email é ana@firma.com.br", "quero cotar um frete", "sou motorista de carreta", "aqui é da Horizonte"]
 
 
 def chats(spark, d):
     c = table(spark, d, "conversations")
     n = F.col("conv_id") + F.col("turn")
-    text = F.element_at(F.array(*map(F.lit, TOLD)), (n % 5 + 1).cast("int"))
+    text = F.concat("text", F.lit(" | "), F.element_at(F.array(*map(F.lit, TOLD)), (n % 5 + 1).cast("int")))
+    other = F.concat("conv_id", F.when(n % 9 == 1, "@lid").otherwise("@s.whatsapp.net"))
     return c.select(
         F.lit("acc").alias("source_key"), F.concat_ws("-", "conv_id", "turn").alias("external_key"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("captured_at"),
-        F.when(n % 7 == 0, "1@broadcast").when(n % 2 == 0, "99@g.us").otherwise(F.concat(F.col("conv_id"), F.lit("@s.whatsapp.net"))).alias("remote_jid"),
-        F.concat(F.lit("5"), "turn", F.lit("@s.whatsapp.net")).alias("participant"), (F.col("role") == "assistant").alias("from_me"), F.lit("conversation").alias("message_type"), text.alias("text"),
+        F.when(n % 7 == 0, "1@broadcast").when(n % 2 == 0, "99@g.us").otherwise(other).alias("remote_jid"),
+        F.concat(F.lit("5"), "turn", F.lit("@s.whatsapp.net")).alias("participant"), (F.col("role") == "assistant").alias("from_me"), F.when(n % 4 == 1, "imageMessage").otherwise("conversation").alias("message_type"), text.alias("text"),
+        F.when(n % 3 != 0, F.concat(F.lit("P"), "conv_id")).alias("push_name"),
     )
 
 
 CHATS = """
-SELECT conv_id || '-' || turn AS external_key, '+' || CASE WHEN n % 2 = 0 THEN '5' || turn ELSE conv_id::VARCHAR END AS subject, role = 'assistant' AS sent, n % 5 AS told
-FROM (SELECT *, conv_id + turn AS n FROM conversations) WHERE n % 7 <> 0
+SELECT conv_id || '-' || turn AS external_key, '+' || CASE WHEN n % 2 = 0 THEN '5' || turn ELSE conv_id::VARCHAR END AS subject, role = 'assistant' AS sent, n % 5 AS told, n % 2 = 1 AND n % 9 = 1 AS lid, n % 4 = 1 AS media,
+  CASE WHEN n % 3 <> 0 THEN 'P' || conv_id END AS push_name FROM (SELECT *, conv_id + turn AS n FROM conversations) WHERE n % 7 <> 0
 """
 FINDS = """
 SELECT * FROM (VALUES (0, 'observation.recorded', 'mentioned_cnpj', '12.345.678/0001-95'), (0, 'identity.observed', 'cnpj', '12345678000195'), (1, 'observation.recorded', 'mentioned_email', 'ana@firma.com.br'),
@@ -39,16 +41,33 @@ SELECT * FROM (VALUES (0, 'observation.recorded', 'mentioned_cnpj', '12.345.678/
 
 @add("r11_extracted_events", f"""
 WITH c AS ({CHATS}), e AS (
-  SELECT external_key, subject, 'interaction.message_' || CASE WHEN sent THEN 'sent' ELSE 'received' END AS event_type, NULL AS key, NULL AS value FROM c
-  UNION ALL SELECT external_key, subject, event_type, key, value FROM c JOIN ({FINDS}) USING (told) WHERE NOT sent
-  UNION ALL SELECT external_key, subject, 'observation.recorded', 'affiliation', NULL FROM c WHERE sent OR told = 4)
-SELECT external_key, subject, event_type, key, value, CASE WHEN key IS NULL THEN 'msg:' || external_key WHEN key IN ('whatsapp_signals', 'affiliation') THEN NULL
+  SELECT external_key, subject, 'interaction.message_' || CASE WHEN sent THEN 'sent' ELSE 'received' END AS event_type, NULL AS key, NULL AS value, CASE WHEN lid THEN 'whatsapp_lid' ELSE 'whatsapp_jid' END || '=' || subject AS identities, media AS has_media, push_name AS name FROM c
+  UNION ALL SELECT external_key, subject, event_type, key, value, 'whatsapp_jid=' || subject || CASE WHEN event_type LIKE 'identity%' THEN ',' || key || '=' || value ELSE '' END, NULL, CASE WHEN event_type LIKE 'identity%' THEN push_name END FROM c JOIN ({FINDS}) USING (told) WHERE NOT sent
+  UNION ALL SELECT external_key, subject, 'observation.recorded', 'affiliation', NULL, 'whatsapp_jid=' || subject, NULL, NULL FROM c WHERE sent OR told = 4)
+SELECT external_key, subject, event_type, key, value, identities, has_media, name, CASE WHEN key IS NULL THEN 'msg:' || external_key WHEN key IN ('whatsapp_signals', 'affiliation') THEN NULL
   ELSE left(sha256(CASE WHEN event_type LIKE 'identity%' THEN 'identity' ELSE 'obs' END || '|' || subject || '|' || key || '|' || value || '|acc:' || external_key), 40) END AS event_id FROM e
 """)
 def r11(spark, d):
     e = extract.extract(chats(spark, d))
     whole = F.coalesce(F.col("key").isin("whatsapp_signals", "affiliation"), F.lit(False))
-    return e.select("external_key", "subject", "event_type", "key", F.when(~whole, F.col("value")).alias("value"), F.when(~whole, F.col("event_id")).alias("event_id"))
+    who = F.array_join(F.transform("identities", lambda i: F.concat_ws("=", i["type"], i["value"])), ",")
+    data = lambda path: F.get_json_object("payload", f"$.data.{path}")
+    return e.select(
+        "external_key", "subject", "event_type", "key", F.when(~whole, F.col("value")).alias("value"), who.alias("identities"), data("has_media").cast("boolean").alias("has_media"),
+        F.coalesce(data("push_name"), data("name")).alias("name"), F.when(~whole, F.col("event_id")).alias("event_id"),
+    )
+
+
+@add("r11_handled_messages", f"""
+WITH c AS ({CHATS}) SELECT 'msg:' || external_key AS event_id, CASE WHEN sent THEN 'message_sent' ELSE 'message_received' END AS interaction_type, CASE WHEN sent THEN 'outbound' ELSE 'inbound' END AS direction, external_key AS external_interaction_id, count(*) OVER (PARTITION BY subject, lid) AS of_identity FROM c
+""")
+def r11_handled(spark, d):
+    """Extracted messages past the gateway: each is an interaction of the person of its sender's number."""
+    known = spark.createDataFrame([], "experience_key string, experience_version string")
+    told = extract.as_events(extract.extract(chats(spark, d)).where("event_type LIKE 'interaction%'"), F.xxhash64("external_key"))
+    out = gateway.handle(told, gateway.held({}), known)
+    i = out["interactions"]
+    return i.join(i.groupBy("person").agg(F.count(F.lit(1)).alias("of_identity")), "person").select("event_id", "interaction_type", "direction", "external_interaction_id", "of_identity")
 
 
 @add("r13_unmapped_fields", "SELECT left(sha256('unmapped|' || event_type || '|s:' || event_id), 40) AS event_id, 'unmapped.' || event_type AS key, 'k' AS fields FROM events")
@@ -144,9 +163,14 @@ def a10_by(spark, d):
     return rollup.by_status(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@add("l3_message_page", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 50 OFFSET 100")
+@add("l3_message_page", "SELECT conv_id, turn, role FROM conversations ORDER BY turn DESC, conv_id DESC LIMIT 500 OFFSET 20")
 def l3(spark, d):
-    return table(spark, d, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).offset(100).limit(50).select("conv_id", "turn", "role")
+    return read.message_page(table(spark, d, "conversations"), "turn", ["conv_id"], limit=10_000, offset=20).select("conv_id", "turn", "role")
+
+
+@add("l3_message_page_ascending", "SELECT conv_id, turn, role FROM conversations ORDER BY turn, conv_id LIMIT 1")
+def l3_ascending(spark, d):
+    return read.message_page(table(spark, d, "conversations"), "turn", ["conv_id"], descending=False, limit=-5).select("conv_id", "turn", "role")
 
 
 @add("r10_conversations", """

@@ -71,10 +71,13 @@ def k11(spark, d):
     return merge.insert_new(o.where("o_orderkey % 2 = 1 AND o_orderstatus = 'O'"), o.where("o_orderkey % 2 = 0"), ["o_custkey", "o_orderpriority"], [F.col("o_orderkey")]).select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@add("k13_upsert_actions", "SELECT coalesce(s.o_orderkey, i.o_orderkey) AS o_orderkey, coalesce(i.o_totalprice, s.o_totalprice) AS o_totalprice, coalesce(s.o_orderdate, i.o_orderdate) AS o_orderdate FROM (SELECT * FROM orders WHERE o_orderstatus <> 'F') s FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 5 = 0) i ON s.o_orderkey = i.o_orderkey")
+@add("k13_upsert_actions", """
+SELECT coalesce(s.o_orderkey, i.o_orderkey) AS o_orderkey, coalesce(i.o_totalprice, s.o_totalprice) AS o_totalprice, coalesce(s.o_orderdate, i.o_orderdate) AS o_orderdate
+FROM (SELECT * FROM orders WHERE o_orderstatus <> 'F') s FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 5 = 0) i ON s.o_orderkey = i.o_orderkey
+""")
 def k13(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
-    new = o.where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), "o_orderdate")
+    new = o.where("o_orderstatus = 'F' OR o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), "o_orderdate")
     return merge.upsert(o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), new, ["o_orderkey"], {"o_totalprice": "set"})
 
 
@@ -117,11 +120,14 @@ def p3(spark, d):
     return read.where_given(tags(spark, d), tags__has="1-URGENT").where(F.size("tags") < 5).select("o_custkey", F.array_join("tags", ",").alias("tags"))
 
 
-@add("p8_case_filter", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus = 'F'")
+@add("p8_case_filter", "SELECT l_orderkey AS event_id, l_linenumber AS case_id, l_shipdate AS created_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_suppkey % 2 = 0 AND l_shipdate >= TIMESTAMP '1993-01-01' AND o_orderstatus = 'F'")
 def p8(spark, d):
-    cases = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'")
-    events = table(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderdate >= timestamp_ntz'1998-01-01'")
-    return cases.join(events, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderdate")
+    # a line is a case of its order's event, and the order's state the source
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("event_id"))
+    severity = F.when(F.col("l_suppkey") % 2 == 0, "high").otherwise("medium")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("case_id"), F.col("l_returnflag").alias("status"), F.col("l_linestatus").alias("case_type"), severity.alias("severity"), F.col("l_shipdate").alias("created_at"))
+    cases = lines.join(o, "event_id")
+    return read.cases_where(cases, o, status="R", case_type="F", severity="high", since="1993-01-01", source="F").select("event_id", "case_id", "created_at")
 
 
 @add("p9_workspace_isolation", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
@@ -241,7 +247,10 @@ def a15(spark, d):
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("kinds"))
 
 
-@add("a16_corpus", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS corpus FROM conversations WHERE text <> '' GROUP BY conv_id")
+@add("a16_corpus", """
+SELECT conv_id, string_agg(text, ' ' ORDER BY up > 10, CASE WHEN up <= 10 THEN up ELSE -up END) AS corpus FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down FROM conversations WHERE text <> '') WHERE up <= 10 OR down <= 50 GROUP BY conv_id
+""")
 def a16(spark, d):
     return rollup.corpus(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
@@ -320,6 +329,11 @@ def l1(spark, d):
     return read.sorted_page(c, "kind", ["kind", "c_custkey"], True, "c_custkey", page=24, size=50)
 
 
+@add("l2_clamped_page", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100")
+def l2(spark, d):
+    return read.page_of(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", ["c_custkey"], False, "c_name", page=0, size=1_000)
+
+
 @add("l4_keyset_by_id", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 500 ORDER BY c_custkey LIMIT 51")
 def l4(spark, d):
     return read.after(table(spark, d, "customer").select("c_custkey", "c_name"), [("c_custkey", False)], [500], 50)

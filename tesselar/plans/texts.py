@@ -49,10 +49,11 @@ _row_of("x8_platform", "CASE WHEN n = 6 THEN 'www.fretebras.com.br/x1' ELSE '' E
 _row_of("x9_roles", "CASE WHEN conv_id % 10 = 0 THEN 'grupo' WHEN n = 4 THEN 'motorista' ELSE '' END AS roles", lambda t: {"roles": T.roles(t, F.when(F.col("conv_id") % 10 == 0, "group:1").otherwise("5"), {"motorista": ["motorista", "chofer"]})})
 _row_of("x11_x12_self_declared", "CASE WHEN n = 1 THEN '12.345.678/0001-95' ELSE '' END AS own, CASE WHEN n = 5 THEN 'Horizonte' END AS affiliation", lambda t: {"own": T.self_declared_cnpjs(F.element_at(F.split(t, r" \| "), -1)), "affiliation": T.affiliation(F.element_at(F.split(t, r" \| "), -1))})
 
-# A contact is a conversation; its rules see the appended words of all its turns.
+# A contact is a conversation; its rules see its own texts and the appended words, of the ten first and fifty last messages.
+PICKED = f"(SELECT conv_id, turn, {N} AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 50)"
 SIGNS = f"""
-SELECT conv_id, count(*) AS messages, bool_or(n = 1) AS cnpj, bool_or(n = 2) AS cpf, bool_or(n = 3) AS quote, bool_or(n = 4) AS driver, bool_or(n = 6) AS platform, bool_or(n = 7) AS complaint, bool_or(n = 8) AS mail, conv_id % 11 = 0 AS grp
-FROM (SELECT conv_id, turn, {N} AS n FROM conversations) GROUP BY conv_id
+SELECT conv_id, any_value(messages) AS messages, bool_or(n = 1) AS cnpj, bool_or(n = 2) AS cpf, bool_or(n = 3) AS quote, bool_or(n = 4) AS driver, bool_or(n = 6) AS platform, bool_or(n = 7) AS complaint, bool_or(n = 8) AS mail, conv_id % 11 = 0 AS grp
+FROM {PICKED} JOIN (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id
 """
 KIND = "CASE WHEN grp THEN 'grupo' WHEN messages >= 20 AND quote THEN 'cliente' WHEN driver OR platform THEN 'motorista' WHEN quote THEN 'lead' ELSE 'desconhecido' END"
 SETTLED = "CASE WHEN platform AND NOT grp AND now IN ('desconhecido', 'lead', 'grupo') THEN 'motorista' WHEN list_position(ranks, kind) >= list_position(ranks, now) THEN kind ELSE now END"
@@ -60,11 +61,9 @@ SETTLED = f"(SELECT *, {SETTLED} AS settled FROM (SELECT *, {KIND} AS kind, CASE
 
 
 def contacts(spark, d):
-    """Contacts with the appended words as their text; conversations three or more so that regular ones are found."""
-    n = (F.col("conv_id") + F.col("turn")) % 9
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, TOLD)), (n + 1).cast("int")).alias("told"))
-    text = rollup.corpus(c, "conv_id", "turn", "told")
-    every = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages")).join(text, "conv_id", "left")
+    """Contacts with their messages and the appended words as their text; conversations three or more so that regular ones are found."""
+    c = rows(spark, d)
+    every = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages")).join(rollup.corpus(c, "conv_id", "turn", "told"), "conv_id", "left")
     i = F.col("conv_id")
     return every.select(
         "conv_id", F.when(i % 11 == 0, F.concat(F.lit("group:"), i)).otherwise(i.cast("string")).alias("contact_id"), F.coalesce("corpus", F.lit("")).alias("corpus"), "messages", F.lit(3).alias("conversations"), (i % 2 + 1).alias("accounts"),
@@ -96,9 +95,9 @@ def r5(spark, d):
 
 @add("r6_evidence", f"""
 SELECT conv_id, type, value, count(*) AS n FROM (
-  SELECT conv_id, 'cnpj' AS type, '12.345.678/0001-95' AS value FROM conversations WHERE {N} = 1
-  UNION ALL SELECT conv_id, 'cpf', '123.456.789-09' FROM conversations WHERE {N} = 2 UNION ALL SELECT conv_id, 'placa', 'abc-1d23' FROM conversations WHERE {N} = 2
-  UNION ALL SELECT conv_id, 'email', 'ana@firma.com.br' FROM conversations WHERE {N} = 8
+  SELECT conv_id, 'cnpj' AS type, '12.345.678/0001-95' AS value FROM {PICKED} WHERE n = 1
+  UNION ALL SELECT conv_id, 'cpf', '123.456.789-09' FROM {PICKED} WHERE n = 2 UNION ALL SELECT conv_id, 'placa', 'abc-1d23' FROM {PICKED} WHERE n = 2
+  UNION ALL SELECT conv_id, 'email', 'ana@firma.com.br' FROM {PICKED} WHERE n = 8
   UNION ALL SELECT conv_id, 'vehicle_type', 'carreta' FROM {SETTLED} WHERE driver UNION ALL SELECT conv_id, 'vehicle_body', 'baú' FROM {SETTLED} WHERE driver
   UNION ALL SELECT conv_id, 'intent', unnest({INTENTS}) FROM {SETTLED} UNION ALL SELECT conv_id, 'role', unnest({ROLES}) FROM {SETTLED}
   UNION ALL SELECT conv_id, 'tipo_relacionamento', settled FROM {SETTLED} WHERE settled <> 'desconhecido'

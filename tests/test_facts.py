@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tesselar.operators import extract, facts
 
 AT = dt.datetime(2024, 1, 1)
@@ -31,3 +33,30 @@ def test_experience_run(spark):
     runs = {r.run_id: r for r in facts.runs(valid).collect()}
     assert (runs["r"].status, runs["r"].person_id, runs["r"].answers, runs["r"].score, runs["r"].completed_at) == ("completed", "p1", 2, 87.0, AT + dt.timedelta(minutes=6))
     assert (runs["r2"].status, runs["r2"].answers, runs["r2"].score) == ("started", 0, None)
+
+
+def test_extracted_payloads(spark):
+    import json
+
+    rows = [("s", "1", AT, "55@s.whatsapp.net", None, False, "imageMessage", "meu email é ana@firma.com.br", "Ana"), ("s", "2", AT, "66@lid", None, False, None, None, None), ("s", "3", AT, "77@s.whatsapp.net", None, False, "conversation", "oi", "Eu")]
+    df = spark.createDataFrame(rows, CHAT + ", push_name string")
+    got = {(r.external_key, r.key): (r, json.loads(r.payload)) for r in extract.extract(df, ["+77"]).collect()}
+    r, p = got["1", None]
+    assert p["subject"]["identities"] == [{"type": "whatsapp_jid", "value": "+55"}] and p["context"] == {"channel": "whatsapp", "direction": "inbound"}
+    assert p["data"] == {"channel": "whatsapp", "direction": "inbound", "message_type": "imageMessage", "has_media": True, "external_interaction_id": "1", "source_ref": "s:1", "push_name": "Ana"}
+    r, p = got["1", "email"]
+    assert p["subject"]["identities"] == [{"type": "whatsapp_jid", "value": "+55"}, {"type": "email", "value": "ana@firma.com.br"}] and p["data"] == {"name": "Ana"}
+    r, p = got["1", "mentioned_email"]
+    assert p["data"] == {"key": "mentioned_email", "value": "ana@firma.com.br", "confidence": 0.5, "source_kind": "extracted", "source_ref": "s:1"}
+    # another kind of id, no media without a type; an own number is no identity, and its text tells nothing
+    assert got["2", None][1]["subject"]["identities"] == [{"type": "whatsapp_lid", "value": "+66"}] and got["2", None][1]["data"]["has_media"] is False
+    assert got["3", None][1]["subject"]["identities"] == [] and not any(k == "3" and key for k, key in got)
+
+
+def test_limits_of_pages(spark):
+    from tesselar.operators import read
+
+    df = spark.range(600).select("id", (F.col("id") % 7).alias("at"))
+    assert read.message_page(df, "at", ["id"], limit=9_000).count() == 500 and read.message_page(df, "at", ["id"], limit=-1).count() == 1
+    assert [r.id for r in read.message_page(df, "at", ["id"], descending=False, limit=2, offset=1).collect()] == [7, 14]
+    assert read.page_of(df, "id", ["id"], False, "id", size=1).count() == 5 and read.page_of(df, "id", ["id"], False, "id", page=-3, size=900).count() == 100
