@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
+from tesselar.operators import company_rounds
 from tesselar.operators.resolve import identity_keys, outcomes, persons
 from tesselar.operators.settle import groups_of, settled
 
@@ -120,32 +121,44 @@ def touched_companies(stored: DataFrame, events: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
-def resolved_companies(events: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: Rows of a block up to which it is folded in one task.
+LARGE = 100_000
+
+
+def resolved_companies(events: DataFrame, stored: DataFrame | None = None, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """((arrival, company, decision, matched_on, candidate_ids), (company, cnpj, domain, name)): what becomes of events (arrival, cnpj,
     domain, name), and the companies that they made or taught something. A company is named by the event that created it.
 
     CNPJ first, then the domain, then the name, the latter two only if one company has it; several are ambiguous and need a case; none makes a
     company. stored: companies of earlier batches, whose names come before all arrivals; only those are read that share a key with an event. The
     outcome depends on the order of arrival, but only of events that share keys through some chain, so blocks of these are
-    folded independently, streaming: a task holds a block's companies, not its events. A block is as large as its chains; its events
-    are decided one after the other, as the rules ask.
+    independent. A block of up to ``large`` rows is folded by one task, streaming, which holds its companies, not its events; larger ones
+    are worked out in rounds over all their events at once (``company_rounds``), where no key's rows meet in one task.
     """
     rows = company_keys(events).select("arrival", *BY).withColumn("stored", F.lit(False))
     if stored is not None:
         rows = settled(rows)
         rows = rows.unionByName(touched_companies(stored, rows).withColumnRenamed("company", "arrival").withColumn("stored", F.lit(True)))
     blocks = groups_of(rows.select("arrival", F.explode(key_list()).alias("key")), "arrival", "key")
-    placed = rows.join(blocks, "arrival", "left").withColumn("block", F.coalesce("block", "arrival"))
-    ordered = placed.repartition("block").sortWithinPartitions("block", "arrival")
-    folded = ordered.select("block", "stored", "arrival", *BY).mapInArrow(_folded, FOLDED)
-    if stored is not None:
-        folded = settled(folded)
-    return folded.where("arrival IS NOT NULL").select("arrival", "company", "decision", "matched_on", "candidate_ids"), folded.where("arrival IS NULL").select("company", *BY)
-
-
-def companies(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    placed = settled(rows.join(blocks, "arrival", "left").withColumn("block", F.coalesce("block", "arrival")))
+    huge = placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > large).select(F.col("block").alias("huge"))
+    any_huge = huge.limit(1).count() > 0
+    small = placed.join(huge, F.col("block") == F.col("huge"), "left_anti") if any_huge else placed
+    ordered = small.repartition("block").sortWithinPartitions("block", "arrival")
+    folded = settled(ordered.select("block", "stored", "arrival", *BY).mapInArrow(_folded, FOLDED))
+    told, states = folded.where("arrival IS NOT NULL").select("arrival", "company", "decision", "matched_on", "candidate_ids"), folded.where("arrival IS NULL").select("company", *BY)
+    if not any_huge:
+        return told, states
+    rest = placed.join(huge, F.col("block") == F.col("huge"), "left_semi")
+    found, changed, done = company_rounds.resolved(rest.where("NOT stored").select("arrival", *BY), rest.where("stored").select(F.col("arrival").alias("company"), *BY))
+    if not done:
+        raise RuntimeError("companies of a large block did not settle")
+    return told.unionByName(found), states.unionByName(changed)
+
+
+def companies(events: DataFrame, stored: DataFrame | None = None, large: int = LARGE) -> DataFrame:
     """(arrival, company, decision, matched_on, candidates) of events; see ``resolved_companies``."""
-    return resolved_companies(events, stored)[0].withColumn("candidates", F.size("candidate_ids")).drop("candidate_ids")
+    return resolved_companies(events, stored, large)[0].withColumn("candidates", F.size("candidate_ids")).drop("candidate_ids")
 
 
 def ambiguity_cases(resolved: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
@@ -45,6 +46,48 @@ def test_companies_equal_a_fold(spark):
     assert {d for _, d in want.values()} == {"created", "resolved", "ambiguous"}
 
 
+def adversarial(n):
+    """Each event's fate hangs on the one before: a chain of domains and names that are learnt one by one."""
+    rows = []
+    for i in range(n):
+        rows.append((3 * i, None, None, f"firm {i}"))
+        rows.append((3 * i + 1, f"{i:014d}" if i % 3 else None, f"d{i}.com", f"firm {i}"))
+        rows.append((3 * i + 2, f"{i + 500:014d}" if i % 2 else None, f"d{i}.com", f"firm {i + 1}" if i % 4 else None))
+    return [r for r in rows if any(r[1:])]
+
+
+@pytest.mark.parametrize("rows", ["random", "one domain", "chain"])
+def test_rounds_equal_the_fold(spark, rows):
+    rng = random.Random(9)
+    some = lambda p, n, f: f(rng.randrange(n)) if rng.random() < p else None
+    if rows == "random":
+        made = [(i, some(0.5, 14, lambda k: f"{k:014d}"), some(0.6, 9, lambda k: f"d{k}.com"), some(0.6, 9, lambda k: f"firm {k}")) for i in range(250)]
+    elif rows == "one domain":
+        made = [(i, some(0.4, 30, lambda k: f"{k:014d}"), "hot.com" if rng.random() < 0.7 else None, some(0.5, 20, lambda k: f"firm {k}")) for i in range(250)]
+    else:
+        made = adversarial(12)
+    made = [r for r in made if any(r[1:])]
+    want = folded(made)
+    df = spark.createDataFrame(made, SCHEMA).repartition(5)
+    got = companies.resolved_companies(df, large=0)
+    told = {r.arrival: r for r in got[0].collect()}
+    assert {a: (r.company, r.decision) for a, r in told.items()} == want
+    # what tasks fold and what rounds find is the same, candidates and companies included
+    fold = companies.resolved_companies(df)
+    assert {a: sorted(r.candidate_ids) for a, r in told.items()} == {r.arrival: sorted(r.candidate_ids) for r in fold[0].collect()}
+    assert sorted(map(str, got[1].collect())) == sorted(map(str, fold[1].collect()))
+
+
+def test_rounds_go_on_from_stored_companies(spark):
+    rng = random.Random(11)
+    some = lambda p, n, f: f(rng.randrange(n)) if rng.random() < p else None
+    rows = [r for r in [(i, some(0.4, 12, lambda k: f"{k:014d}"), some(0.6, 5, lambda k: f"d{k}.com"), some(0.6, 6, lambda k: f"firm {k}")) for i in range(160)] if any(r[1:])]
+    want, first = folded(rows), companies.resolved_companies(spark.createDataFrame([r for r in rows if r[0] < 80], SCHEMA))
+    stored = spark.createDataFrame(first[1].collect(), first[1].schema)
+    second = companies.resolved_companies(spark.createDataFrame([r for r in rows if r[0] >= 80], SCHEMA), stored, large=0)
+    assert {r.arrival: (r.company, r.decision) for r in second[0].collect()} == {a: w for a, w in want.items() if a >= 80}
+
+
 def test_company_cases(spark):
     rows = [
         (1, "12.345.678/0001-99", None, "ABC Ltda"), (2, "12345678000199", None, "ABC Industria"), (3, "11111111000111", "grupo.com.br", "Unidade A"), (4, "22222222000122", "https://www.Grupo.com.br/x", "Unidade B"),
