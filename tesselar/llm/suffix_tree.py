@@ -35,13 +35,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WordHash, bucket_bits, chunks, distinct, mix, pack_planes, packed_tables, parts_for, repeated, table, text_bytes, unpack_planes, unpacked_table
+from tesselar.llm.common import BASE, bucket_bits, chunks, distinct, mix, pack_planes, packed_tables, parts_for, repeated, table, text_bytes, unpack_planes, unpacked_table
 
 DEPTH, HEAD = 6, 3
 #: Training symbols after a candidate, and bits that a retained context saves on them.
@@ -71,6 +72,30 @@ def symbols(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.frombuffer(b"".join(parts), np.uint8), ends - sizes + depth, ends
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, inverse))
+
+
+def word_hashes(stream: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text) of a stream of ``symbols``: Rabin-Karp sums of hashed bytes modulo 2**64, taken from one
+    running sum and moved to a common place, then mixed."""
+    power, inverse = (x[: len(stream)] for x in _powers(1 << max(16, (len(stream) - 1).bit_length())))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(np.arange(1, 257, dtype=np.uint64) * BASE)[stream] * power)])
+    # ends of words in own symbols: a space, or the end of a text; lead-ins are end symbols, too
+    stops = np.flatnonzero((stream == SPACE) | (stream == END))
+    text = np.searchsorted(starts, stops, "right") - 1
+    own = (text >= 0) & (stops < ends[text])
+    stops, text = stops[own], text[own]
+    begins = np.append(0, stops[:-1] + 1)[: len(stops)]
+    begins = np.maximum(begins, starts[text])
+    word = stops > begins
+    a, b = begins[word], stops[word]
+    return mix((sums[b] - sums[a]) * inverse[a]), np.bincount(text[word], minlength=len(starts))
+
+
 class Counts:
     """Counts of 64-bit keys, merged every few parts so that a task holds few of them."""
 
@@ -236,6 +261,11 @@ def slice_grams(rows: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return g[starts], np.add.reduceat(np.where(key & np.uint64(1), c, 0), starts)
 
 
+def distinct_grams(rows: pa.Table, depth: int) -> np.ndarray:
+    """The distinct grams of a slice, sorted."""
+    return distinct(np.concatenate([distinct(grams(*symbols(text_bytes(part["text"].combine_chunks()), depth), depth)[0]) for part in chunks(rows.to_batches(), PART_BYTES)]))
+
+
 def _dealt(heads: Heads, g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of the sorted grams, their order by bucket)."""
     length = heads.lengths(g)
@@ -317,15 +347,15 @@ class GramTable:
             wrong = wrong[self.grams[out[wrong]] != g[wrong]]
         return out
 
-    def score_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        g, kind = grams(*symbols(texts, self.depth), self.depth)
+    def score_words(self, stream: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g, kind = grams(stream, starts, ends, self.depth)
         return per_word(self.logp[self.places(g)].astype(np.float64), kind)
 
 
-def mixture(model: GramTable, texts: list[bytes], lengths: np.ndarray, end_share: float) -> tuple[np.ndarray, np.ndarray]:
+def mixture(model: GramTable, told: tuple[np.ndarray, np.ndarray, np.ndarray], lengths: np.ndarray, end_share: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the log10 probability of its number of words, and of each word log10 of its tree probability over that
     of its stop."""
-    each, stop = model.score_words(texts)
+    each, stop = model.score_words(*told)
     stops = np.where(stop, math.log10(end_share), math.log10(1 - end_share))
     has = np.repeat(lengths > 0, np.maximum(lengths, 1))
     return lengths * math.log10(1 - end_share) + math.log10(end_share), (each - stops)[has]
@@ -365,7 +395,7 @@ def _counts(heads):
     """(kind, h, c): counts of word hashes (-1), and of the grams that are broadcast, by length of context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, depth, counts = WordHash(), heads.value.depth, {-1: Counts()}
+        depth, counts = heads.value.depth, {-1: Counts()}
 
         def ready(parts: int) -> Iterator[pa.RecordBatch]:
             for kind, held in counts.items():
@@ -373,9 +403,9 @@ def _counts(heads):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(c)], ["kind", "h", "c"])
 
         for part in chunks(batches, PART_BYTES):
-            texts = text_bytes(part["text"].combine_chunks())
-            counts[-1].add(word_hash.of(b" ".join(texts).lower().split()))
-            for d, g in heads.value.counted(grams(*symbols(texts, depth), depth)[0]):
+            told = symbols(text_bytes(part["text"].combine_chunks()), depth)
+            counts[-1].add(word_hashes(*told)[0])
+            for d, g in heads.value.counted(grams(*told, depth)[0]):
                 counts.setdefault(d, Counts()).add(g)
             yield from ready(MERGE_EVERY)
         yield from ready(1)
@@ -390,19 +420,17 @@ def _scored(heads, often: np.ndarray, counts: np.ndarray, bits: int, ends: int,
 
     def run(blob: pa.Table, found: pa.Table) -> pa.Table:
         rows, depth = unpacked_table(blob["rows"][0]), heads.value.depth
-        g, _ = slice_grams(rows, depth)
+        g = distinct_grams(rows, depth)
         _, order = _dealt(heads.value, g, bits)
         found = found.sort_by("bucket")
         logp = np.empty(len(g), np.float32)
         logp[order] = np.concatenate([unpack_planes(x.as_py(), n, np.float32)[0] for n, x in zip(found["n"].to_pylist(), found["logp"])])
-        word_hash, model = WordHash(), GramTable(depth, g, logp)
+        model = GramTable(depth, g, logp)
         logs, out = np.append(np.log10(counts + 1.0), 0.0), []
         for turn, part in enumerate(chunks(rows.to_batches(), PART_BYTES)):
-            texts = text_bytes(part["text"].combine_chunks())
-            words = [t.lower().split() for t in texts]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            h = np.concatenate([word_hash.of(w) for w in words])
-            alone, ratio = mixture(model, texts, lengths, end_share)
+            told = symbols(text_bytes(part["text"].combine_chunks()), depth)
+            h, lengths = word_hashes(*told)
+            alone, ratio = mixture(model, told, lengths, end_share)
             hit = _among(h, often)
             at = np.full(len(h), len(often))
             at[hit] = np.searchsorted(often, h[hit])
@@ -420,7 +448,7 @@ def _scored(heads, often: np.ndarray, counts: np.ndarray, bits: int, ends: int,
             own = [keys, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), known.astype(np.uint8), train.astype(np.uint8)]
             own += [lengths + 1, per_text(logs[at]) + math.log10(ends + 1), per_text(hit.astype(np.int64)) + (ends > 0), alone + per_text(gain)]
             out.append((int(mix(keys[:1].view(np.uint64))[0] >> np.uint64(64 - bits)), 0, len(keys), pack_planes(*own), None))
-            d = np.repeat(np.arange(len(words)), lengths)[~hit]
+            d = np.repeat(np.arange(len(lengths)), lengths)[~hit]
             h, r = h[~hit], ratio[~hit].astype(np.float32)
             order = np.argsort(h)
             h, d, r = h[order], d[order], r[order]
