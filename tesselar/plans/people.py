@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
-from tesselar.operators import companies, extract, facts, ingest, merge, read, windows
+from tesselar.operators import companies, extract, facts, ingest, merge, read, reports, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources import tables
 from tesselar.sources.tables import table
@@ -217,15 +217,15 @@ def j7(spark, d):
 
 @add("j8_runs_of_experiences", "SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING') WHERE rank <= 2")
 def j8(spark, d):
-    experiences = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return windows.ranked(table(spark, d, "orders").join(experiences, "o_custkey"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey", "rank")
+    experiences = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey")
+    runs = reports.joined(table(spark, d, "orders"), experiences, {"o_custkey": "c_custkey"})
+    return windows.ranked(runs, ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey", "rank")
 
 
 @add("j10_cases_with_events", "SELECT o_orderkey, o_orderstatus, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND c_mktsegment = 'MACHINERY'")
 def j10(spark, d):
-    cases = read.where_given(table(spark, d, "orders"), o_orderstatus="P")
-    events = read.where_given(table(spark, d, "customer"), c_mktsegment="MACHINERY")
-    return cases.join(events, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "c_name")
+    cases, events = read.where_given(table(spark, d, "orders"), o_orderstatus="P"), read.where_given(table(spark, d, "customer"), c_mktsegment="MACHINERY")
+    return reports.joined(cases, events, {"o_custkey": "c_custkey"}).select("o_orderkey", "o_orderstatus", "c_name")
 
 
 @add("j19_in_order", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (42, 7, 1000, 3) ORDER BY list_position([42, 7, 1000, 3], c_custkey)")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
-from tesselar.operators import merge, read, rollup, windows
+from tesselar.operators import merge, read, reports, rollup, windows
 from tesselar.plans.registry import Registry
 from tesselar.sources import tables
 from tesselar.sources.tables import table
@@ -60,7 +60,7 @@ def s9(spark, d):
 
 @add("s11_point_lookup", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 77")
 def s11(spark, d):
-    return table(spark, d, "customer").where(F.col("c_custkey") == 77).select("c_custkey", "c_name", "c_acctbal")
+    return reports.lookup(table(spark, d, "customer"), "c_custkey", 77).select("c_custkey", "c_name", "c_acctbal")
 
 
 
@@ -144,21 +144,19 @@ def j1(spark, d):
 
 @add("j6_identity_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '2-HIGH')")
 def j6(spark, d):
-    ids = table(spark, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '2-HIGH'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(ids, "c_custkey", "left_semi").select("c_custkey")
+    ids = table(spark, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '2-HIGH'")
+    return reports.held_by(table(spark, d, "customer"), ids, {"c_custkey": "o_custkey"}).select("c_custkey")
 
 
 @add("j9_results_of_person_runs", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def j9(spark, d):
-    runs = table(spark, d, "orders").select("o_orderkey")
-    return table(spark, d, "lineitem").join(runs, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return reports.joined(table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey"), {"l_orderkey": "o_orderkey"}).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @add("j13_source_dictionary", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def j13(spark, d):
-    # nation and region are dictionaries of fixed size; others join by Spark's own choice
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
-    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
+    n = reports.named(table(spark, d, "nation"), table(spark, d, "region"), {"n_regionkey": "r_regionkey"}).select("n_nationkey", "n_name", "r_name")
+    return reports.named(table(spark, d, "customer"), n, {"c_nationkey": "n_nationkey"}).select("c_custkey", "n_name", "r_name")
 
 
 # an equi-join in SQL too: starts_with over both whole tables would compare all pairs
@@ -200,15 +198,12 @@ def a5(spark, d):
 
 @add("a6_enrichment_status", "SELECT (SELECT count(*) FROM customer) AS contacts, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS enriched, (SELECT count(*) FROM customer) - (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS pending, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS opportunities, (SELECT max(o_orderdate) FROM orders) AS last_run")
 def a6(spark, d):
-    c = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("contacts"), F.count_if(F.col("c_acctbal") > 0).alias("enriched"))
-    o = table(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("opportunities"), F.max("o_orderdate").alias("last_run"))
-    return c.withColumn("pending", F.col("contacts") - F.col("enriched")).crossJoin(o)
+    return reports.enrichment_status(table(spark, d, "customer"), F.col("c_acctbal") > 0, table(spark, d, "orders"), F.col("o_orderstatus") == "O", "o_orderdate")
 
 
 @add("a7_contacts_by_type", "SELECT nullif(c_mktsegment, 'BUILDING') AS kind, count(*) AS n FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NOT NULL GROUP BY 1 ORDER BY n DESC, kind")
 def a7(spark, d):
-    c = table(spark, d, "customer").select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("kind")).where("kind IS NOT NULL")
-    return c.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind")
+    return reports.by_type(table(spark, d, "customer"), F.nullif("c_mktsegment", F.lit("BUILDING")))
 
 
 @add("a8_top_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag ORDER BY n DESC, tag LIMIT 15")
@@ -218,8 +213,7 @@ def a8(spark, d):
 
 @add("a9_action_summary", "SELECT o_orderpriority AS kind, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_orderstatus = 'F') AS finished, max(o_orderdate) AS last_at FROM orders GROUP BY 1")
 def a9(spark, d):
-    s = F.col("o_orderstatus")
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("pending"), F.count_if(s == "F").alias("finished"), F.max("o_orderdate").alias("last_at"))
+    return reports.summary(table(spark, d, "orders"), F.col("o_orderpriority"), F.col("o_orderstatus"), {"open": "O", "pending": "P", "finished": "F"}, "o_orderdate")
 
 
 @add("a11_source_health", f"SELECT s.user_id, last_at, coalesce(recent, 0) AS recent, coalesce(recent_failed, 0) AS recent_failed, coalesce(recent, 0) > 0 AS feeding FROM (SELECT c_custkey AS user_id FROM customer) s LEFT JOIN (SELECT user_id, max(ts) AS last_at, count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS) AS recent, count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS AND event_type = 'error') AS recent_failed FROM events GROUP BY user_id) e ON s.user_id = e.user_id")
@@ -231,20 +225,19 @@ def a11(spark, d):
 @add("a12_paged_total", "SELECT c_custkey, count(*) OVER () AS total FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_custkey LIMIT 20 OFFSET 20")
 def a12(spark, d):
     rows = table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")
-    # the count is an aggregate of its own, combined in tasks, not a window over all rows
-    return rows.orderBy("c_custkey").offset(20).limit(20).crossJoin(rows.agg(F.count(F.lit(1)).alias("total")))
+    return reports.with_total(rows, read.sorted_page(rows, "c_custkey", ["c_custkey"], False, "c_custkey", page=2, size=20))
 
 
 @add("a13_batch_premerge", "SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'error') AS name, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id")
 def a13(spark, d):
-    named = F.when(F.col("event_type") != "error", F.col("event_id"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", named).alias("name"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    e = table(spark, d, "events").withColumn("name", F.when(F.col("event_type") != "error", F.col("event_type")))
+    return reports.premerged(e, "user_id", "name", "event_id", "ts")
 
 
 @add("a15_distinct_evidence_types", "SELECT o_custkey, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), ',') AS kinds FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def a15(spark, d):
-    l, o = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("kinds"))
+    rows = reports.joined(table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey"), {"l_orderkey": "o_orderkey"})
+    return reports.distinct_types(rows, "o_custkey", F.concat("l_returnflag", "l_linestatus")).select("o_custkey", F.array_join("kinds", ",").alias("kinds"))
 
 
 @add("a16_corpus", """
@@ -270,14 +263,14 @@ def a17_differences(spark, d):
 
 @add("a18_evidence_counts", "SELECT o_custkey, l_returnflag, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def a18(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    rows = reports.joined(table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey"), {"l_orderkey": "o_orderkey"})
+    return reports.counts(rows, "o_custkey", "l_returnflag")
 
 
 @add("a19_dashboard", "SELECT count(*) FILTER (n > 70) AS feeding, count(*) FILTER (bad > 0) AS with_errors, CASE WHEN sum(n) = 0 THEN 0 ELSE round(100.0 * sum(n - bad) / sum(n), 1) END AS percent FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY user_id)")
 def a19(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
-    return e.agg(F.count_if(F.col("n") > 70).alias("feeding"), F.count_if(F.col("bad") > 0).alias("with_errors"), F.when(F.sum("n") == 0, 0.0).otherwise(F.round(100.0 * F.sum(F.col("n") - F.col("bad")) / F.sum("n"), 1)).alias("percent"))
+    return reports.dashboard(e, F.col("n") > 70)
 
 
 @add("w1_latest_observations", "SELECT user_id, event_type, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1) WHERE rank <= 20")
@@ -366,7 +359,7 @@ def l11(spark, d):
 @add("u1_union_distinct", f"SELECT user_id, event_type FROM {BEFORE} UNION SELECT user_id, event_type FROM {SINCE}")
 def u1(spark, d):
     before, since = (e.select("user_id", "event_type") for e in sides(spark, d))
-    return before.unionByName(since).distinct()
+    return reports.union_once(before, since)
 
 
 @add("k3_insert_ignore", f"SELECT min(event_id) AS event_id, user_id, event_type FROM {SINCE} WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM {BEFORE}) GROUP BY user_id, event_type")
