@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,23 +108,6 @@ def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES, name: str
     give_back()
 
 
-class WordHash(dict):
-    """64-bit hash of a word, kept for words seen again; cleared when it grows beyond a bound."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (the public splitmix64 constants)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -135,6 +119,54 @@ def mix(h: np.ndarray) -> np.ndarray:
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes that are hashed at a time; a task keeps two tables of as many numbers.
+HASHED = 1 << 20
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64, for i up to n."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, inverse))
+
+
+def letters(lower: bool = False) -> np.ndarray:
+    """A 64-bit number for each byte; with ``lower`` A-Z have those of a-z."""
+    made = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+    if lower:
+        made[65:91] = made[97:123]
+    return made
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, number of words of each text), words being runs without ASCII white space. Rabin-Karp sums of the bytes' numbers, taken from one
+    running sum, moved to a common place and mixed; no word becomes a Python object. Long runs of texts are hashed in pieces that end at white space."""
+    joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    edges = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    number, hashes, starts, at = letters(lower), [], [], 0
+    while at < len(joined):
+        end = min(len(joined), at + HASHED)
+        stops = np.flatnonzero(_SPACES[joined[at:end]])
+        # the last white space in reach, else the next one: a word is never cut
+        while not len(stops):
+            stops, end = np.flatnonzero(_SPACES[joined[end : end + HASHED]]) + end - at, min(len(joined), end + HASHED)
+            stops = stops[:1]
+        end = at + int(stops[-1]) + 1
+        piece = joined[at:end]
+        power, inverse = powers(1 << max(16, (len(piece) - 1).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[piece] * power[: len(piece)])])
+        space = _SPACES[piece]
+        a = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        b = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+        hashes.append(mix((sums[b] - sums[a]) * inverse[a]))
+        starts.append(a + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges), prepend=0)
+
+
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
     """Rabin-Karp hash of each k consecutive word hashes: sum of w[i+j] * BASE**(k-1-j) modulo 2**64, mixed."""
     n = len(words) - k + 1

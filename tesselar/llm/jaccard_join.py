@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import BASE, CHUNK_BYTES, WordHash, bucket_bits, corpus_size, counted, distinct, fresh, mix, pack_planes, packed_tables, parts_for, rolling, shared_checkpoint, table, text_bytes, unpack_planes, unpacked_table
+from tesselar.llm.common import BASE, CHUNK_BYTES, bucket_bits, corpus_size, counted, distinct, fresh, mix, pack_planes, packed_tables, parts_for, rolling, shared_checkpoint, table, text_bytes, unpack_planes, unpacked_table, word_hashes
 from tesselar.llm.components import connected_components
 
 SHINGLE = 5
@@ -51,16 +51,14 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def shingle_sets(texts: list[bytes], word_hash: WordHash, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, document) of distinct shingles sorted by hash, and each document's size and the digest of its set."""
-    words = [t.lower().split() for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.concatenate([word_hash.of(w) for w in words]) if words else np.empty(0, np.uint64)
+    flat, lengths = word_hashes(texts, lower=True)
     ends = np.cumsum(lengths)
     room = np.repeat(ends, lengths) - np.arange(len(flat))
     at = np.flatnonzero(room >= k)
     h = rolling(flat, k)[at] if len(at) else np.empty(0, np.uint64)
-    d = np.repeat(np.arange(len(words)), lengths)[at].astype(np.int32)
+    d = np.repeat(np.arange(len(texts)), lengths)[at].astype(np.int32)
     short = np.flatnonzero((lengths > 0) & (lengths < k))
     if len(short):
         whole = np.zeros(len(short), np.uint64)
@@ -79,11 +77,11 @@ def shingle_sets(texts: list[bytes], word_hash: WordHash, k: int) -> tuple[np.nd
         h[runs], d[runs] = h[fix], d[fix]
         keep = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
         h, d = h[keep], d[keep]
-    size = np.bincount(d, minlength=len(words))
+    size = np.bincount(d, minlength=len(texts))
     by_doc = np.argsort(d, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(words) else np.empty(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(texts) else np.empty(0, np.int64)
     total = np.concatenate([[0], np.cumsum(mix(h[by_doc] ^ BASE))]).astype(np.uint64)
-    digest = mix(total[starts + size] - total[starts] + size.astype(np.uint64)) if len(words) else np.empty(0, np.uint64)
+    digest = mix(total[starts + size] - total[starts] + size.astype(np.uint64)) if len(texts) else np.empty(0, np.uint64)
     return h, d, size, digest
 
 
@@ -96,8 +94,8 @@ def _cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int]]:
 class Chunk:
     """The sets of one slice: (hash, place) of distinct shingles sorted by hash, and each set's name, size and number of documents with an id."""
 
-    def __init__(self, rows: pa.Table, word_hash: WordHash, k: int):
-        h, d, size, digest = shingle_sets(text_bytes(rows["text"].combine_chunks()), word_hash, k)
+    def __init__(self, rows: pa.Table, k: int):
+        h, d, size, digest = shingle_sets(text_bytes(rows["text"].combine_chunks()), k)
         known = np.asarray(rows["doc_id"].combine_chunks().is_valid())
         self.doc_sizes, self.doc_sets = size, digest
         # one document with an id for each set
@@ -123,10 +121,9 @@ class Chunk:
 
 def _asked(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = WordHash()
         for batch in batches:
             for number, blob in zip(batch.column("slice").to_pylist(), batch.column("rows")):
-                bucket, n, hashes, counts = zip(*Chunk(unpacked_table(blob), word_hash, k).asked(bits) or [(-1, 0, b"", b"")])
+                bucket, n, hashes, counts = zip(*Chunk(unpacked_table(blob), k).asked(bits) or [(-1, 0, b"", b"")])
                 columns = [pa.array(bucket, pa.int64()), pa.array([number] * len(bucket), pa.int64()), pa.array(n, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "slice", "n", "hashes", "counts"])
 
@@ -168,7 +165,7 @@ def _prefixes(k: int, percent: int, bits: int):
         """One slice: each document's set and size; and of each set that the slice has first, if enough of its shingles are shared, these, sorted
         (``members``), and as ``keys`` the rarest of them that are its short lists."""
         rows = unpacked_table(blob["rows"][0])
-        chunk = Chunk(rows, WordHash(), k)
+        chunk = Chunk(rows, k)
         n = rows.num_rows
         columns = [pa.array(chunk.doc_sets.view(np.int64)), pa.array(chunk.doc_sizes, pa.int64()), rows["doc_id"], pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))]
         out = [pa.table(columns, schema=SET)]
