@@ -28,11 +28,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import WordHash, bucket_bits, chunks, corpus_size, fresh, inside, lists, mix, pack_planes, rolling, table, text_bytes, unpack_planes
+from tesselar.llm.common import CHUNK_BYTES, bucket_bits, chunks, corpus_size, fresh, inside, lists, mix, pack_planes, parts_for, rolling, table, text_bytes, unpack_planes, word_hashes
 
 WINDOW = 13
 #: Stands for a null doc_id: after all documents.
 LAST = np.iinfo(np.int64).max
+#: Bits of buckets that a chunk's entries are cut into directly; beyond these it is COARSE bits first, then STEP more at a time from MERGED chunks together.
+DIRECT, COARSE, STEP, MERGED = 13, 9, 8, 256
 ENTRY = "bucket long, n int, m int, docs binary, entries binary, doc_id long, tag long, hashes array<long>"
 HITS = "doc_id long, tag long, hashes array<long>"
 
@@ -67,53 +69,89 @@ def _hits(docs: np.ndarray, tags: np.ndarray, hashes: np.ndarray) -> tuple[np.nd
     return docs[starts], tags[starts], lists(starts, hashes.view(np.int64), pa.int64())
 
 
+def _dealt(h: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows for entries of hash and document (a place in ids and tags, which are sorted): one entry for each hash, that of its smallest document, packed by
+    bucket; and the hits of the other documents, which are known."""
+    schema = _entry_schema()
+    order = np.argsort(h)
+    h, d = h[order], doc[order]
+    first = np.append(True, h[1:] != h[:-1])
+    starts = np.flatnonzero(first)
+    least = np.minimum.reduceat(d, starts)
+    group = np.cumsum(first) - 1
+    known = ids[d] > ids[least[group]]
+    if known.any():
+        docs, tag, found = _hits(ids[d[known]], tags[d[known]], h[known])
+        n = len(docs)
+        none = pa.nulls(n, pa.int32())
+        target = mix(docs.view(np.uint64) ^ tag.view(np.uint64)) >> np.uint64(60 - bits)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - target.astype(np.int64)), none, none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(docs), pa.array(tag), found], schema=schema)
+    # rows without a doc_id are later than all others but not than each other, so each sends its own
+    last = ids[least] == LAST
+    sent = first | last[group]
+    h, d = h[sent], np.where(last[group], d, least[group])[sent]
+    bucket = h >> np.uint64(64 - bits)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    rows = []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]):
+        # a row names only the documents that its entries use
+        used, place = np.unique(d[a:b], return_inverse=True)
+        rows.append((b - a, len(used), pack_planes(ids[used], tags[used]), pack_planes(h[a:b], place.astype(_place_kind(len(used))))))
+    n, m, names, packed = zip(*rows)
+    none = pa.nulls(len(rows), pa.int64())
+    columns = [pa.array(bucket[cut].astype(np.int64)), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary()), none, none, pa.nulls(len(rows), pa.list_(pa.int64()))]
+    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _place_kind(named: int) -> type:
+    return np.uint16 if named <= 1 << 16 else np.uint32
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc_id, tag) of the entries of packed rows."""
+    hs, ds, ts = [], [], []
+    for n, m, docs, entries in zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["docs"], rows["entries"]):
+        names, tags = unpack_planes(docs.as_py(), m, np.int64, np.int64)
+        h, d = unpack_planes(entries.as_py(), n, np.uint64, _place_kind(m))
+        hs.append(h)
+        ds.append(names[d])
+        ts.append(tags[d])
+    return np.concatenate(hs), np.concatenate(ds), np.concatenate(ts)
+
+
 def _entries(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, schema = WordHash(), _entry_schema()
         for part in chunks(batches):
             ids, tags = _keys(part)
             texts = text_bytes(part["text"])
             by_id = np.lexsort((tags, ids))
-            words = [texts[i].split() for i in by_id]
+            flat, lengths = word_hashes([texts[i] for i in by_id])
             ids, tags = ids[by_id], tags[by_id]
             own = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))
             doc, uniq, tags = np.cumsum(own) - 1, ids[own], tags[own]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            flat = np.concatenate([word_hash.of(w) for w in words]) if len(words) else np.empty(0, np.uint64)
             at = inside(lengths, window)
             if not len(at):
                 continue
             h = rolling(flat, window)[at]
             d = np.repeat(doc, lengths)[at].astype(np.int32)
-            del words, texts, flat
-            order = np.argsort(h)
-            h, d = h[order], d[order]
-            first = np.append(True, h[1:] != h[:-1])
-            starts = np.flatnonzero(first)
-            least = np.minimum.reduceat(d, starts)
-            group = np.cumsum(first) - 1
-            known = uniq[d] > uniq[least[group]]
-            if known.any():
-                docs, tag, found = _hits(uniq[d[known]], tags[d[known]], h[known])
-                n = len(docs)
-                none = pa.nulls(n, pa.int32())
-                target = mix(docs.view(np.uint64) ^ tag.view(np.uint64)) >> np.uint64(60 - bits)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - target.astype(np.int64)), none, none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(docs), pa.array(tag), found], schema=schema)
-            # rows without a doc_id are later than all others but not than each other, so each sends its own
-            last = uniq[least] == LAST
-            sent = first | last[group]
-            h, d = h[sent], np.where(last[group], d, least[group])[sent]
-            bucket = h >> np.uint64(64 - bits)
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]):
-                # a row names only the documents that its entries use
-                used, place = np.unique(d[a:b], return_inverse=True)
-                rows.append((b - a, len(used), pack_planes(uniq[used], tags[used]), pack_planes(h[a:b], place.astype(np.uint16))))
-            n, m, names, packed = zip(*rows)
-            none = pa.nulls(len(rows), pa.int64())
-            columns = [pa.array(bucket[cut].astype(np.int64)), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary()), none, none, pa.nulls(len(rows), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            del texts, flat
+            yield from _dealt(h, uniq, tags, d, bits)
+
+    return run
+
+
+def _finer(bits: int):
+    """Rows of one coarse bucket from several chunks as rows of finer buckets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        if rows["bucket"][0].as_py() < 0:
+            return rows.select(_entry_schema().names)
+        h, docs, tags = _unpacked(rows)
+        order = np.lexsort((tags, docs))
+        h, docs, tags = h[order], docs[order], tags[order]
+        own = np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))
+        return pa.Table.from_batches(_dealt(h, docs[own], tags[own], (np.cumsum(own) - 1).astype(np.int32), bits), _entry_schema())
 
     return run
 
@@ -126,15 +164,7 @@ def _count(rows: pa.Table) -> pa.Table:
         times, hashes = pa.compute.list_value_length(rows["hashes"]).to_numpy(), pa.compute.list_flatten(rows["hashes"]).to_numpy()
         docs, tags, found = _hits(np.repeat(rows["doc_id"].to_numpy(), times), np.repeat(rows["tag"].to_numpy(), times), hashes.view(np.uint64))
         return pa.table({"doc_id": pa.array(docs), "tag": pa.array(tags), "hashes": found})
-    hs, ds, ts = [], [], []
-    for n, m, docs, entries in zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["docs"], rows["entries"]):
-        names, tags = unpack_planes(docs.as_py(), m, np.int64, np.int64)
-        h, d = unpack_planes(entries.as_py(), n, np.uint64, np.uint16)
-        hs.append(h)
-        ds.append(names[d])
-        ts.append(tags[d])
-    h, d, t = np.concatenate(hs), np.concatenate(ds), np.concatenate(ts)
-    del hs, ds, ts
+    h, d, t = _unpacked(rows)
     order = np.argsort(h)
     h, d, t = h[order], d[order], t[order]
     first = np.append(True, h[1:] != h[:-1])
@@ -145,10 +175,22 @@ def _count(rows: pa.Table) -> pa.Table:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """(doc_id, tag, hits): hashes of the document's windows that also start in a smaller doc_id; see ``_keys``."""
+    """(doc_id, tag, hits): hashes of the document's windows that also start in a smaller doc_id; see ``_keys``.
+
+    A chunk's entries are cut into DIRECT bits of buckets at most, so that a row has many entries. A corpus that needs more buckets has its rows of one coarse bucket, of
+    some MERGED chunks at a time, cut again, STEP bits finer, as often as needed; what these chunks share is one entry from there on."""
     if bits is None:
         bits = bucket_bits(corpus_size(docs)[1] // 6, docs.sparkSession)
-    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_entries(window, bits), ENTRY)
+    cut = bits if bits <= DIRECT else COARSE
+    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_entries(window, cut), ENTRY)
+    chunk_count = parts_for(corpus_size(docs)[1], CHUNK_BYTES) if cut < bits else 1
+    while cut < bits:
+        finer = min(bits, cut + STEP)
+        groups = max(1, -(-chunk_count // MERGED))
+        # a row's group is told by its own bytes, so that it is the same when the row is made again
+        salted = entries.withColumn("salt", F.when(F.col("bucket") >= 0, F.pmod(F.xxhash64("entries"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(groups))))
+        entries = salted.groupBy("bucket", "salt").applyInArrow(_finer(finer), ENTRY)
+        cut, chunk_count = finer, groups
     hits = entries.groupBy("bucket").applyInArrow(_count, HITS)
     # at most one row a bucket for a document, each hash in at most two
     return hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("hashes")).alias("hits"))
@@ -174,7 +216,7 @@ def _cleaned(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z, word_hash = zstandard.ZstdDecompressor(), WordHash()
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             hits_at = batch.schema.get_field_index("hits")
@@ -183,7 +225,7 @@ def _cleaned(window: int):
                 words = (text or b"").split()
                 covered, spans = np.zeros(len(words), bool), []
                 if hits.is_valid and len(words) >= window:
-                    starts = np.isin(rolling(word_hash.of(words), window), hits.values.to_numpy().view(np.uint64))
+                    starts = np.isin(rolling(word_hashes([text])[0], window), hits.values.to_numpy().view(np.uint64))
                     edge = np.zeros(len(words) + 1, np.int64)
                     at = np.flatnonzero(starts)
                     edge[at] += 1

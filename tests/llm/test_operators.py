@@ -573,11 +573,51 @@ def test_poisson_edges(docs, none):
     assert poisson_mix.poisson_mix(docs, {"zzz": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("merged", [1, 2, 256])
+def test_substring_finer_buckets(spark, monkeypatch, docs, merged):
+    monkeypatch.setattr(substring_dedup, "MERGED", merged)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2_000)
+    rows = docs.repartition(4)
+    result = lambda bits: sorted(map(str, substring_dedup.substring_dedup(rows, window=5, bits=bits).select("doc_id", "text", "n_words", "n_removed", "kept_sha256").collect()))
+    assert result(20) == result(6) == result(30)
+
+
+def test_substring_bytes_follow_the_entries_at_any_number_of_buckets():
+    """Chunks of real texts: what the first cut and the finer ones send, against few buckets."""
+    import pyarrow as pa
+
+    chunk = chunk_table()
+    parts = [chunk.slice(i * len(chunk) // 8, len(chunk) // 8) for i in range(8)]
+    size = lambda batches: sum(len(x.as_py()) + 40 for b in batches for c in ("docs", "entries") for x in b[c] if x.is_valid)
+    coarse = [b for p in parts for b in substring_dedup._entries(13, 6)(iter([p]))]
+    rows = pa.Table.from_batches(coarse)
+    packed_rows = rows.filter(pa.compute.greater_equal(rows["bucket"], 0))
+    finer = [b for k in sorted(set(packed_rows["bucket"].to_pylist())) for b in substring_dedup._finer(9)(packed_rows.filter(pa.compute.equal(packed_rows["bucket"], k))).to_batches()]
+    assert size(finer) < 1.5 * size(coarse)
+    few, direct = size(coarse), size([b for p in parts for b in substring_dedup._entries(13, 20)(iter([p]))])
+    assert direct > 3 * few
+
+
 def test_substring_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, BASE), (2, BASE)], "doc_id long, text string").select("*", *[F.lit(5).alias(c) for c in ("key", "tag", "key_hit", "tag_hit", "key_")])
     assert {(r.key, r.tag, r.key_hit, r.tag_hit, r.key_) for r in substring_dedup.substring_dedup(df).collect()} == {(5,) * 5}
 
 
+@pytest.mark.parametrize("held", [5, 64, 4 << 20])
+def test_word_hashes_tell_words_apart(monkeypatch, held):
+    from tesselar.llm import common
+
+    monkeypatch.setattr(common, "HASHED", held)
+    rng = np.random.default_rng(held)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["a", "B", "ß", " ", "\n", "\t", "\x0b", "\x1f", "漢", "zz"], rng.integers(0, 40))).encode() for _ in range(rng.integers(0, 6))]
+        for lower in (False, True):
+            words = [(t.lower() if lower else t).split() for t in texts]
+            h, n = common.word_hashes(texts, lower)
+            flat = [w for ws in words for w in ws]
+            assert n.tolist() == [len(ws) for ws in words] and len(h) == len(flat) and len(set(zip(h.tolist(), flat))) == len(set(flat)) == len(set(h.tolist()))
+
+
 # ---- bytes and long texts
 
 
