@@ -35,14 +35,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import BASE, bucket_bits, chunks, distinct, mix, pack_planes, packed_tables, parts_for, repeated, table, text_bytes, unpack_planes, unpacked_table
+from tesselar.llm.common import bucket_bits, chunks, distinct, mix, pack_planes, packed_tables, parts_for, repeated, table, text_bytes, unpack_planes, unpacked_table, word_hashes
 
 DEPTH, HEAD = 6, 3
 #: Training symbols after a candidate, and bits that a retained context saves on them.
@@ -72,30 +71,6 @@ def symbols(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.frombuffer(b"".join(parts), np.uint8), ends - sizes + depth, ends
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, inverse))
-
-
-def word_hashes(stream: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text) of a stream of ``symbols``: Rabin-Karp sums of hashed bytes modulo 2**64, taken from one
-    running sum and moved to a common place, then mixed."""
-    power, inverse = (x[: len(stream)] for x in _powers(1 << max(16, (len(stream) - 1).bit_length())))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(np.arange(1, 257, dtype=np.uint64) * BASE)[stream] * power)])
-    # ends of words in own symbols: a space, or the end of a text; lead-ins are end symbols, too
-    stops = np.flatnonzero((stream == SPACE) | (stream == END))
-    text = np.searchsorted(starts, stops, "right") - 1
-    own = (text >= 0) & (stops < ends[text])
-    stops, text = stops[own], text[own]
-    begins = np.append(0, stops[:-1] + 1)[: len(stops)]
-    begins = np.maximum(begins, starts[text])
-    word = stops > begins
-    a, b = begins[word], stops[word]
-    return mix((sums[b] - sums[a]) * inverse[a]), np.bincount(text[word], minlength=len(starts))
-
-
 class Counts:
     """Counts of 64-bit keys, merged every few parts so that a task holds few of them."""
 
@@ -403,9 +378,9 @@ def _counts(heads):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(c)], ["kind", "h", "c"])
 
         for part in chunks(batches, PART_BYTES):
-            told = symbols(text_bytes(part["text"].combine_chunks()), depth)
-            counts[-1].add(word_hashes(*told)[0])
-            for d, g in heads.value.counted(grams(*told, depth)[0]):
+            texts = text_bytes(part["text"].combine_chunks())
+            counts[-1].add(word_hashes(texts, lower=True)[0])
+            for d, g in heads.value.counted(grams(*symbols(texts, depth), depth)[0]):
                 counts.setdefault(d, Counts()).add(g)
             yield from ready(MERGE_EVERY)
         yield from ready(1)
@@ -428,9 +403,9 @@ def _scored(heads, often: np.ndarray, counts: np.ndarray, bits: int, ends: int,
         model = GramTable(depth, g, logp)
         logs, out = np.append(np.log10(counts + 1.0), 0.0), []
         for turn, part in enumerate(chunks(rows.to_batches(), PART_BYTES)):
-            told = symbols(text_bytes(part["text"].combine_chunks()), depth)
-            h, lengths = word_hashes(*told)
-            alone, ratio = mixture(model, told, lengths, end_share)
+            texts = text_bytes(part["text"].combine_chunks())
+            h, lengths = word_hashes(texts, lower=True)
+            alone, ratio = mixture(model, symbols(texts, depth), lengths, end_share)
             hit = _among(h, often)
             at = np.full(len(h), len(often))
             at[hit] = np.searchsorted(often, h[hit])
