@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -90,6 +91,29 @@ def give_back() -> None:
         trim(0)
 
 
+def trimmed(task):
+    """A function of a task's batches, or of a group's tables, that returns freed memory when it is done."""
+
+    def over_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    # Spark looks at the number of arguments
+    def over_group(rows: pa.Table) -> pa.Table:
+        made = task(rows)
+        give_back()
+        return made
+
+    def over_cogroup(rows: pa.Table, others: pa.Table) -> pa.Table:
+        made = task(rows, others)
+        give_back()
+        return made
+
+    if inspect.isgeneratorfunction(task):
+        return over_batches
+    return over_group if len(inspect.signature(task).parameters) == 1 else over_cogroup
+
+
 def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES, name: str = "text") -> Iterator[pa.Table]:
     """Regroup a task's batches into tables of about ``most`` bytes of text and at most CHUNK_DOCS rows."""
     held: list[pa.RecordBatch] = []

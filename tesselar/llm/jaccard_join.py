@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import BASE, CHUNK_BYTES, bucket_bits, corpus_size, counted, distinct, fresh, mix, pack_planes, packed_tables, parts_for, rolling, shared_checkpoint, table, text_bytes, unpack_planes, unpacked_table, word_hashes
+from tesselar.llm.common import BASE, CHUNK_BYTES, bucket_bits, corpus_size, counted, distinct, fresh, mix, pack_planes, packed_tables, parts_for, rolling, shared_checkpoint, table, text_bytes, trimmed, unpack_planes, unpacked_table, word_hashes
 from tesselar.llm.components import connected_components
 
 SHINGLE = 5
@@ -311,7 +311,7 @@ def _links(clusters: DataFrame, queries: DataFrame, sets: DataFrame, percent: in
     rows = held.select("centre", block, F.lit(False).alias("query"), "set_id", "part").unionByName(asked.select("centre", block, F.lit(True).alias("query"), "set_id", "part"))
     rows = rows.join(sets.select("set_id", "n", "members"), "set_id")
     together = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", "query")
-    return together.select("centre", "block", "query", "set_id", "n", "part", "members").mapInArrow(_searched(percent), "a long, b long")
+    return together.select("centre", "block", "query", "set_id", "n", "part", "members").mapInArrow(trimmed(_searched(percent)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = 80, bits: int | None = None) -> DataFrame:
@@ -321,9 +321,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = 80, bit
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # both uses of the slices are by one exchange
     slices = docs.mapInArrow(packed_tables(CHUNK_BYTES), "slice long, rows binary").repartition(parts_for(nbytes, 2 * CHUNK_BYTES, 12), "slice")
-    asked = slices.mapInArrow(_asked(k, bits), "bucket long, slice long, n int, hashes binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(_counted(bits), "slice long, bucket long, n int, told binary")
-    both = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_prefixes(k, percent, bits), "set_id long, n long, doc_id long, members binary, keys array<long>")
+    asked = slices.mapInArrow(trimmed(_asked(k, bits)), "bucket long, slice long, n int, hashes binary, counts binary")
+    told = asked.groupBy("bucket").applyInArrow(trimmed(_counted(bits)), "slice long, bucket long, n int, told binary")
+    both = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(trimmed(_prefixes(k, percent, bits)), "set_id long, n long, doc_id long, members binary, keys array<long>")
     both = shared_checkpoint(both)
     sizes, sets = both.where("members IS NULL").select("doc_id", "n", "set_id"), both.where("members IS NOT NULL")
     reps = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import CHUNK_BYTES, bucket_bits, chunks, corpus_size, fresh, inside, lists, mix, pack_planes, parts_for, rolling, table, text_bytes, unpack_planes, word_hashes
+from tesselar.llm.common import CHUNK_BYTES, bucket_bits, chunks, corpus_size, fresh, inside, lists, mix, pack_planes, parts_for, rolling, table, text_bytes, trimmed, unpack_planes, word_hashes
 
 WINDOW = 13
 #: Stands for a null doc_id: after all documents.
@@ -189,9 +189,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = N
         groups = max(1, -(-chunk_count // MERGED))
         # a row's group is told by its own bytes, so that it is the same when the row is made again
         salted = entries.withColumn("salt", F.when(F.col("bucket") >= 0, F.pmod(F.xxhash64("entries"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(groups))))
-        entries = salted.groupBy("bucket", "salt").applyInArrow(_finer(finer), ENTRY)
+        entries = salted.groupBy("bucket", "salt").applyInArrow(trimmed(_finer(finer)), ENTRY)
         cut, chunk_count = finer, groups
-    hits = entries.groupBy("bucket").applyInArrow(_count, HITS)
+    hits = entries.groupBy("bucket").applyInArrow(trimmed(_count), HITS)
     # at most one row a bucket for a document, each hash in at most two
     return hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("hashes")).alias("hits"))
 
@@ -253,11 +253,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, bits: int | None = No
     key, tag, key_hit, tag_hit = fresh([*base.columns, *own, "doc_id", "tag"], "key", "tag", "key_hit", "tag_hit")
     squeezed = ", ".join(f"`{k}` {'binary' if k == 'text' else v}" for k, v in kinds.items()) + f", `{key}` long, `{tag}` long"
     hits = repeated_windows(docs, window, bits).withColumnsRenamed({"doc_id": key_hit, "tag": tag_hit})
-    rows = base.mapInArrow(_squeezed((key, tag)), squeezed)
+    rows = base.mapInArrow(trimmed(_squeezed((key, tag))), squeezed)
     joined = rows.join(hits, (rows[key] == hits[key_hit]) & (rows[tag] == hits[tag_hit]), "left").drop(key, tag, key_hit, tag_hit)
     rest = ", ".join(f"`{k}` {v}" for k, v in kinds.items() if k != "text")
     schema = f"{rest}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>, text string"
-    return joined.mapInArrow(_cleaned(window), schema)
+    return joined.mapInArrow(trimmed(_cleaned(window)), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
