@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import parts_for, shared_checkpoint, shared_folder, table
+from tesselar.llm.common import shared_checkpoint, shared_folder, table
 from tesselar.llm.jaccard_join import one_of_each_group
 from tesselar.llm.packing import pack_documents
 from tesselar.llm.poisson_mix import poisson_mix
@@ -27,35 +27,27 @@ from tesselar.llm.toxicity import fit_toxicity, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.5
-#: Characters of a written file, as far as there are several to each core: small files cost a later scan more than they save.
-FILE_CHARS = 64 << 20
-
-
-def in_files(spark: SparkSession, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows in as many partitions as files are to be written, without another exchange. The size is that of the stage's input, by its column of lengths."""
-    chars = docs.agg(F.coalesce(F.sum(F.col("n_chars").cast("long")), F.lit(0))).first()[0]
-    return rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts_for(chars, FILE_CHARS)))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is below TOXIC. Labels are learnt from the training remainders only."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return in_files(spark, score_toxicity(docs.select(COLUMNS), model).where(F.col("score") < TOXIC).select(COLUMNS), docs)
+    return score_toxicity(docs.select(COLUMNS), model).where(F.col("score") < TOXIC).select(COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
-    return in_files(spark, one_of_each_group(docs.select(COLUMNS)), docs)
+    return one_of_each_group(docs.select(COLUMNS))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that a window of an earlier document covers; n_chars follows."""
-    return in_files(spark, substring_dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS), docs)
+    return substring_dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as drawn at its source's rate, in shuffled order."""
-    return in_files(spark, poisson_mix(docs.select(COLUMNS)).select(COLUMNS), docs)
+    return poisson_mix(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
