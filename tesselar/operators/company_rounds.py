@@ -84,12 +84,17 @@ def next_guess(events: DataFrame, known: DataFrame, width: int) -> DataFrame:
     return rows.select("arrival", company.alias("company"), decision.alias("decision"), pick(F.lit("cnpj"), F.lit("domain"), F.lit("domain"), F.lit("name"), F.lit("name"), text).alias("matched_on"))
 
 
+def width_of(events: DataFrame, slices: int = 64) -> int:
+    """Of a slice of the time from the first event to the last."""
+    ends = events.agg(F.min("arrival"), F.max("arrival")).first()
+    return max(1, ((ends[1] or 0) - (ends[0] or 0)) // slices + 1)
+
+
 def resolved(events: DataFrame, stored: DataFrame, most_rounds: int = 60, slices: int = 64) -> tuple[DataFrame, DataFrame, bool]:
     """((arrival, company, decision, matched_on, candidate_ids), (company, cnpj, domain, name), whether it settled): as ``companies.resolved_companies`` of events (arrival,
     cnpj, domain, name in normal form), before which companies are ``stored``."""
     events, stored = settled(events), settled(stored)
-    ends = events.agg(F.min("arrival"), F.max("arrival")).first()
-    width = max(1, ((ends[1] or 0) - (ends[0] or 0)) // slices + 1)
+    width = width_of(events, slices)
     guess = settled(events.select("arrival", F.col("arrival").alias("company"), F.lit("created").alias("decision"), F.lit(None).cast("string").alias("matched_on")))
     done = False
     for _ in range(most_rounds):

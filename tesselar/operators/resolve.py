@@ -47,9 +47,48 @@ def outcomes(ids: DataFrame, owners: DataFrame | None = None, once: DataFrame |
     An owner never changes, so an event depends on
     the first sightings of its identities alone. These are found for all events at once by grouping, owners by pointer
     doubling, and failures by repeating both until they stay: an event's outcome rests on earlier events only, so
-    there is one such state. Rounds follow the depth of conflicts on conflicts, not the number of events.
+    there is one such state. Rounds follow the depth of conflicts on conflicts, not the number of events, and only see the first event of each
+    set of identities; see ``_heads``.
     """
-    ids = settled(ids if "links" in ids.columns else ids.withColumn("links", F.lit(False)))
+    ids = ids if "links" in ids.columns else ids.withColumn("links", F.lit(False))
+    once = settled(once) if once is not None else None
+    heads = settled(_heads(ids, once))
+    ids = settled(heads.where("arrival = head").select("arrival", F.inline("keys")))
+    found = _outcomes_of_heads(ids, owners, None if once is None else _contested(once), most_rounds)
+    told = heads.select("arrival", "head").join(found.withColumnRenamed("arrival", "head"), "head").drop("head")
+    if once is None:
+        return told
+    # those without an identity, of which only contested ones can fail
+    none = once.where("arrival IS NOT NULL").select("arrival").distinct().join(heads.select("arrival"), "arrival", "left_anti")
+    alone = none.join(found, "arrival", "left").select("arrival", "person", F.coalesce("conflict", F.lit(False)).alias("conflict"), F.coalesce("repeated", F.lit(False)).alias("repeated"))
+    return told.unionByName(alone)
+
+
+def _contested(once: DataFrame) -> DataFrame:
+    """Claims of values that several rows have; no other one can fail as repeated."""
+    several = once.groupBy("once").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("once")
+    return once.join(several, "once", "left_semi")
+
+
+def _heads(ids: DataFrame, once: DataFrame | None) -> DataFrame:
+    """(arrival, keys, head): of each event its set of keys, and the event whose outcome it has, which is the first one of its set.
+
+    After an event that does not fail all its identities have an owner, its strong ones the same; an event in conflict shows two owners, who stay. So
+    an event with the same identities has the same outcome, and gives nothing away. Events that may fail as repeated are their own heads, as a failure
+    leaves the next one of its set as if it were the first, and those that link and show weak identities, as the first makes the run's link that the next one is bound to."""
+    sets = ids.groupBy("arrival").agg(F.sort_array(F.collect_set(F.struct("key", "strong", "links"))).alias("keys"))
+    own = F.exists("keys", lambda k: k["links"]) & F.exists("keys", lambda k: ~k["strong"])
+    if once is not None:
+        contested = _contested(once).where("arrival IS NOT NULL").select("arrival", F.lit(True).alias("_contested")).distinct()
+        sets, own = sets.join(contested, "arrival", "left"), own | F.coalesce("_contested", F.lit(False))
+    sets = sets.select("arrival", "keys", F.when(own, F.col("arrival")).alias("own"))
+    first = sets.groupBy("keys", "own").agg(F.min("arrival").alias("head"))
+    s, f = sets.alias("s"), first.alias("f")
+    return s.join(f, (F.col("s.keys") == F.col("f.keys")) & F.col("s.own").eqNullSafe(F.col("f.own"))).select("s.arrival", "s.keys", "f.head")
+
+
+def _outcomes_of_heads(ids: DataFrame, owners: DataFrame | None, once: DataFrame | None, most_rounds: int) -> DataFrame:
+    """The rounds of ``outcomes`` over settled ids, for all their events and those of ``once``."""
     old = settled(touched_owners(owners, ids)) if owners is not None else None
     once = settled(once) if once is not None else None
     events = ids.select("arrival").distinct()

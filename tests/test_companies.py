@@ -147,3 +147,22 @@ def test_replay(spark):
     got = sorted((r.event_id, r.status, r.resolution) for r in ingest.closed_cases(cases, handled).collect())
     # 6 was not run again, so its case stays open whatever the log says of it
     assert got == [("1", "dismissed", None), ("1", "resolved", "reprocessed"), ("2", "open", None), ("6", "open", None)]
+
+
+def test_events_that_name_the_same_are_placed_once(spark, monkeypatch):
+    # a domain of one company, which two more share from 100 and 150 on, and a name of which a second company has it from 200 on
+    rows = [(i, None, "a.com" if i % 2 else None, "same" if i % 2 == 0 else None) for i in range(300) if i not in (100, 150, 200)]
+    rows += [(100, "1" * 14, "a.com", None), (150, "2" * 14, "a.com", None), (200, "3" * 14, "b.com", "same")]
+    plain, want = companies.Registry(), {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        want[r[0]] = plain.place(*r)
+    seen, grouped = [], companies.groups_of
+    monkeypatch.setattr(companies, "groups_of", lambda pairs, *a: (seen.append(pairs.select("arrival").distinct().count()), grouped(pairs, *a))[1])
+    df = spark.createDataFrame(rows, "arrival long, cnpj string, domain string, name string")
+    told = companies.resolved_companies(df)[0].collect()
+    assert {r["arrival"]: (r["company"], r["decision"], r["matched_on"], r["candidate_ids"]) for r in told} == want
+    assert seen == [5]
+    # companies of a key that are too many to be listed
+    monkeypatch.setattr(companies, "LISTED", 0)
+    told = companies.resolved_companies(df)[0].collect()
+    assert {r["arrival"]: (r["company"], r["decision"], r["matched_on"], r["candidate_ids"]) for r in told} == want

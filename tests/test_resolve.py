@@ -76,3 +76,13 @@ def test_batches_equal_one_run(spark, seed):
     assert got == want and any(c for _, c in want.values())
     few = resolve.identity_keys(spark.createDataFrame([("s", 999, "email", "3@x.co")], SCHEMA))
     assert resolve.touched_owners(owners, few).count() <= 1
+
+
+def test_rounds_see_each_set_of_identities_once(spark, monkeypatch):
+    # 300 events of two people, of whom later ones show both; then one more pair of people in conflict
+    rows = [("s", i, "email", f"{u}@x.co") for i in range(300) for u in ({i % 2, 1 - i % 2} if i > 150 and i % 3 == 0 else {i % 2})]
+    seen, plain = [], resolve._roots
+    monkeypatch.setattr(resolve, "_roots", lambda parents: (seen.append(parents.count()), plain(parents))[1])
+    got = {r["arrival"]: (r["person"], r["conflict"]) for r in resolve.persons(spark.createDataFrame(rows, "source string, arrival long, type string, value string")).collect()}
+    assert got == {i: (None, True) if i > 150 and i % 3 == 0 else (i % 2, False) for i in range(300)}
+    assert max(seen) <= 3
