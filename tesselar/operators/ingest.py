@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import keys as K
+from tesselar.operators.settle import settled
 
 FAMILIES = ["identity", "interaction", "observation", "company", "score", "experience"]
 
@@ -23,20 +24,23 @@ def decide(arriving: DataFrame, stored: DataFrame | None = None, major: int = 1)
     stored as pending or failed, and as VALIDATION_ERROR, each time, if no handler knows its family. Of equal arrivals the first is handled and the
     others are duplicates, which stands if the first is processed; see ``gateway.answers`` for when it is not.
 
-    First arrivals are sums by key and content that are combined before their exchange, so a key that very many arrivals share is no window.
+    First arrivals are minima by key that are combined before their exchange, so a key that very many arrivals share is no window; whole arrivals are exchanged once.
     """
-    rows = arriving.withColumn("payload_hash", K.payload_hash(F.col("payload"))).withColumn("_ok", K.supported_major(F.col("schema_version"), major))
-    heads = rows.where("_ok").groupBy("source", "event_id", "event_type", "payload_hash").agg(F.min("arrival").alias("_head"))
-    content = F.struct("event_type", "payload_hash")
-    first = heads.groupBy("source", "event_id").agg(F.min_by(content, "_head").alias("_original")).withColumn("_status", F.lit(None).cast("string"))
+    # payloads are parsed once
+    rows = settled(arriving.withColumn("payload_hash", K.payload_hash(F.col("payload"))).withColumn("_ok", K.supported_major(F.col("schema_version"), major)))
+    sound = rows.where("_ok").select("source", "event_id", "arrival", "event_type", "payload_hash")
+    first = sound.groupBy("source", "event_id").agg(F.min(F.struct("arrival", "event_type", "payload_hash")).alias("_f"))
+    first = first.select("source", "event_id", F.struct("_f.event_type", "_f.payload_hash").alias("_original"), F.col("_f.arrival").alias("_head"), F.lit(None).cast("string").alias("_status"))
     if stored is not None:
         state = F.col("status") if "status" in stored.columns else F.lit("processed")
         old = stored.groupBy("source", "event_id").agg(F.min(F.struct("event_type", "payload_hash", state.alias("status"))).alias("_old"))
-        first = first.join(old, ["source", "event_id"], "left").select("source", "event_id", F.when(F.col("_old").isNull(), F.col("_original")).otherwise(F.struct("_old.event_type", "_old.payload_hash")).alias("_original"), F.col("_old.status").alias("_status"))
-    heads = heads.join(first, ["source", "event_id"])
-    r, h = rows.alias("r"), heads.alias("h")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("source", "event_id", "event_type", "payload_hash")]
-    both = r.join(h, [F.col("r._ok"), *same], "left")
+        old = old.select("source", "event_id", F.struct("_old.event_type", "_old.payload_hash").alias("_stored"), F.col("_old.status").alias("_was"))
+        # the first arrival that equals the stored event
+        again = sound.join(old, ["source", "event_id"]).where(F.col("_stored") == F.struct("event_type", "payload_hash")).groupBy("source", "event_id").agg(F.min("arrival").alias("_again"))
+        first = first.join(old.join(again, ["source", "event_id"], "left"), ["source", "event_id"], "left").select(
+            "source", "event_id", F.coalesce("_stored", "_original").alias("_original"), F.when(F.col("_stored").isNull(), F.col("_head")).otherwise(F.col("_again")).alias("_head"), F.col("_was").alias("_status")
+        )
+    both = rows.alias("r").join(first, ["source", "event_id"], "left")
     known = K.family(F.col("r.event_type")).isin(FAMILIES)
     decision = (
         F.when(~F.col("_ok"), "SCHEMA_UNSUPPORTED").when(F.col("_original") != F.struct("r.event_type", "r.payload_hash"), "EVENT_ID_CONFLICT").when(F.col("_status") == "processed", "duplicate")

@@ -36,3 +36,10 @@ def test_stored_events_of_each_state(spark):
     stored = stored.withColumn("payload_hash", K.payload_hash(F.col("payload"))).drop("payload")
     got = ingest.decide(spark.createDataFrame(arrivals, SCHEMA), stored).orderBy("arrival").collect()
     assert [r.decision for r in got] == ["retry", "duplicate", "EVENT_ID_CONFLICT", "retry", "duplicate", "IDENTITY_CONFLICT", "EVENT_ID_CONFLICT", "duplicate", "VALIDATION_ERROR", "VALIDATION_ERROR", "accepted"]
+
+
+def test_payloads_are_parsed_once(spark):
+    rows = [("s", "1", "score.set", "1.0", '{"a":1}', 0), ("s", "1", "score.set", "1.0", '{"a":2}', 1), ("s", "1", "score.set", "1.0", '{"a": 1}', 2)]
+    df = ingest.decide(spark.createDataFrame(rows, "source string, event_id string, event_type string, schema_version string, payload string, arrival long"))
+    assert "sha2" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["arrival"]: r["decision"] for r in df.collect()} == {0: "accepted", 1: "EVENT_ID_CONFLICT", 2: "duplicate"}
